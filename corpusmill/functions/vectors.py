@@ -42,8 +42,10 @@ def similarity(distance: Column) -> Column:
     return 1.0 / (1.0 + distance)
 
 
-def max_distance(min_similarity: float) -> float:
+def max_distance(min_similarity: float | Column) -> float | Column:
     """Largest distance that still has ``min_similarity``; every distance has at least 0."""
+    if isinstance(min_similarity, Column):
+        return F.when(min_similarity <= 0, F.lit(float("inf"))).otherwise(1.0 / min_similarity - 1.0)
     return float("inf") if min_similarity <= 0 else 1.0 / min_similarity - 1.0
 
 

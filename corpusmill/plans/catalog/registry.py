@@ -1,0 +1,26 @@
+"""Registered queries and their SQL twins."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+QUERIES: dict[str, Query] = {}
+TWINS: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query; ``sql`` is the same result written independently for another engine."""
+
+    def add(build: Query) -> Query:
+        if name in QUERIES:
+            raise ValueError(f"query {name} is registered twice")
+        QUERIES[name] = build
+        if sql is not None:
+            TWINS[name] = sql
+        return build
+
+    return add
