@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,6 +43,12 @@ MENTION_PATTERNS = [
     ("price", r"\b(price|cost|amount|total)\b"),
     ("date", r"\b(date|dob|birth[\s_]date)\b"),
 ]
+# Substrings of which every mention holds at least one (a cheap test in front of the pattern).
+MENTION_HINTS = {
+    "email": ["mail"], "phone": ["phone", "mobile", "tel"], "username": ["user"], "name": ["name"],
+    "password": ["pass", "pwd"], "age": ["age"], "discount_code": ["discount", "promo", "coupon", "code"],
+    "price": ["price", "cost", "amount", "total"], "date": ["date", "dob"],
+}
 # Names that describe a test case itself and never get test data.
 STRUCTURE_NAMES = [
     "test_id", "feature", "test_scenario", "test_type",
@@ -52,6 +61,10 @@ FIELD_TYPE = "struct<field_name:string,data_type:string,required:boolean,constra
 FIELDS_TYPE = f"array<{FIELD_TYPE}>"
 
 
+def _holds_any(text: Column, words: list[str]) -> Column:
+    return reduce(or_, [F.contains(text, F.lit(word)) for word in words])
+
+
 def detect_field_type(name: Column) -> Column:
     """Semantic type of a field name by substring rules; ``text`` when none applies.
 
@@ -61,9 +74,7 @@ def detect_field_type(name: Column) -> Column:
     lowered = F.lower(name)
     decided = None
     for data_type, words in NAME_RULES:
-        hit = F.contains(lowered, F.lit(words[0]))
-        for word in words[1:]:
-            hit = hit | F.contains(lowered, F.lit(word))
+        hit = _holds_any(lowered, words)
         decided = F.when(hit, F.lit(data_type)) if decided is None else decided.when(hit, F.lit(data_type))
     return decided.otherwise(F.lit("text"))
 
@@ -86,21 +97,25 @@ def _no_constraints() -> Column:
 
 
 def extract_fields(text: Column) -> Column:
-    """Field definitions mentioned in free text, as an array in a fixed order."""
+    """Field definitions mentioned in free text, as an array in a fixed order.
+
+    The parts are concatenated rather than filtered: concatenation stays in generated code, a
+    lambda would not.
+    """
     lowered = F.lower(text)
-    found = [
-        F.when(
-            lowered.rlike("(?U)" + pattern),
-            F.struct(
-                F.lit(name).alias("field_name"),
-                detect_field_type(F.lit(name)).alias("data_type"),
-                F.lit(True).alias("required"),
-                _no_constraints().alias("constraints"),
-            ),
+    nothing = F.array().cast(FIELDS_TYPE)
+
+    def part(name: str, pattern: str) -> Column:
+        mentioned = _holds_any(lowered, MENTION_HINTS[name]) & lowered.rlike("(?U)" + pattern)
+        field = F.struct(
+            F.lit(name).alias("field_name"),
+            detect_field_type(F.lit(name)).alias("data_type"),
+            F.lit(True).alias("required"),
+            _no_constraints().alias("constraints"),
         )
-        for name, pattern in MENTION_PATTERNS
-    ]
-    return F.array_compact(F.array(*found)).cast(FIELDS_TYPE)
+        return F.when(mentioned, F.array(field).cast(FIELDS_TYPE)).otherwise(nothing)
+
+    return F.concat(*[part(name, pattern) for name, pattern in MENTION_PATTERNS])
 
 
 def is_structure_name(name: Column) -> Column:

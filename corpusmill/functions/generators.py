@@ -11,7 +11,7 @@ import string
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpusmill.functions.draws import Draws
+from corpusmill.functions.draws import Draws, entry_of
 
 # Pools for valid values (our own; only their sizes matter).
 FIRST_NAMES = [
@@ -131,16 +131,16 @@ def valid_username(d: Draws) -> Column:
     )
 
 
-def _char(d: Draws, slot: int | Column, chars: str) -> Column:
-    return F.substring(F.lit(chars), (F.pmod(d.bits(slot), F.lit(len(chars))) + 1).cast("int"), F.lit(1))
+def _char(bits: Column, chars: str) -> Column:
+    return F.substring(F.lit(chars), (F.pmod(bits, F.lit(len(chars))) + 1).cast("int"), F.lit(1))
 
 
 def valid_password(d: Draws) -> Column:
     """8 to 16 characters, one of each class first, the rest from all classes."""
-    rest = F.transform(F.sequence(F.lit(5).cast("bigint"), d.between(0, 8, 16)), lambda i: _char(d, i, PASSWORD_CHARS))
+    rest = d.many(5, d.between(0, 8, 16), lambda bits: _char(bits, PASSWORD_CHARS))
     return F.concat(
-        _char(d, 1, string.ascii_uppercase), _char(d, 2, string.ascii_lowercase),
-        _char(d, 3, string.digits), _char(d, 4, SYMBOLS), F.array_join(rest, ""),
+        _char(d.bits(1), string.ascii_uppercase), _char(d.bits(2), string.ascii_lowercase),
+        _char(d.bits(3), string.digits), _char(d.bits(4), SYMBOLS), F.array_join(rest, ""),
     )
 
 
@@ -194,7 +194,7 @@ def valid_text(d: Draws, constraints: Column | None = None) -> Column:
     low, high = _text_lengths(constraints, TEXT_LENGTH)
     length = d.between(0, low.cast("bigint"), high.cast("bigint")).cast("int")
     n_words = F.floor(length / 5).cast("bigint")
-    words = F.transform(F.sequence(F.lit(1).cast("bigint"), F.greatest(n_words, F.lit(1).cast("bigint"))), lambda i: d.pick(i, WORDS))
+    words = d.many(1, F.greatest(n_words, F.lit(1).cast("bigint")), lambda bits: entry_of(WORDS, bits))
     return F.when(n_words > 0, F.substring(F.array_join(words, " "), F.lit(1), length)).otherwise("")
 
 

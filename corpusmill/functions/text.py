@@ -6,7 +6,7 @@ import html
 import json
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -99,22 +99,30 @@ def _unescape(text: pa.Array) -> pa.Array:
     return pa.array([None if t is None else html.unescape(t) for t in text.to_pylist()], pa.string())
 
 
-def unescape_entities(text: Column) -> Column:
-    """Character references to characters; rows with common references only stay in the JVM."""
-    rare = text.rlike(_OTHER_REFERENCE)
-    common = text
+def with_unescaped(df: DataFrame, text: str) -> DataFrame:
+    """Character references in column ``text`` to characters.
+
+    Rows with common references only stay in the JVM; ``html.unescape`` sees the others.
+    """
+    common = F.col(text)
     for name, char in _NATIVE_ENTITIES.items():
         common = F.replace(common, F.lit(f"&{name};"), F.lit(char))
     common = F.replace(common, F.lit("&amp;"), F.lit("&"))
-    return F.when(rare, _unescape(F.when(rare, text))).otherwise(common)
+    staged = df.withColumn("_rare", F.when(F.col(text).rlike(_OTHER_REFERENCE), F.col(text)))
+    decoded = F.when(F.col("_rare").isNull(), common).otherwise(_unescape(F.col("_rare")))
+    return staged.withColumn(text, decoded).drop("_rare")
 
 
-def html_to_text(markup: Column) -> Column:
-    """Visible text of a page: one stripped, non-blank line per text node line."""
-    body = F.regexp_replace(markup, _DECLARATION, "\n")
+def with_html_text(df: DataFrame, markup: str, out: str) -> DataFrame:
+    """Add the visible text of a page: one stripped, non-blank line per line of a text node.
+
+    Built in stages, as columns of their own, so that no stage is computed twice.
+    """
+    body = F.regexp_replace(F.col(markup), _DECLARATION, "\n")
     body = F.regexp_replace(body, _SILENT, "\n")
     body = F.regexp_replace(body, _TAG, "\n")
-    return F.array_join(lines(unescape_entities(body)), "\n")
+    decoded = with_unescaped(df.withColumn(out, body), out)
+    return decoded.withColumn(out, F.array_join(lines(F.col(out)), "\n"))
 
 
 def upload_extension(filename: Column) -> Column:

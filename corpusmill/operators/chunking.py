@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from corpusmill.functions.text import WHITE_SPACE, is_blank, strip
 from corpusmill.operators.positions import with_position
+from corpusmill.operators.rows import unnest
 
 # --- fixed values -----------------------------------------------------------------------------
 # Coarse to fine; the empty separator cuts anywhere.
@@ -139,11 +140,9 @@ def chunk_table(docs: DataFrame, chunks: Column, text: str = "text") -> DataFram
     All other columns of ``docs`` ride along as chunk metadata; texts without content give no row.
     """
     rest = [c for c in docs.columns if c != text]
-    return (
-        docs.withColumn("_chunks", chunks)
-        .select(*rest, F.size("_chunks").alias("total_chunks"), F.posexplode("_chunks").alias("chunk_id", "text"))
-        .withColumn("chunk_size", F.length("text"))
-    )
+    cut = docs.select(*rest, chunks.alias("_chunks"))
+    rows = unnest(cut, [*rest, F.size("_chunks").alias("total_chunks")], F.col("_chunks"), "chunk_id", "text")
+    return rows.withColumn("chunk_size", F.length("text"))
 
 
 def chunk_documents(

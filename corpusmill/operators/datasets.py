@@ -11,33 +11,29 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.draws import Draws
 from corpusmill.functions.fieldtypes import DATA_TYPES, FIELDS_TYPE, data_fields, detect_field_type, extract_fields
-from corpusmill.functions.generators import boundary_cases, field_value, typed_value
+from corpusmill.functions.generators import BOUNDARY_TYPE, boundary_cases, field_value, typed_value
 from corpusmill.functions.responses import parse_fields
+from corpusmill.operators.rows import unnest
 
 # --- fixed values -----------------------------------------------------------------------------
 NUM_VALID, NUM_INVALID = 5, 3
 NUM_VALID_PER_CASE, NUM_INVALID_PER_CASE = 3, 2
 # ----------------------------------------------------------------------------------------------
 
-_SLOT_TYPE = (
-    "struct<kind:string,record_id:bigint,pos:int,valid:boolean,value:string,case_label:string,is_invalid:boolean>"
-)
-
-
 def case_fields(cases: DataFrame, text: str = "test_case", response: str | None = None) -> DataFrame:
     """Add ``fields``: those of a model response when it parses, else those the text mentions.
 
     Names that describe the test case itself are dropped.
     """
-    found = extract_fields(F.col(text))
+    found = extract_fields(F.col(text))  # mentions are never names of the test case itself
     if response is not None:
-        found = F.coalesce(parse_fields(F.col(response)), found)
-    return cases.withColumn("fields", data_fields(found))
+        found = F.coalesce(data_fields(parse_fields(F.col(response))), found)
+    return cases.withColumn("fields", found)
 
 
 def field_table(cases: DataFrame, case_id: str = "case_id") -> DataFrame:
     """One row per case and field."""
-    return cases.select(case_id, F.posexplode("fields").alias("pos", "_f")).select(case_id, "pos", "_f.*")
+    return unnest(cases, [case_id], F.col("fields"), "pos", "_f").select(case_id, "pos", "_f.*")
 
 
 def unknown_types(fields: DataFrame) -> DataFrame:
@@ -56,27 +52,11 @@ def _resolved_type(field: Column) -> Column:
     return F.coalesce(field["data_type"], detect_field_type(field["field_name"]))
 
 
-def _slots(kind: str, n: int, valid) -> Column:
-    """One entry per record and field; ``valid(record, position)`` tells the good ones."""
-    if n < 1:
-        return F.array().cast(f"array<{_SLOT_TYPE}>")
-    entries = F.transform(
-        F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")),
-        lambda r: F.transform(F.col("fields"), lambda f, i: F.struct(
-            F.lit(kind), r, i, valid(r, i), F.lit(None).cast("string"), F.lit(None).cast("string"), ~valid(r, i)
-        )),
-    )
-    return F.flatten(entries).cast(f"array<{_SLOT_TYPE}>")
-
-
-def _boundary_slots() -> Column:
-    per_field = F.transform(F.col("fields"), lambda f, i: F.transform(
-        boundary_cases(_resolved_type(f), f["constraints"]),
-        lambda b, n: F.struct(
-            F.lit("boundary"), n.cast("bigint"), i, F.lit(None).cast("boolean"), b["value"], b["case_label"], b["is_invalid"]
-        ),
-    ))
-    return F.flatten(per_field).cast(f"array<{_SLOT_TYPE}>")
+def _record_slots(num_valid: int, num_invalid: int, kinds: tuple[str, ...]) -> Column:
+    """The records of every case as a constant array; boundary rows share one slot."""
+    numbers = {"valid": range(num_valid), "invalid": range(num_invalid), "boundary": range(1)}
+    slots = [F.struct(F.lit(kind).alias("kind"), F.lit(n).cast("bigint").alias("record_id")) for kind in kinds for n in numbers[kind]]
+    return F.array(*slots).cast("array<struct<kind:string,record_id:bigint>>")
 
 
 def records(
@@ -91,29 +71,34 @@ def records(
     """Long record table of every case, one row per case, kind, record and field.
 
     An invalid record has exactly one bad field, taken in turn; boundary rows stand for
-    themselves.  Cases without fields give no rows.
+    themselves, numbered within their field.  Cases without fields give no rows.
     """
-    wanted = {
-        "valid": _slots("valid", num_valid, lambda r, i: F.lit(True)),
-        "invalid": _slots("invalid", num_invalid, lambda r, i: F.pmod(r, F.size("fields")) != i),
-        "boundary": _boundary_slots(),
-    }
-    slots = F.concat(*[wanted[k] for k in kinds])
-    rows = cases.select(case_id, "fields", F.explode(slots).alias("_s")).select(
-        case_id, "_s.*", F.get("fields", F.col("_s.pos")).alias("_f")
-    )
-    rows = rows.withColumn("data_type", _resolved_type(F.col("_f")))
+    rows = unnest(cases, [case_id, "fields"], _record_slots(num_valid, num_invalid, kinds), "_n", "_r")
+    kept = [case_id, "_r.kind", "_r.record_id", F.size("fields").alias("_n_fields")]
+    rows = unnest(rows, kept, F.col("fields"), "pos", "_f").withColumn("data_type", _resolved_type(F.col("_f")))
+    limits = F.col("_f.constraints")
+    on_boundary = F.col("kind") == "boundary"
+    if "boundary" in kinds:
+        drawn_row = F.array(F.struct(F.lit(None), F.lit(None), F.lit(False))).cast(BOUNDARY_TYPE)
+        cases_of = F.when(on_boundary, boundary_cases(F.col("data_type"), limits)).otherwise(drawn_row)
+        rows = unnest(rows, rows.columns, cases_of, "_b_no", "_b")
+        rows = rows.withColumn("record_id", F.when(on_boundary, F.col("_b_no").cast("bigint")).otherwise(F.col("record_id")))
+        boundary = (F.col("_b.value"), F.col("_b.case_label"), F.col("_b.is_invalid"))
+    else:
+        boundary = (F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(False))
+    bad = (F.col("kind") == "invalid") & (F.pmod(F.col("record_id"), F.col("_n_fields")) == F.col("pos"))
+    name = F.col("_f.field_name")
     record = F.concat_ws("/", F.col(case_id).cast("string"), "kind", F.col("record_id").cast("string"))
-    drawn = field_value(
-        F.col("data_type"), F.col("valid"), Draws(seed, record, F.col("_f.field_name")), F.col("_f.constraints"), as_of
-    )
-    bad = (F.col("kind") == "invalid") & F.col("is_invalid")
+    draws = Draws(seed, record, name)
+    rows = rows.withColumns({"_d0": draws.digest(0), "_d1": draws.digest(1)})  # shared by all types
+    good = ~bad if "invalid" in kinds else F.lit(True)
+    drawn = field_value(F.col("data_type"), good, draws.holding(F.col("_d0"), F.col("_d1")), limits, as_of)
     return rows.select(
-        case_id, "kind", "record_id", "pos", F.col("_f.field_name").alias("field_name"), "data_type",
-        F.when(F.col("kind") == "boundary", F.col("value")).otherwise(drawn).alias("value"),
-        F.when(bad, F.col("_f.field_name")).alias("invalid_field"),
-        F.when(bad, F.concat(F.lit("Invalid "), F.col("_f.field_name"))).alias("reason"),
-        "case_label", "is_invalid",
+        case_id, "kind", "record_id", "pos", name.alias("field_name"), "data_type",
+        F.when(on_boundary, boundary[0]).otherwise(drawn).alias("value"),
+        F.when(bad, name).alias("invalid_field"),
+        F.when(bad, F.concat(F.lit("Invalid "), name)).alias("reason"),
+        boundary[1].alias("case_label"), (bad | boundary[2]).alias("is_invalid"),
     )
 
 
@@ -177,7 +162,7 @@ def combined_summary(
         *[F.sum(c).cast("bigint").alias(c) for c in ("total_valid", "total_invalid", "total_boundary")],
         F.count(F.lit(1)).alias("test_cases_processed"),
     )
-    names = cases.select(F.explode("fields").alias("f")).agg(F.countDistinct("f.field_name").alias("total_fields"))
+    names = unnest(cases, [], F.col("fields"), "_n", "f").agg(F.countDistinct("f.field_name").alias("total_fields"))
     return totals.withColumn("_one", F.lit(1)).join(names.withColumn("_one", F.lit(1)), "_one").drop("_one")
 
 

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from corpusmill.operators.rows import unnest
+
 # --- fixed values -----------------------------------------------------------------------------
 VOID_TAGS = [
     "area", "base", "basefont", "bgsound", "br", "col", "command", "embed", "frame", "hr", "image", "img",
@@ -287,13 +289,13 @@ def _link_row(e: Column) -> Column:
 def _rows(parsed: DataFrame, wanted, row) -> DataFrame:
     rest = [c for c in parsed.columns if c not in ("title", "page_text", "bare_text", "elements")]
     picked = F.transform(F.filter(F.col("elements"), wanted), row)
-    return parsed.select(*rest, F.explode(picked).alias("_row")).select(*rest, "_row.*")
+    return unnest(parsed, rest, picked, "_n", "_row").select(*rest, "_row.*")
 
 
 def element_table(parsed: DataFrame) -> DataFrame:
     """One row per element with its text, in document order per page."""
     rest = [c for c in parsed.columns if c not in ("title", "page_text", "bare_text", "elements")]
-    exploded = parsed.select(*rest, "page_text", "bare_text", F.explode("elements").alias("e"))
+    exploded = unnest(parsed, [*rest, "page_text", "bare_text"], F.col("elements"), "_n", "e")
     return exploded.select(
         *rest, "e.elem_idx", "e.parent_idx", "e.ancestor_forms", "e.tag", "e.attrs", "e.classes",
         element_text(F.col("e")).alias("text"), element_bare_text(F.col("e")).alias("text_stripped"),
@@ -337,7 +339,7 @@ def find_by_text(parsed: DataFrame, text: str | Column, tag: str | None = None)
     ordered = F.array_sort(found, lambda a, b: F.when(
         (a["tag_order"] < b["tag_order"]) | ((a["tag_order"] == b["tag_order"]) & (a["elem_idx"] < b["elem_idx"])), -1
     ).otherwise(1))
-    return parsed.select(*rest, F.posexplode(ordered).alias("match_no", "_row")).select(*rest, "match_no", "_row.*").drop("tag_order")
+    return unnest(parsed, rest, ordered, "match_no", "_row").select(*rest, "match_no", "_row.*").drop("tag_order")
 
 
 def _count(wanted) -> Column:

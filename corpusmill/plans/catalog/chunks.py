@@ -29,7 +29,7 @@ def windows_sql(size: int, overlap: int, source: str = "documents", key: str = "
 
 
 def _docs(spark, d):
-    return read_table(spark, d, "documents").select("doc_id", "text")
+    return spread(read_table(spark, d, "documents").select("doc_id", "text"), "doc_id")
 
 
 def _shown(chunks):
@@ -56,13 +56,13 @@ def chunk_fixed_custom(spark, d):
 
 @query("chunk_recursive")
 def chunk_recursive(spark, d):
-    return _shown(chunking.chunk_table(spread(_docs(spark, d), "doc_id"), chunking.recursive_chunks(F.col("text"))))
+    return _shown(chunking.chunk_table(_docs(spark, d), chunking.recursive_chunks(F.col("text"))))
 
 
 @query("chunk_recursive_custom")
 def chunk_recursive_custom(spark, d):
     chunks = chunking.recursive_chunks(F.col("text"), 400, 80, ["\n", ". ", " ", ""])
-    return _shown(chunking.chunk_table(spread(_docs(spark, d), "doc_id"), chunks))
+    return _shown(chunking.chunk_table(_docs(spark, d), chunks))
 
 
 CHUNK_STATS_SQL = """
@@ -82,7 +82,7 @@ def chunk_stats(spark, d):
 
 @query("chunk_stats_recursive")
 def chunk_stats_recursive(spark, d):
-    return _stats(chunking.chunk_table(spread(_docs(spark, d), "doc_id"), chunking.recursive_chunks(F.col("text"))))
+    return _stats(chunking.chunk_table(_docs(spark, d), chunking.recursive_chunks(F.col("text"))))
 
 
 def _parsed(spark, d):

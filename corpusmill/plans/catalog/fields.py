@@ -9,7 +9,7 @@ from corpusmill.functions.responses import strip_fences
 from corpusmill.operators import datasets as ds
 from corpusmill.plans import fixtures
 from corpusmill.plans.catalog.registry import query
-from corpusmill.session import read_table
+from corpusmill.session import read_table, spread
 
 
 def detect_sql(name: str) -> str:
@@ -44,7 +44,8 @@ RESPONSE_FIELDS_SQL = f"""
 def field_detect_words(spark, d):
     """Types of all words of all documents taken as field names."""
     words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))
-    return read_table(spark, d, "documents").select(words.alias("word")).groupBy(
+    docs = spread(read_table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    return docs.select(words.alias("word")).groupBy(
         ft.detect_field_type(F.col("word")).alias("data_type")
     ).agg(F.count(F.lit(1)).alias("words"))
 

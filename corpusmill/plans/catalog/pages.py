@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusmill.functions.text import html_to_text
+from corpusmill.functions.text import with_html_text
 from corpusmill.operators import elements as el
 from corpusmill.plans import fixtures
 from corpusmill.plans.catalog.chunks import strip_sql
@@ -39,7 +39,8 @@ def _parsed_forms(spark, d):
 
 @query("html_text", f"SELECT page_id, {page_text_sql()} AS text FROM pages")
 def html_text(spark, d):
-    return read_table(spark, d, "pages").select("page_id", html_to_text(F.col("html")).alias("text"))
+    pages = spread(read_table(spark, d, "pages").select("page_id", "html"), "page_id")
+    return with_html_text(pages, "html", "text").select("page_id", "text")
 
 
 ELEMENT_SQL = rf"SELECT page_id, unnest(regexp_extract_all({QUIET}, '<([a-zA-Z][a-zA-Z0-9]*)', 1)) AS tag FROM pages"

@@ -138,7 +138,7 @@ def response_generate(spark, d):
 @query("answer_cases")
 def answer_cases(spark, d):
     """Text features to retrieval, prompt, model answer and parsed result."""
-    chunks = _document_chunks(spark, d)
+    chunks = materialize(_document_chunks(spark, d), "chunks")
     encoder = HashingEncoder.fit(chunks)
     stored = materialize(encoder.encode(chunks), "encoded")
     features = read_table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))

@@ -10,7 +10,7 @@ from corpusmill.operators import context, retrieval
 from corpusmill.operators.chunking import chunk_table, recursive_chunks
 from corpusmill.plans import answers, fixtures
 from corpusmill.plans.catalog.registry import query
-from corpusmill.session import read_table, spread
+from corpusmill.session import materialize, read_table, spread
 
 K = 5
 HITS = fixtures.HITS_SQL.format(k=K)
@@ -237,7 +237,7 @@ def vec_encode(spark, d):
 @query("retrieve_texts")
 def retrieve_texts(spark, d):
     """Texts as queries against the encoded chunks of every document."""
-    chunks = _document_chunks(spark, d)
+    chunks = materialize(_document_chunks(spark, d), "chunks")
     encoder = HashingEncoder.fit(chunks)
     queries = encoder.encode(read_table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), "query")
     return answers.retrieve(queries, encoder.encode(chunks), K).select(

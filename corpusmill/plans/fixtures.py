@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.session import read_table
+from corpusmill.session import read_table, spread
 
 PHRASES = [
     "Enter a valid email and submit", "Call the mobile number on file", "Type the username of the buyer",
@@ -36,7 +36,7 @@ def cases(spark: SparkSession, d: str) -> DataFrame:
     phrases = F.array(*[F.lit(p) for p in PHRASES])
     key = F.col("o_orderkey")
     second = F.get(phrases, F.pmod(F.floor(key / 12), F.lit(12)).cast("int"))
-    return read_table(spark, d, "orders").select(
+    return spread(read_table(spark, d, "orders").select("o_orderkey", "o_orderpriority"), "o_orderkey").select(
         key.alias("case_id"),
         F.concat(
             F.get(phrases, F.pmod(key, F.lit(12)).cast("int")), F.lit(", then "), F.lower(second),
@@ -49,7 +49,7 @@ def cases(spark: SparkSession, d: str) -> DataFrame:
 
 
 def form_pages(spark: SparkSession, d: str) -> DataFrame:
-    c = read_table(spark, d, "customer")
+    c = spread(read_table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment"), "c_custkey")
     key, nation = F.col("c_custkey").cast("string"), F.col("c_nationkey").cast("string")
     even, third = F.col("c_custkey") % 2 == 0, F.col("c_custkey") % 3 == 0
     html = F.concat(
@@ -90,7 +90,8 @@ def responses(spark: SparkSession, d: str) -> DataFrame:
     )
     turn = key % 5
     fenced = lambda mark: F.concat(F.lit(mark + "\n"), text, F.lit("\n```"))
-    return read_table(spark, d, "orders").select(
+    orders = read_table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    return spread(orders, "o_orderkey").select(
         key.alias("id"),
         F.when(turn == 0, text).when(turn == 1, "[]").when(turn == 2, fenced("```json")).when(turn == 3, fenced("```"))
         .otherwise(F.concat(text, F.lit(" trailing words"))).alias("response"),
@@ -138,7 +139,7 @@ MIXED_SQL = """
 def mixed_files(spark: SparkSession, d: str) -> DataFrame:
     def part(table: str, prefix: str, key: Column, ending: Column, body: Column) -> DataFrame:
         path = F.concat(F.lit(prefix), key, ending)
-        return read_table(spark, d, table).select(path.alias("path"), body.cast("binary").alias("content"))
+        return spread(read_table(spark, d, table).select(path.alias("path"), body.cast("binary").alias("content")), "path")
 
     number = lambda c: F.col(c).cast("string")
     broken = F.when(F.col("event_id") % 10 == 9, F.concat(F.lit("{"), "props")).otherwise(F.col("props"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions.encoders import HashingEncoder
-from corpusmill.operators.chunking import CHUNK_OVERLAP, CHUNK_SIZE, recursive_chunks
+from corpusmill.operators.chunking import CHUNK_OVERLAP, CHUNK_SIZE, chunk_table, recursive_chunks
 from corpusmill.session import materialize
 from corpusmill.sources.files import Extractor, parse_files, scan_files, supported_extensions
 from corpusmill.sources.knowledge_base import KnowledgeBase
@@ -38,11 +38,7 @@ def chunked(parsed: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVER
 def chunk_rows(documents: DataFrame) -> DataFrame:
     """Chunk rows of documents that carry a chunk array."""
     rest = [c for c in documents.columns if c not in ("chunks", "success", "error")]
-    return (
-        documents.filter("success")
-        .select(*rest, F.size("chunks").alias("total_chunks"), F.posexplode("chunks").alias("chunk_id", "text"))
-        .withColumn("chunk_size", F.length("text"))
-    )
+    return chunk_table(documents.filter("success").select(*rest, F.lit("").alias("text"), "chunks"), F.col("chunks")).drop("chunks")
 
 
 def file_results(documents: DataFrame, name: Column) -> DataFrame:

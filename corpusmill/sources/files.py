@@ -15,9 +15,9 @@ from corpusmill.functions.text import (
     PARSED_TEXT,
     PARSER_EXTENSIONS,
     decode_text,
-    html_to_text,
     pretty_json,
     suffix,
+    with_html_text,
 )
 
 # --- fixed values -----------------------------------------------------------------------------
@@ -112,11 +112,14 @@ def parse_files(files: DataFrame, extractors: dict[str, Extractor] | None = None
     def only(extensions: list[str]):
         return F.when(kind.isin(extensions), content)
 
-    parsed = parsed.withColumn("_json", pretty_json(only(JSON_EXTENSIONS)))
+    parsed = parsed.withColumns({
+        "_json": pretty_json(only(JSON_EXTENSIONS)), "_plain": decode_text(only(TEXT_EXTENSIONS + HTML_EXTENSIONS)),
+    })
+    parsed = with_html_text(parsed.withColumn("_markup", F.when(kind.isin(HTML_EXTENSIONS), F.col("_plain"))), "_markup", "_visible")
     text = (
-        F.when(kind.isin(TEXT_EXTENSIONS), decode_text(only(TEXT_EXTENSIONS)))
+        F.when(kind.isin(TEXT_EXTENSIONS), F.col("_plain"))
         .when(kind.isin(JSON_EXTENSIONS), F.col("_json.text"))
-        .when(kind.isin(HTML_EXTENSIONS), html_to_text(decode_text(only(HTML_EXTENSIONS))))
+        .when(kind.isin(HTML_EXTENSIONS), F.col("_visible"))
     )
     error = F.when(~kind.isin(known), F.concat(F.lit("Unsupported file format: ."), kind)).when(
         kind.isin(JSON_EXTENSIONS), F.col("_json.error")
