@@ -38,7 +38,8 @@ class HashingEncoder:
             IDF(inputCol="_counts", outputCol="_weights"),
             Normalizer(inputCol="_weights", outputCol="_unit", p=2.0),
         ]
-        return cls(Pipeline(stages=stages).fit(texts.select(F.col(text).alias("_text"))))
+        given = texts.select(F.coalesce(F.col(text), F.lit("")).alias("_text"))
+        return cls(Pipeline(stages=stages).fit(given))
 
     def encode(self, texts: DataFrame, text: str = "text", out: str = "embedding") -> DataFrame:
         """``texts`` with a unit vector; a text without known words has the zero vector."""

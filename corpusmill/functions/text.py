@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import html
 import json
+import re
+from html.entities import html5
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -26,7 +28,7 @@ UPLOAD_EXTENSIONS = ["txt", "md", "json", "pdf", "html", "docx", "xlsx"]
 PARSER_EXTENSIONS = ["txt", "md", "json", "pdf", "html", "htm", "docx"]
 # ----------------------------------------------------------------------------------------------
 
-# Named references that the JVM path decodes itself; any other one goes through ``html.unescape``.
+# Named references that the JVM path decodes itself; a text with any other one goes to Python.
 _NATIVE_ENTITIES = {
     "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\xa0",
     "copy": "\xa9", "reg": "\xae", "middot": "\xb7", "hellip": "\u2026",
@@ -94,15 +96,27 @@ def pretty_json(content: pa.Array) -> pa.Array:
     return pa.array([one(raw) for raw in content.to_pylist()], to_arrow_type(PARSED_TEXT))
 
 
+_REFERENCE = re.compile(r"&(?:(#[xX][0-9a-fA-F]+|#[0-9]+)|([a-zA-Z][-.a-zA-Z0-9]*));?")
+
+
+def named_character(name: str) -> str:
+    """Character of a named reference; an unknown name stays, without its semicolon."""
+    return html5.get(f"{name};", f"&{name}")
+
+
+def resolve_references(text: str) -> str:
+    return _REFERENCE.sub(lambda m: html.unescape(f"&{m[1]};") if m[1] else named_character(m[2]), text)
+
+
 @F.arrow_udf(T.StringType())
 def _unescape(text: pa.Array) -> pa.Array:
-    return pa.array([None if t is None else html.unescape(t) for t in text.to_pylist()], pa.string())
+    return pa.array([None if t is None else resolve_references(t) for t in text.to_pylist()], pa.string())
 
 
 def with_unescaped(df: DataFrame, text: str) -> DataFrame:
     """Character references in column ``text`` to characters.
 
-    Rows with common references only stay in the JVM; ``html.unescape`` sees the others.
+    Rows with common references only stay in the JVM; the others go to Python.
     """
     common = F.col(text)
     for name, char in _NATIVE_ENTITIES.items():

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from corpusmill.functions.text import named_character
 from corpusmill.operators.rows import unnest
 
 # --- fixed values -----------------------------------------------------------------------------
@@ -123,8 +124,7 @@ class _PageReader(HTMLParser):
         self.pending.append(data)
 
     def handle_entityref(self, name):
-        known = unescape(f"&{name};")
-        self.pending.append(known if known != f"&{name};" else f"&{name}")
+        self.pending.append(named_character(name))
 
     def handle_charref(self, name):
         self.pending.append(unescape(f"&#{name};"))

@@ -32,6 +32,7 @@ MAX_BROADCAST_QUERIES = 4096
 MAX_BROADCAST_BYTES = 64 << 20
 CORPUS_BLOCK, QUERY_BLOCK = 65536, 2048
 _CELLS = 1 << 22  # distances held at once inside a task
+_EXACT_ROWS = 1 << 14  # vector pairs measured exactly at once
 
 
 def check_k(k: int) -> int:
@@ -52,6 +53,16 @@ def _matrix(vectors: pa.Array | pa.ChunkedArray, width: int | None = None) -> np
     return flat.reshape(n, width)
 
 
+def _first_copies(keys: pa.Table, tile: np.ndarray, k: int) -> np.ndarray:
+    """Rows that are among the first ``k`` by key of their equal vectors."""
+    group = np.unique(tile, axis=0, return_inverse=True)[1].reshape(-1)
+    table = keys.append_column("_group", pa.array(group))
+    order = pc.sort_indices(table, [("_group", "ascending"), *[(c, "ascending") for c in keys.column_names]]).to_numpy()
+    sorted_group = group[order]
+    place = np.arange(len(order)) - np.searchsorted(sorted_group, sorted_group, side="left")
+    return order[place < k]
+
+
 class _Best:
     """Running best ``k`` rows per query over any number of batches."""
 
@@ -66,7 +77,7 @@ class _Best:
         for start in range(0, len(vectors), step):
             self._add_tile(keys.slice(start, step), vectors[start:start + step])
 
-    def _add_tile(self, keys: pa.Table, tile: np.ndarray) -> None:
+    def _add_tile(self, keys: pa.Table, tile: np.ndarray, copies: bool = True) -> None:
         norms = (tile * tile).sum(axis=1)
         approx = norms[:, None] + self.norms[None, :] - 2.0 * (tile @ self.queries.T)
         # The product form rounds differently from the direct form, so it only nominates rows:
@@ -78,9 +89,18 @@ class _Best:
         row, query = np.nonzero(approx <= limit[None, :])
         if not len(row):
             return
-        difference = tile[row] - self.queries[query]
+        if copies and len(row) > 4 * self.k * len(self.queries):
+            # Many rows at the same distance: of equal vectors only the first k by key can be hits.
+            first = _first_copies(keys, tile, self.k)
+            self._add_tile(keys.take(pa.array(first)), tile[first], copies=False)
+            return
+        distance = np.empty(len(row))
+        for start in range(0, len(row), _EXACT_ROWS):
+            part = slice(start, start + _EXACT_ROWS)
+            difference = tile[row[part]] - self.queries[query[part]]
+            distance[part] = (difference * difference).sum(axis=1)
         found = keys.take(pa.array(row)).append_column("_query", pa.array(query))
-        found = found.append_column("distance", pa.array((difference * difference).sum(axis=1)))
+        found = found.append_column("distance", pa.array(distance))
         self.rows = self._keep(found if self.rows is None else pa.concat_tables([self.rows, found]))
 
     def _keep(self, rows: pa.Table) -> pa.Table:

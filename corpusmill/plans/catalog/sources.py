@@ -102,11 +102,19 @@ def src_direct_text(spark, d):
     return files.direct_text(rows, "text", "key", "role").select("doc_key", "source", "type", "text")
 
 
-@query("src_scan")
+TABLES = [
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
+    "pages", "benchmark", "labels", "conversations",
+]
+
+
+@query("src_scan", f"""
+    SELECT t || '.parquet' AS filename, '.parquet' AS extension, true AS has_bytes
+    FROM (SELECT unnest({fixtures._sql_list(TABLES)}) AS t)""")
 def src_scan(spark, d):
-    """The table files as a scanned folder."""
+    """The table files as a scanned folder; extensions match in any case."""
     found = files.scan_files(spark, d, recursive=False, extensions=["PARQUET"])
-    return files.file_metadata(found).select("filename", "extension", "file_size_bytes")
+    return files.file_metadata(found).select("filename", "extension", (F.col("file_size_bytes") > 0).alias("has_bytes"))
 
 
 _NAMES_SQL = """
@@ -259,16 +267,27 @@ def _ingested(spark, d):
         F.col("path").alias("doc_key"), F.element_at(F.split("path", "/"), -1).alias("filename"),
         F.lit(None).cast("string").alias("source"), "text", "success", "error",
     )
-    return ingest.chunked(parsed)
+    return ingest.chunked(parsed, separators=[""])
+
+
+RESULTS_SQL = f"""
+    SELECT p.path AS file_name, p.success AND count(c.chunk_id) > 0 AS success, count(c.chunk_id) AS chunks_added,
+           any_value(p.refused) AS refused
+    FROM ({PARSED_MIXED_SQL}) p LEFT JOIN ({windows_sql(1000, 200, f"({PARSED_MIXED_SQL})", "path")}) c USING (path)
+    GROUP BY p.path, p.success"""
 
 
-@query("ingest_results")
+@query("ingest_results", RESULTS_SQL)
 def ingest_results(spark, d):
-    """Status and number of chunks of every file."""
-    return ingest.file_results(_ingested(spark, d), F.col("doc_key"))
+    """Status and number of chunks (character windows) of every file."""
+    refused = F.when(F.startswith(F.col("error"), F.lit("Unsupported")), F.col("error")).alias("refused")
+    return ingest.file_results(_ingested(spark, d), F.col("doc_key")).select("file_name", "success", "chunks_added", refused)
 
 
-@query("ingest_summary")
+@query("ingest_summary", f"""
+    SELECT count(*) AS total_files, count(*) FILTER (WHERE success) AS successful, count(*) FILTER (WHERE NOT success) AS failed,
+           sum(chunks_added) FILTER (WHERE success)::BIGINT AS total_chunks
+    FROM ({RESULTS_SQL})""")
 def ingest_summary(spark, d):
     return ingest.ingest_summary(ingest.file_results(_ingested(spark, d), F.col("doc_key")))
 

@@ -224,9 +224,11 @@ def _document_chunks(spark, d):
     return chunks.withColumn("filename", F.lit(None).cast("string"))
 
 
-@query("vec_encode")
+@query("vec_encode", """
+    SELECT doc_id, 384::BIGINT AS dimension, CASE WHEN regexp_matches(text, '[\\p{L}\\p{N}]') THEN 1.0 ELSE 0.0 END::DOUBLE AS norm
+    FROM documents""")
 def vec_encode(spark, d):
-    """Default encoder over every document."""
+    """Default encoder over every document: vectors of the set width and unit length."""
     docs = read_table(spark, d, "documents").select("doc_id", "text")
     encoded = HashingEncoder.fit(docs).encode(docs)
     return encoded.select(

@@ -25,9 +25,11 @@ class Ingested(NamedTuple):
     error: str | None = None
 
 
-def chunked(parsed: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
+def chunked(
+    parsed: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, separators: list[str] | None = None
+) -> DataFrame:
     """Parsed documents with their chunk array, in the final state of each file."""
-    chunks = recursive_chunks(F.when(F.col("success"), F.col("text")), size, overlap)
+    chunks = recursive_chunks(F.when(F.col("success"), F.col("text")), size, overlap, separators)
     rows = parsed.withColumn("chunks", F.coalesce(chunks, F.array().cast("array<string>"))).drop("text")
     empty = F.col("success") & (F.size("chunks") == 0)
     return rows.withColumn("error", F.when(empty, F.lit(NO_TEXT)).otherwise(F.col("error"))).withColumn(
