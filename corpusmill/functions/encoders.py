@@ -16,8 +16,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.functions.vectors import unit
-
 # --- fixed values -----------------------------------------------------------------------------
 EMBEDDING_DIM = 384
 ENCODE_BATCH = 32
@@ -61,6 +59,19 @@ def model_encoder(
     normalize: bool = True,
     batch_size: int = ENCODE_BATCH,
 ) -> Column:
-    """Vectors of a user model, loaded once per Python worker and fed in batches."""
-    raw = predict_batch_udf(make_predict, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size)(text)
-    return (unit(raw) if normalize else raw).cast("array<float>")
+    """Vectors of a user model, loaded once per Python worker and fed in batches.
+
+    A zero vector has no direction and stays as it is.
+    """
+
+    def make():
+        predict = make_predict()
+
+        def unit_rows(batch: np.ndarray) -> np.ndarray:
+            vectors = np.asarray(predict(batch), dtype=np.float64)
+            length = np.linalg.norm(vectors, axis=1, keepdims=True)
+            return np.divide(vectors, length, out=vectors, where=length > 0).astype(np.float32)
+
+        return unit_rows if normalize else predict
+
+    return predict_batch_udf(make, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size)(text)

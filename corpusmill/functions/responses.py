@@ -32,9 +32,8 @@ def _is_array(text: Column) -> Column:
     return F.coalesce(F.startswith(trimmed, F.lit("[")) & in_object & in_array, F.lit(False))
 
 
-def parse_fields(response: Column) -> Column:
-    """Field definitions of a response, NULL unless it holds one JSON array."""
-    clean = strip_fences(response)
+def parse_fields(clean: Column) -> Column:
+    """Field definitions of a response without fences, NULL unless it is one JSON array."""
     return F.when(_is_array(clean), F.from_json(clean, FIELDS_TYPE))
 
 

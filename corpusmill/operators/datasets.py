@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions.draws import Draws
 from corpusmill.functions.fieldtypes import DATA_TYPES, FIELDS_TYPE, data_fields, detect_field_type, extract_fields
 from corpusmill.functions.generators import BOUNDARY_TYPE, boundary_cases, field_value, typed_value
-from corpusmill.functions.responses import parse_fields
+from corpusmill.functions.responses import parse_fields, strip_fences
 from corpusmill.operators.rows import unnest
 
 # --- fixed values -----------------------------------------------------------------------------
@@ -26,9 +26,11 @@ def case_fields(cases: DataFrame, text: str = "test_case", response: str | None
     Names that describe the test case itself are dropped.
     """
     found = extract_fields(F.col(text))  # mentions are never names of the test case itself
-    if response is not None:
-        found = F.coalesce(data_fields(parse_fields(F.col(response))), found)
-    return cases.withColumn("fields", found)
+    if response is None:
+        return cases.withColumn("fields", found)
+    staged = cases.withColumn("_clean", strip_fences(F.col(response)))
+    staged = staged.withColumn("_answered", parse_fields(F.col("_clean")))
+    return staged.withColumn("fields", F.coalesce(data_fields(F.col("_answered")), found)).drop("_clean", "_answered")
 
 
 def field_table(cases: DataFrame, case_id: str = "case_id") -> DataFrame:

@@ -139,9 +139,15 @@ def _rank(local: DataFrame, query_id: str, keys: list[str], k: int) -> DataFrame
 
 
 def bounded_queries(queries: DataFrame, query_id: str, vector: str, limit: int = MAX_BROADCAST_QUERIES) -> pa.Table | None:
-    """The query vectors if there are at most ``limit`` and they are small, else None."""
-    table = queries.select(query_id, vector).limit(limit + 1).toArrow()
-    return table if table.num_rows <= limit and table.nbytes <= MAX_BROADCAST_BYTES else None
+    """The query vectors if there are at most ``limit`` and they are small, else None.
+
+    The width of one vector tells how many fit, so no more than that is ever fetched.
+    """
+    asked = queries.select(query_id, vector)
+    one = asked.limit(1).toArrow()
+    fits = min(limit, MAX_BROADCAST_BYTES // max(1, one.nbytes)) if one.num_rows else limit
+    table = asked.limit(fits + 1).toArrow()
+    return table if table.num_rows <= fits else None
 
 
 def _search_shipped(table: pa.Table, corpus: DataFrame, fields, query_id, keys, vector, k) -> DataFrame:

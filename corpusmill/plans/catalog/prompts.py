@@ -8,6 +8,7 @@ from corpusmill.functions import prompts as pr
 from corpusmill.functions import responses as rs
 from corpusmill.functions.encoders import HashingEncoder
 from corpusmill.operators import generation, requests
+from corpusmill.operators.elements import parse_pages, structure_context
 from corpusmill.plans import answers, fixtures
 from corpusmill.plans.catalog.registry import query
 from corpusmill.plans.catalog.vectors import CHUNK_HITS, K, LISTED, _document_chunks
@@ -147,6 +148,20 @@ def answer_cases(spark, d):
     )
 
 
+@query("answer_scripts")
+def answer_scripts(spark, d):
+    """Test cases with the structure of their page to retrieval, prompt and cleaned script."""
+    chunks = materialize(_document_chunks(spark, d), "chunks")
+    encoder = HashingEncoder.fit(chunks)
+    pages = parse_pages(read_table(spark, d, "pages").select(F.col("page_id").alias("query_id"), "html"))
+    wanted = read_table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    described = wanted.join(structure_context(pages), "query_id")
+    stored = materialize(encoder.encode(chunks), "encoded")
+    return answers.generate_scripts(described, stored, encoder, stub_model).select(
+        "query_id", "script", "structure_context", F.array_join("sources", "|").alias("sources"), "error"
+    )
+
+
 @query("usage_by_model", """
     SELECT event_type AS model, count(*) AS total_requests, sum(floor(value))::BIGINT AS total_tokens_used
     FROM events GROUP BY 1""")

@@ -1,4 +1,7 @@
-"""Documents that arrive in parts: pages, and paragraphs with table cells."""
+"""Documents that arrive in parts: pages, and paragraphs with table cells.
+
+The parts of a document end up in one text, so a group is exactly as large as its result row.
+"""
 
 from __future__ import annotations
 
