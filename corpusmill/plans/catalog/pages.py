@@ -17,9 +17,9 @@ QUIET = r"regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', chr(10), 'g'), "
 
 
 def decoded(text: str) -> str:
-    """Entities of the given pages; the ampersand last."""
+    """Entities of the given pages, with or without their semicolon; the ampersand last."""
     for name, code in [("lt", 60), ("gt", 62), ("quot", 34), ("copy", 169), ("middot", 183), ("amp", 38)]:
-        text = f"replace({text}, '&{name};', chr({code}))"
+        text = rf"regexp_replace({text}, '&{name}(?:;|$|([^a-zA-Z0-9.;-]))', chr({code}) || '\1', 'g')"
     return text
 
 
