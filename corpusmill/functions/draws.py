@@ -67,4 +67,9 @@ def _number(digest: Column, quarter: Column) -> Column:
 def entry_of(pool: Sequence[str] | Column, bits: Column) -> Column:
     if isinstance(pool, Column):
         return F.get(pool, F.pmod(bits, F.size(pool)).cast("int"))
-    return F.get(F.array(*[F.lit(v) for v in pool]), F.pmod(bits, F.lit(len(pool))).cast("int"))
+    return F.get(constant_array(pool), F.pmod(bits, F.lit(len(pool))).cast("int"))
+
+
+def constant_array(values: Sequence[str]) -> Column:
+    """Array of texts from one literal (folded to a constant; far fewer calls than one per value)."""
+    return F.split(F.lit("\x1f".join(values)), "\x1f", -1)

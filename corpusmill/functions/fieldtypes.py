@@ -65,6 +65,10 @@ def _holds_any(text: Column, words: list[str]) -> Column:
     return reduce(or_, [F.contains(text, F.lit(word)) for word in words])
 
 
+def _type_of(name: str) -> str:
+    return next((kind for kind, words in NAME_RULES if any(word in name for word in words)), "text")
+
+
 def detect_field_type(name: Column) -> Column:
     """Semantic type of a field name by substring rules; ``text`` when none applies.
 
@@ -109,7 +113,7 @@ def extract_fields(text: Column) -> Column:
         mentioned = _holds_any(lowered, MENTION_HINTS[name]) & lowered.rlike("(?U)" + pattern)
         field = F.struct(
             F.lit(name).alias("field_name"),
-            detect_field_type(F.lit(name)).alias("data_type"),
+            F.lit(_type_of(name)).alias("data_type"),
             F.lit(True).alias("required"),
             _no_constraints().alias("constraints"),
         )
