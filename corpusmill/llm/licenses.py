@@ -25,7 +25,7 @@ from corpusmill.llm.registry import query
 from corpusmill.session import materialize
 
 # Word pattern, base phrases with their labels, templates with theirs.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 TEMPLATES = (
     ("licensed under the apache license version 2 0", "apache-2"),
@@ -40,10 +40,28 @@ THRESHOLD = 0.8
 MAX_TEMPLATES = 10_000
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: The two letters beyond ASCII whose small form is ASCII, and letters to stand for them.
+ODD = (("\u212a", "\u0138"), ("\u0130", "\u0131"))
 
 
-def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0))
+def lowered(text: Column) -> Column:
+    """``text`` with small A-Z; other letters may change too but never become or stop being ASCII."""
+    text = F.coalesce(text, F.lit(""))
+    for odd, other in ODD:
+        text = F.replace(text, F.lit(odd), F.lit(other))
+    return F.lower(text)
+
+
+def cut_words(text: Column) -> Column:
+    """What lies between the characters that are in no word; the ends may be empty."""
+    return F.split(text, NO_WORD)
+
+
+def inner_words(parts: Column) -> Column:
+    """``cut_words`` without empty ends."""
+    head = F.when(F.get(parts, F.lit(0)) == "", 1).otherwise(0)
+    tail = F.when(F.get(parts, F.size(parts) - 1) == "", 1).otherwise(0)
+    return F.slice(parts, head + 1, F.greatest(F.size(parts) - head - tail, F.lit(0)))
 
 
 def _places(words: Column, phrase: str) -> Column:
@@ -68,23 +86,25 @@ def _labelled(starts: Column, label: str) -> Column:
     return F.transform(starts, lambda i: F.struct(i.cast("long").alias("start"), F.lit(label).alias("label")))
 
 
-def template_index(words: DataFrame, templates, threshold: float) -> list[tuple[int, str, list[str], int]]:
+def template_index(held: DataFrame, templates, threshold: float) -> list[tuple[int, str, list[str], int]]:
     """``(number, label, words in global order, words needed)`` of each template.
 
-    ``words(words)`` has the words of every document; all documents are counted.
+    ``held(held)`` has the distinct template words of every document; all documents are counted.
     """
+    rows = held.select(F.explode("held").alias("w")).groupBy("w").count().collect()
+    seen = {r["w"]: r["count"] for r in rows}  # at most one row per template word
+    return [(number, label, sorted(words, key=lambda w: (seen.get(w, 0), w)), need) for number, label, words, need in _needs(templates, threshold)]
+
+
+def _needs(templates, threshold: float) -> list[tuple[int, str, list[str], int]]:
     if len(templates) > MAX_TEMPLATES:
         raise ValueError("template tables of this size need a shuffled join")
-    vocabulary = sorted({w for text, _ in templates for w in text.split()})
-    known = F.array(*[F.lit(w) for w in vocabulary])
-    rows = words.select(F.explode(F.array_intersect("words", known)).alias("w")).groupBy("w").count().collect()
-    seen = {r["w"]: r["count"] for r in rows}  # at most one row per template word
-    index = []
-    for number, (text, label) in enumerate(templates):
-        order = sorted(set(text.split()), key=lambda w: (seen.get(w, 0), w))
-        need = next(k for k in range(1, len(order) + 1) if k >= threshold * len(order) - 1e-9)
-        index.append((number, label, order, need))
-    return index
+    words = [(number, label, sorted(set(text.split()))) for number, (text, label) in enumerate(templates)]
+    return [(number, label, w, next(k for k in range(1, len(w) + 1) if k >= threshold * len(w) - 1e-9)) for number, label, w in words]
+
+
+def _literal(words: list[str]) -> Column:
+    return F.array(*[F.lit(w) for w in words])
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", phrases=PHRASES, templates=TEMPLATES,
@@ -96,23 +116,26 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", ph
     ``text_key`` tells apart rows that share an id.
     """
     spark = docs.sparkSession
-    plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
-    plain = plain.withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    worded = plain.withColumn("words", words_of(F.col("text")))
-    index = template_index(worded.select("words"), templates, threshold)
+    needs = _needs(templates, threshold)
+    vocabulary = sorted({w for _, _, words, _ in needs for w in words})
+    plain = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_key"), lowered(F.col(text)).alias("low"))
+    parts = plain.withColumn("parts", cut_words(F.col("low")))
+    worded = parts.select("doc_id", "text_key", "low", inner_words(F.col("parts")).alias("words"))
+    worded = worded.select("*", F.array_intersect(_literal(vocabulary), "words").alias("held"))
     places = F.concat(*[_labelled(_places(F.col("words"), phrase), label) for phrase, label in phrases])
-    prefix_words = sorted({w for _, _, order, need in index for w in order[:len(order) - need + 1]})
-    asked = F.arrays_overlap("words", F.array(*[F.lit(w) for w in prefix_words]))
-    lines = F.when(asked, F.transform(F.split("text", "\n"), lambda line: F.array_distinct(words_of(line))))
-    made = materialize(worded.select("doc_id", "text_key", F.size("words").cast("long").alias("n_words"), places.alias("places"), lines.alias("blocks")), "licenses")
-
+    # a line holds no more of a template than its whole document does
+    able = F.lit(False)
+    for _, _, words, need in needs:
+        able = able | (F.size(F.array_intersect(_literal(words), F.col("held"))) >= need)
+    lines = F.when(able, F.transform(F.split("low", "\n"), lambda line: F.array_distinct(F.filter(cut_words(line), lambda w: w != ""))))
+    made = materialize(worded.select("doc_id", "text_key", F.size("words").cast("long").alias("n_words"), "held", places.alias("places"), lines.alias("blocks")), "licenses")
+
+    index = template_index(made, templates, threshold)
     filed = spark.createDataFrame(
         [(w, at, number, label, order, need) for number, label, order, need in index for at, w in enumerate(order[:len(order) - need + 1])],
         "word string, at int, template int, label string, template_words array<string>, need int")
-    order = [w for _, w in sorted({(i, w) for _, _, o, _ in index for i, w in enumerate(o)})]
-    vocabulary = F.array(*[F.lit(w) for w in sorted(set(order))])
     blocks = made.where(F.col("blocks").isNotNull()).select("doc_id", "text_key", F.posexplode("blocks").alias("block", "words"))
-    blocks = blocks.select("doc_id", "text_key", "block", F.size("words").alias("size"), F.array_intersect("words", vocabulary).alias("held"))
+    blocks = blocks.select("doc_id", "text_key", "block", F.size("words").alias("size"), F.array_intersect("words", _literal(vocabulary)).alias("held"))
     probes = blocks.select("*", F.explode("held").alias("word"))
     met = probes.join(F.broadcast(filed), "word").where(F.col("size") >= F.col("need"))  # length
     # words before the first shared one are not in the block, so this many can still be shared
@@ -121,7 +144,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", ph
     shared = F.size(F.array_intersect("template_words", "held"))
     verified = met.withColumn("shared", shared).where(F.col("shared") >= F.col("need"))
     verified = verified.select("doc_id", "text_key", "block", "template", "label", (F.col("shared") / F.size("template_words")).alias("containment"))
-    return made.drop("blocks"), verified
+    return made.drop("blocks", "held"), verified
 
 
 def _phrase_sql(phrase: str, label: str) -> str:
