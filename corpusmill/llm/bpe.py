@@ -176,7 +176,7 @@ class Codec:
     def _learn(self, runs: list[str], prefix: str) -> list[bytes]:
         cut = [self.find(prefix + r) for r in runs]
         known = self.pieces
-        new = list(set().union(*cut) - known.keys())
+        new = list(set().union(*cut).difference(known))
         for w, ids in zip(new, self.merger.merge([w.encode() for w in new]), strict=True):
             known[w] = ids
             self.held += 160 + len(w) + len(ids)
@@ -197,7 +197,7 @@ class Codec:
                 first, *rest = t.split(" ")
                 heads.append(first)
                 tails.append(rest)
-        new = list(set().union(*tails) - self.runs.keys())
+        new = list(set().union(*tails).difference(self.runs))
         for run, ids in zip(new, self._learn(new, " "), strict=True):
             self.runs[run] = ids
             self.held += 160 + len(run) + len(ids)
