@@ -227,9 +227,9 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", name: str =
     return annotate(df, ids, [(name, T.BinaryType())], lambda: lambda rows: [[_codec(path, pattern).decode(r or b"") for r in rows]])
 
 
-def encode_digests(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
-    """``df`` without its text, with the number and digest of its ids and the digest of the decoded ids."""
-    fields = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]
+def encode_digests(df: DataFrame, path: str, pattern: str, text: str = "text", with_ids: bool = False) -> DataFrame:
+    """``df`` without its text, with the number and digest of its ids and the digest of the decoded ids, and the ids if wanted."""
+    fields = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType()), *[("ids", T.BinaryType())] * with_ids]
 
     def maker():
         codec = _codec(path, pattern)
@@ -237,7 +237,7 @@ def encode_digests(df: DataFrame, path: str, pattern: str, text: str = "text") -
         def work(texts):
             rows = codec.encode(texts)
             return ([len(r) // 4 for r in rows], [hashlib.sha256(r).hexdigest() for r in rows],
-                    [hashlib.sha256(codec.decode(r)).hexdigest() for r in rows])
+                    [hashlib.sha256(codec.decode(r)).hexdigest() for r in rows], *[rows] * with_ids)
 
         return work
 

@@ -74,6 +74,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
+def text_key(text):
+    """A hash that tells apart rows that share an id but not the text."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def remainder(doc_id, divisor: int):
     """crc32 of the id as text, modulo ``divisor`` (null ids count as empty text)."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % divisor

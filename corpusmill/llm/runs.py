@@ -27,11 +27,13 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from corpusmill.llm.common import documents, once, steps
+from corpusmill.llm.common import documents, once, steps, text_key
 from corpusmill.llm.registry import query
 from corpusmill.session import materialize
 
@@ -320,7 +322,7 @@ def cut(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, list[tuple[in
 def keyed(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with its id as a long, its text, and a key of the text that tells apart rows that share an id."""
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text, "doc_id", "text", "text_key", "spans")]
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_key"), *rest)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"), text_key(F.col(text)).alias("text_key"), *rest)
 
 
 def _each_cut(batch: pa.RecordBatch, at_text: int, at_spans: int):
@@ -332,6 +334,27 @@ def _each_cut(batch: pa.RecordBatch, at_text: int, at_spans: int):
             i += 1
 
 
+def without_repeats(docs: DataFrame, width: int = WIDTH, **options) -> DataFrame:
+    """``docs(doc_id, text, ...)`` with all repeated passages cut; documents of nothing else go.
+
+    Characters that a cut goes through go too.
+    """
+    found = with_spans(keyed(docs), width, **options).drop("text_key")
+    at_text, at_spans = found.columns.index("text"), found.columns.index("spans")
+    kept = [f for f in found.schema.fields if f.name != "spans"]
+
+    def run(batches):
+        for batch in batches:
+            texts = [kept.decode("utf-8", "ignore") if gone else text.decode("utf-8", "replace") for text, kept, gone in _each_cut(batch, at_text, at_spans)]
+            gone = pa.array([bool(s) for s in batch.column(at_spans).to_pylist()], pa.bool_())
+            blank = pa.array([not t.strip() for t in texts], pa.bool_())
+            columns = [pa.array(texts, pa.string()) if i == at_text else batch.column(i) for i in range(len(batch.columns)) if i != at_spans]
+            made = pa.RecordBatch.from_arrays(columns, [f.name for f in kept])
+            yield made.filter(pc.invert(pc.and_(gone, blank)))
+
+    return found.mapInArrow(run, T.StructType(kept)).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 @query("op9_repeated_passages")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     def run(batches):

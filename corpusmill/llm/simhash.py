@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.llm.common import annotate, components, documents
+from corpusmill.llm.common import annotate, components, documents, text_key
 from corpusmill.llm.registry import query
 from corpusmill.session import materialize
 
@@ -95,8 +95,9 @@ def fingerprint_links(prints: DataFrame, segments=SEGMENTS, max_bits: int = MAX_
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", segments=SEGMENTS, max_bits: int = MAX_BITS) -> DataFrame:
-    """``(id, fp, component_id)`` per row of ``docs``."""
-    made = materialize(fingerprints(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))), "fingerprints")
+    """``(doc_id, text_key, fp, component_id)`` per row of ``docs``; the key tells apart rows that share an id."""
+    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(F.col(text)).alias("text_key"), F.col(text).alias("text"))
+    made = materialize(fingerprints(plain), "fingerprints")
     classes = materialize(made.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
     links = fingerprint_links(classes.select("fp"), segments, max_bits)
     # a class is named by its fingerprint while links are followed, as ids may be null
@@ -104,7 +105,18 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     named = classes.join(found.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))
     labels = named.join(smallest, "component").select("fp", "component_id")
-    return made.join(labels, "fp").select("doc_id", "fp", "component_id")
+    return made.join(labels, "fp").select("doc_id", "text_key", "fp", "component_id")
+
+
+def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """One row of each group of ``docs``, the one with the smallest id, with all its columns."""
+    kept = simhash_groups(docs, id_col, text, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = kept.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("component_id").alias("_component")).distinct()
+    # rows that share an id and a group are told apart by their text; equal rows are one
+    first = kept.groupBy("_id").agg(F.min("_key").alias("_key"))
+    keyed = docs.withColumns({"_id": F.col(id_col).cast("long"), "_text_key": text_key(F.col(text))})
+    found = keyed.join(first, keyed["_id"].eqNullSafe(first["_id"]) & (keyed["_text_key"] == first["_key"])).drop(first["_id"]).drop("_key")
+    return found.dropDuplicates(["_id", "_text_key"]).drop("_id", "_text_key")
 
 
 @query("op5_simhash")
