@@ -89,10 +89,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int,
 
     Rows without text or label are left out.  Equal texts count once, with their most frequent label.
     """
+    drawn = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64(F.lit(seed), "text").alias("_draw"))  # texts stay where they are
     rows = (
-        docs.where(F.col("text").isNotNull())
-        .join(labels.where(F.col(label).isNotNull()).select("doc_id", F.col(label).alias("_label")), "doc_id")
-        .groupBy(F.xxhash64(F.lit(seed), "text").alias("_draw")).agg(F.mode("_label", True).alias("_label"), F.min("doc_id").alias("_first"))
+        drawn.join(labels.where(F.col(label).isNotNull()).select("doc_id", F.col(label).alias("_label")), "doc_id")
+        .groupBy("_draw").agg(F.mode("_label", True).alias("_label"), F.min("doc_id").alias("_first"))
         .orderBy("_draw").limit(limit)
     )
     chosen = [(r["_draw"], r["_label"], r["_first"]) for r in rows.collect()]
