@@ -52,11 +52,16 @@ PART = 512 << 10
 _STRIP = re.compile(r"^[\W_]+|[\W_]+$")
 
 
+#: Set in the hash of a word that a given vocabulary holds.
+KNOWN = 1 << 40
+
+
 class Words:
     """Hashes of words without case and outer punctuation; zero for what has no letter or digit."""
 
-    def __init__(self):
+    def __init__(self, vocabulary: frozenset[int] = frozenset()):
         self.memo: dict[str, int] = {}
+        self.vocabulary = vocabulary
 
     def hashes(self, text: str) -> np.ndarray:
         chunks = text.split()
@@ -76,7 +81,8 @@ class Words:
             memo.clear()
         for w in chunks.difference(memo):
             plain = _STRIP.sub("", w).lower()
-            memo[w] = zlib.crc32(plain.encode()) | 1 << 32 if plain else 0
+            number = zlib.crc32(plain.encode()) | 1 << 32 if plain else 0
+            memo[w] = number | KNOWN if number in self.vocabulary else number
 
 
 def _words() -> Words:
@@ -197,11 +203,11 @@ def common_subsequence(a: list[int], b: list[int]) -> int:
 
 
 class Item:
-    def __init__(self, item_id, text: str):
-        self.id, self.words = item_id, _words().hashes(text).tolist()
+    def __init__(self, item_id, text: str, words: Words):
+        self.id, self.words = item_id, words.hashes(text).tolist()
         self.bag = frozenset(self.words)
         sentences = [s for s in re.split(r"(?<=[.!?])\s+", text.strip()) if s]
-        answer = _words().hashes(sentences[-1]).tolist() if len(sentences) > 1 else []
+        answer = words.hashes(sentences[-1]).tolist() if len(sentences) > 1 else []
         self.answer = answer if len(answer) >= 3 else []
         self.blocks = -(-len(self.words) // STRIDE) + 1
 
@@ -212,12 +218,18 @@ def _holds(words: list[int], part: list[int]) -> bool:
 
 
 class Finder:
-    """The items in the latent space, by the number of blocks that their windows have."""
+    """The items in the latent space, by the number of blocks that their windows have.
+
+    Only words of some item are folded, so what surrounds an item in a window, or how common the
+    item has become in the corpus, does not turn the window away from it.
+    """
 
     def __init__(self, items: list[tuple[object, str]], space: np.ndarray):
-        self.space = space
+        vocabulary = frozenset(h for _, text in items for h in _words().hashes(text).tolist())
+        self.words = once(("decontamination words", vocabulary), lambda: Words(vocabulary))
+        self.space = np.vstack([space, np.zeros((1, space.shape[1]), np.float32)])
         self.groups: dict[int, tuple[list[Item], np.ndarray]] = {}
-        found = [i for i in (Item(*row) for row in items) if i.words]
+        found = [i for i in (Item(*row, self.words) for row in items) if i.words]
         for blocks in sorted({i.blocks for i in found}):
             own = [i for i in found if i.blocks == blocks]
             z = np.stack([space[np.array(i.words) % BUCKETS].sum(0) for i in own])
@@ -225,13 +237,13 @@ class Finder:
 
     def find(self, texts: list[bytes | None]):
         """``[(item id, share of the item, cosine, answer found)]`` of each text, candidates that fail left out."""
-        hashes = [_words().hashes((t or b"").decode("utf-8", "replace")) for t in texts]
+        hashes = [self.words.hashes((t or b"").decode("utf-8", "replace")) for t in texts]
         out: list[list] = [[] for _ in texts]
         words = np.concatenate(hashes)
         if not len(words) or not self.groups:
             return out
         first, counts = _blocks(hashes, STRIDE)
-        folded = np.add.reduceat(self.space[words % BUCKETS], first, axis=0).astype(np.float64)
+        folded = np.add.reduceat(self.space[np.where(words >= KNOWN, words % BUCKETS, BUCKETS)], first, axis=0).astype(np.float64)
         sums = np.vstack([np.zeros(folded.shape[1]), np.cumsum(folded, axis=0)])
         ends = np.repeat(np.cumsum(counts), counts)
         starts = ends - np.repeat(counts, counts)

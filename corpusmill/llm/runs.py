@@ -339,20 +339,20 @@ def without_repeats(docs: DataFrame, width: int = WIDTH, **options) -> DataFrame
 
     Characters that a cut goes through go too.
     """
-    found = with_spans(keyed(docs), width, **options).drop("text_key")
-    at_text, at_spans = found.columns.index("text"), found.columns.index("spans")
-    kept = [f for f in found.schema.fields if f.name != "spans"]
+    plain = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    found = with_spans(keyed(plain), width, **options).select("text", "spans", F.col("row").dropFields("text").alias("row"))
+    kept = [found.schema["text"], found.schema["row"]]
 
     def run(batches):
         for batch in batches:
-            texts = [kept.decode("utf-8", "ignore") if gone else text.decode("utf-8", "replace") for text, kept, gone in _each_cut(batch, at_text, at_spans)]
-            gone = pa.array([bool(s) for s in batch.column(at_spans).to_pylist()], pa.bool_())
+            texts = [kept.decode("utf-8", "ignore") if gone else text.decode("utf-8", "replace") for text, kept, gone in _each_cut(batch, 0, 1)]
+            gone = pa.array([bool(s) for s in batch.column(1).to_pylist()], pa.bool_())
             blank = pa.array([not t.strip() for t in texts], pa.bool_())
-            columns = [pa.array(texts, pa.string()) if i == at_text else batch.column(i) for i in range(len(batch.columns)) if i != at_spans]
-            made = pa.RecordBatch.from_arrays(columns, [f.name for f in kept])
+            made = pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), batch.column(2)], ["text", "row"])
             yield made.filter(pc.invert(pc.and_(gone, blank)))
 
-    return found.mapInArrow(run, T.StructType(kept)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    left = found.mapInArrow(run, T.StructType(kept))
+    return left.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 @query("op9_repeated_passages")
