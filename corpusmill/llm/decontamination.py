@@ -41,8 +41,10 @@ DIMENSIONS = 48
 PASSAGE = 64
 STRIDE = 8
 CANDIDATE = 0.5
-COPY, PARAPHRASE = 0.8, 0.6
+COPY, PARAPHRASE = 0.7, 0.5
 FIT_DOCS = 20_000
+#: Rare words that stand for an item if it has as many.
+RARE_WORDS = 5
 COMMON, COMMON_WEIGHT = 0.02, 0.05
 ITEM_BLOCK, ITEM_BYTES = 4096, 16 << 20
 SEED = 23
@@ -56,33 +58,33 @@ _STRIP = re.compile(r"^[\W_]+|[\W_]+$")
 KNOWN = 1 << 40
 
 
-class Words:
-    """Hashes of words without case and outer punctuation; zero for what has no letter or digit."""
+class Words(dict):
+    """Hashes of words without case and outer punctuation, by what stands between white space.
+
+    Zero is for what has no letter or digit.  Remembers up to ``MEMO`` entries.
+    """
 
     def __init__(self, vocabulary: frozenset[int] = frozenset()):
-        self.memo: dict[str, int] = {}
+        super().__init__()
         self.vocabulary = vocabulary
 
-    def hashes(self, text: str) -> np.ndarray:
-        chunks = text.split()
-        self._learn(set(chunks))
-        found = np.fromiter(map(self.memo.__getitem__, chunks), np.int64, len(chunks))
-        return found[found > 0]
+    def __missing__(self, chunk: str) -> int:
+        plain = _STRIP.sub("", chunk).lower()
+        number = zlib.crc32(plain.encode()) | 1 << 32 if plain else 0
+        self[chunk] = number = number | KNOWN if number in self.vocabulary else number
+        return number
 
-    def distinct(self, text: str) -> np.ndarray:
-        chunks = set(text.split())
-        self._learn(chunks)
-        found = np.fromiter(map(self.memo.__getitem__, chunks), np.int64, len(chunks))
+    def _all(self, chunks) -> np.ndarray:
+        if len(self) > MEMO:
+            self.clear()
+        found = np.fromiter(map(self.__getitem__, chunks), np.int64, len(chunks))
         return found[found > 0]
 
-    def _learn(self, chunks: set[str]) -> None:
-        memo = self.memo
-        if len(memo) > MEMO:
-            memo.clear()
-        for w in chunks.difference(memo):
-            plain = _STRIP.sub("", w).lower()
-            number = zlib.crc32(plain.encode()) | 1 << 32 if plain else 0
-            memo[w] = number | KNOWN if number in self.vocabulary else number
+    def hashes(self, text: str) -> np.ndarray:
+        return self._all(text.split())
+
+    def distinct(self, text: str) -> np.ndarray:
+        return self._all(set(text.split()))
 
 
 def _words() -> Words:
@@ -123,8 +125,10 @@ def frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     return frequency, sum(r["n"] for r in rows if r["bucket"] < 0)
 
 
-def word_weights(frequency: np.ndarray, count: int) -> np.ndarray:
-    return np.where(frequency < max(2.0, COMMON * count), np.log((count + 1) / (frequency + 1)) + 0.02, COMMON_WEIGHT)
+def word_weights(frequency: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """``(weight, whether common)`` per bucket."""
+    common = frequency >= max(2.0, COMMON * count)
+    return np.where(common, COMMON_WEIGHT, np.log((count + 1) / (frequency + 1)) + 0.02), common
 
 
 def sketch(docs: DataFrame, weights: np.ndarray) -> np.ndarray:
@@ -180,13 +184,13 @@ def latent_space(total: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return (weights[:, None] * u[:, keep] / s[keep]).astype(np.float32)
 
 
-def fitted(docs: DataFrame) -> np.ndarray:
-    """The latent space of ``docs(text)``."""
+def fitted(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The latent space of ``docs(text)``, and which buckets are common."""
     frequency, count = frequencies(docs)
-    weights = word_weights(frequency, count)
+    weights, common = word_weights(frequency, count)
     share = min(1.0, FIT_DOCS / max(1, count))
     sample = docs.where(F.pmod(F.xxhash64(F.lit(SEED), "text"), F.lit(1_000_000)) < int(share * 1_000_000))
-    return latent_space(sketch(sample, weights), weights)
+    return latent_space(sketch(sample, weights), weights), common
 
 
 def common_subsequence(a: list[int], b: list[int]) -> int:
@@ -220,19 +224,25 @@ def _holds(words: list[int], part: list[int]) -> bool:
 class Finder:
     """The items in the latent space, by the number of blocks that their windows have.
 
-    Only words of some item are folded, so what surrounds an item in a window, or how common the
-    item has become in the corpus, does not turn the window away from it.
+    Only words of some item are folded, so what surrounds an item in a window does not turn the
+    window away from it.  Of an item with rare words these stand for it; an item that has hardly
+    any, because the corpus itself repeats it, is folded with all its words.
     """
 
-    def __init__(self, items: list[tuple[object, str]], space: np.ndarray):
-        vocabulary = frozenset(h for _, text in items for h in _words().hashes(text).tolist())
+    def __init__(self, items: list[tuple[object, str]], space: np.ndarray, common: np.ndarray):
+        vocabulary: set[int] = set()
+        for _, text in items:
+            own = _words().hashes(text)
+            rare = own[~common[own % BUCKETS]]
+            vocabulary.update((rare if len(rare) >= RARE_WORDS else own).tolist())
+        vocabulary = frozenset(vocabulary)
         self.words = once(("decontamination words", vocabulary), lambda: Words(vocabulary))
-        self.space = np.vstack([space, np.zeros((1, space.shape[1]), np.float32)])
+        self.space = space
         self.groups: dict[int, tuple[list[Item], np.ndarray]] = {}
         found = [i for i in (Item(*row, self.words) for row in items) if i.words]
         for blocks in sorted({i.blocks for i in found}):
             own = [i for i in found if i.blocks == blocks]
-            z = np.stack([space[np.array(i.words) % BUCKETS].sum(0) for i in own])
+            z = np.stack([space[np.array([w for w in i.words if w >= KNOWN]) % BUCKETS].sum(0) for i in own])
             self.groups[blocks] = own, z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
 
     def find(self, texts: list[bytes | None]):
@@ -243,7 +253,13 @@ class Finder:
         if not len(words) or not self.groups:
             return out
         first, counts = _blocks(hashes, STRIDE)
-        folded = np.add.reduceat(self.space[np.where(words >= KNOWN, words % BUCKETS, BUCKETS)], first, axis=0).astype(np.float64)
+        folded = np.zeros((len(first), self.space.shape[1]))
+        known = np.nonzero(words >= KNOWN)[0]
+        if len(known):
+            block = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(words))))[known]
+            heads = np.nonzero(np.append(True, block[1:] != block[:-1]))[0]
+            folded[block[heads]] = np.add.reduceat(self.space[words[known] % BUCKETS], heads, axis=0)
+        filled = np.append(0, np.cumsum(folded.any(axis=1)))  # windows without a word of an item are passed over
         sums = np.vstack([np.zeros(folded.shape[1]), np.cumsum(folded, axis=0)])
         ends = np.repeat(np.cumsum(counts), counts)
         starts = ends - np.repeat(counts, counts)
@@ -251,7 +267,8 @@ class Finder:
         at = np.arange(len(first))
         seen: dict[tuple[int, int], list] = {}
         for blocks, (items, z) in self.groups.items():
-            use = np.nonzero((at + blocks <= ends) | (at == starts))[0]
+            stop = np.minimum(at + blocks, ends)
+            use = np.nonzero(((at + blocks <= ends) | (at == starts)) & (filled[stop] > filled[at]))[0]
             w = (sums[np.minimum(use + blocks, ends[use])] - sums[use]).astype(np.float32)
             w /= np.maximum(np.linalg.norm(w, axis=1, keepdims=True), 1e-12)
             near = w @ z.T.astype(np.float32)
@@ -295,7 +312,7 @@ def item_blocks(items: DataFrame, id_col: str = "item_id", text: str = "text"):
 def with_hits(docs: DataFrame, items: DataFrame, text: str = "text", name: str = "hits") -> DataFrame:
     """``docs`` with an array of the items each document holds: item_id, share, cosine, answer."""
     space = fitted(docs.select(F.col(text).alias("text")))
-    sent = docs.sparkSession.sparkContext.broadcast(space)  # BUCKETS rows
+    sent = docs.sparkSession.sparkContext.broadcast(space)  # two tables of BUCKETS rows
     made = docs
     columns = []
     for number, block in enumerate(item_blocks(items)):
@@ -309,7 +326,7 @@ def with_hits(docs: DataFrame, items: DataFrame, text: str = "text", name: str =
 
 def _with_block(df: DataFrame, block, sent, text: str, column: str) -> DataFrame:
     def maker():
-        finder = Finder(block, sent.value)
+        finder = Finder(block, *sent.value)
 
         def work(texts):
             found, held, size = [], [], 0
