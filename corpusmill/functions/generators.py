@@ -82,23 +82,32 @@ PASSWORD_CHARS = string.ascii_letters + string.digits + SYMBOLS
 BOUNDARY_TYPE = "array<struct<value:string,case_label:string,is_invalid:boolean>>"
 
 
-def _constraint(constraints: Column | None, names: list[str], default: float) -> Column:
+def _given(constraints: Column, names: list[str]) -> Column:
+    return F.coalesce(*[F.try_element_at(constraints, F.lit(n)) for n in names])
+
+
+def _range(constraints: Column | None, names: tuple[list[str], list[str]], defaults: tuple[float, float]) -> tuple[Column, Column]:
+    """Lower and upper bound.
+
+    Where only one is given, the other's default gives way to it; where both are given and leave
+    nothing between them, both are NULL, and so is every value drawn from them.
+    """
+    low, high = (F.lit(float(d)) for d in defaults)
     if constraints is None:
-        return F.lit(float(default))
-    return F.coalesce(*[F.try_element_at(constraints, F.lit(n)) for n in names], F.lit(float(default)))
+        return low, high
+    own_low, own_high = (_given(constraints, n) for n in names)
+    low = F.coalesce(own_low, F.least(low, own_high))
+    high = F.coalesce(own_high, F.greatest(high, own_low))
+    return F.when(low <= high, low), F.when(low <= high, high)
 
 
 def bounds(data_type: str, constraints: Column | None) -> tuple[Column, Column]:
-    low_names, high_names = BOUND_NAMES[data_type]
-    low, high = DEFAULT_BOUNDS[data_type]
-    return _constraint(constraints, low_names, low), _constraint(constraints, high_names, high)
+    return _range(constraints, BOUND_NAMES[data_type], DEFAULT_BOUNDS[data_type])
 
 
 def _text_lengths(constraints: Column | None, defaults: tuple[int, int]) -> tuple[Column, Column]:
-    return (
-        _constraint(constraints, ["min_length"], defaults[0]).cast("int"),
-        _constraint(constraints, ["max_length"], defaults[1]).cast("int"),
-    )
+    low, high = _range(constraints, (["min_length"], ["max_length"]), defaults)
+    return low.cast("int"), high.cast("int")
 
 
 def valid_email(d: Draws) -> Column:

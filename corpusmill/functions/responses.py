@@ -34,7 +34,11 @@ def _is_array(text: Column) -> Column:
 
 def parse_fields(clean: Column) -> Column:
     """Field definitions of a response without fences, NULL unless it is one JSON array."""
-    return F.when(_is_array(clean), F.from_json(clean, FIELDS_TYPE))
+    read = F.from_json(clean, FIELDS_TYPE.replace("map<string,double>", "map<string,string>"))
+    # constraints that are no number do not take the numeric ones with them
+    numbers = lambda m: F.map_filter(F.transform_values(m, lambda _, v: v.try_cast("double")), lambda _, v: v.isNotNull())
+    fields = F.transform(read, lambda f: f.withField("constraints", numbers(f["constraints"])))
+    return F.when(_is_array(clean), fields.cast(FIELDS_TYPE))
 
 
 def parse_cases(response: Column) -> Column:

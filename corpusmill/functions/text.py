@@ -36,9 +36,14 @@ _NATIVE_ENTITIES = {
 }
 _OTHER_REFERENCE = rf"&(?!(?:amp|{'|'.join(_NATIVE_ENTITIES)});)[#a-zA-Z]"
 
-_TAG = r"""</?[a-zA-Z](?:"[^"]*"|'[^']*'|[^'">])*+>"""
-_DECLARATION = r"(?s)<!--.*?(?:-->|\z)|<![^>]*>|<\?[^>]*>"
-_SILENT = r"(?is)<(script|style)\b[^>]*>.*?(?:</\1\s*>|\z)"
+# Whatever begins first wins: a comment inside a script is script, a tag inside a comment is comment.
+_MARKUP = "(?is)" + "|".join([
+    r"<(script|style)\b[^>]*>.*?(?:</\1\s*>|\z)",
+    r"<!--.*?(?:-->|\z)",
+    r"<![^>]*>|<\?[^>]*>",
+    # a quote opens a value only behind an equals sign
+    r"""</?[a-z](?:=\s*"[^"]*"|=\s*'[^']*'|[^>])*+>""",
+])
 
 
 def strip(text: Column) -> Column:
@@ -89,7 +94,9 @@ def pretty_json(content: pa.Array) -> pa.Array:
             return None
         try:
             value = json.loads(raw.decode("utf-8"))
-            return {"text": json.dumps(value, indent=2, ensure_ascii=False), "error": None}
+            text = json.dumps(value, indent=2, ensure_ascii=False)
+            text.encode("utf-8")  # a lone surrogate is legal JSON but no text
+            return {"text": text, "error": None}
         except (ValueError, RecursionError) as problem:
             return {"text": None, "error": str(problem)}
 
@@ -132,10 +139,7 @@ def with_html_text(df: DataFrame, markup: str, out: str) -> DataFrame:
 
     Built in stages, as columns of their own, so that no stage is computed twice.
     """
-    body = F.regexp_replace(F.col(markup), _DECLARATION, "\n")
-    body = F.regexp_replace(body, _SILENT, "\n")
-    body = F.regexp_replace(body, _TAG, "\n")
-    decoded = with_unescaped(df.withColumn(out, body), out)
+    decoded = with_unescaped(df.withColumn(out, F.regexp_replace(F.col(markup), _MARKUP, "\n")), out)
     return decoded.withColumn(out, F.array_join(lines(F.col(out)), "\n"))
 
 

@@ -17,16 +17,15 @@ from corpusmill.operators.rows import unnest
 # Coarse to fine; the empty separator cuts anywhere.
 SEPARATORS = ["\n\n", "\n", ". ", "! ", "? ", "; ", ", ", " ", ""]
 CHUNK_SIZE, CHUNK_OVERLAP = 1000, 200
-SIZE_RANGE, OVERLAP_RANGE = (100, 2000), (0, 500)
 # ----------------------------------------------------------------------------------------------
 
 
 def check_settings(size: int, overlap: int) -> None:
-    """Reject settings outside the accepted ranges, and overlaps that would not advance."""
-    if not SIZE_RANGE[0] <= size <= SIZE_RANGE[1]:
-        raise ValueError(f"chunk size must lie in {SIZE_RANGE}, got {size}")
-    if not OVERLAP_RANGE[0] <= overlap <= OVERLAP_RANGE[1]:
-        raise ValueError(f"chunk overlap must lie in {OVERLAP_RANGE}, got {overlap}")
+    """Reject sizes without room, negative overlaps, and overlaps that would not advance."""
+    if size < 1:
+        raise ValueError(f"chunk size must be at least 1, got {size}")
+    if overlap < 0:
+        raise ValueError(f"chunk overlap must not be negative, got {overlap}")
     if overlap >= size:
         raise ValueError(f"chunk overlap {overlap} must be smaller than chunk size {size}")
 

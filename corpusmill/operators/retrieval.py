@@ -247,9 +247,14 @@ def most_similar(hits: DataFrame, key: str, query_id: str = "query_id") -> DataF
 def attach_chunks(hits: DataFrame, chunks: DataFrame, keys: list[str], n_hits: int | None = None) -> DataFrame:
     """Look up the chunk columns of every hit.
 
-    With a known hit count (number of queries x k) below the shipping bound the hits are
+    With a known hit count (number of queries x k) below the shipping bound the hit keys are
     broadcast, so the chunk table is scanned in place; otherwise both sides are joined by key.
+    Chunks that are no hit are dropped before anything else happens to them, and of equal copies
+    one is kept, as every copy already has a hit of its own.
     """
+    wanted = hits.select(*keys).distinct()
     if n_hits is not None and n_hits <= MAX_BROADCAST_QUERIES * MAX_TOP_K:
-        hits = F.broadcast(hits)
-    return chunks.join(hits, keys)
+        wanted = F.broadcast(wanted)
+    found = chunks.join(wanted, keys, "left_semi")
+    rest = [F.first(c).alias(c) for c in chunks.columns if c not in keys]
+    return found.groupBy(*keys).agg(*rest).join(hits, keys)

@@ -18,11 +18,12 @@ NO_TEXT = "No text content found"
 
 
 class Ingested(NamedTuple):
-    """Per-file results stay a table; only the totals are one row."""
+    """Per-file results stay a table; only the totals are one row.  Queries need ``encoder``."""
 
     results: DataFrame
     summary: DataFrame
     error: str | None = None
+    encoder: HashingEncoder | None = None
 
 
 def chunked(
@@ -43,10 +44,10 @@ def chunk_rows(documents: DataFrame) -> DataFrame:
     return chunk_table(documents.filter("success").select(*rest, F.lit("").alias("text"), "chunks"), F.col("chunks")).drop("chunks")
 
 
-def file_results(documents: DataFrame, name: Column) -> DataFrame:
-    return documents.select(
-        name.alias("file_name"), "success", F.size("chunks").cast("bigint").alias("chunks_added"), "error"
-    )
+def file_results(documents: DataFrame, name: Column, added: Column | None = None) -> DataFrame:
+    """One row per file; ``added`` is the number of chunks stored, else all it has count."""
+    number = F.size("chunks") if added is None else added
+    return documents.select(name.alias("file_name"), "success", number.cast("bigint").alias("chunks_added"), "error")
 
 
 def ingest_summary(results: DataFrame) -> DataFrame:
@@ -65,12 +66,15 @@ def ingest_documents(parsed: DataFrame, kb: KnowledgeBase, encoder: HashingEncod
     The chunked documents are written once to shared scratch: fitting the encoder, storing and
     reporting all read them, and the text is parsed and cut only once.
     """
+    for missing in {"filename", "source", "error"} - set(parsed.columns):
+        parsed = parsed.withColumn(missing, F.lit(None).cast("string"))
     documents = materialize(chunked(parsed, size, overlap), "chunked")
     chunks = chunk_rows(documents)
-    results = file_results(documents, F.coalesce("filename", "source"))
-    fitted = encoder or HashingEncoder.fit(chunks, dimension=kb.dimension)
-    kb.add(fitted.encode(chunks), mode)
-    return Ingested(results, ingest_summary(results))
+    fitted = encoder or kb.encoder(lambda: HashingEncoder.fit(chunks, dimension=kb.dimension))
+    added = kb.add(fitted.encode(chunks), mode)
+    reported = documents.join(added, "doc_key", "left").withColumn("added", F.coalesce("added", F.lit(0)))
+    results = materialize(file_results(reported, F.coalesce("filename", "source"), F.col("added")), "results")
+    return Ingested(results, ingest_summary(results), encoder=fitted)
 
 
 def ingest_directory(

@@ -36,9 +36,9 @@ def supported_extensions(extractors: dict[str, Extractor] | None = None) -> list
     return [e for e in PARSER_EXTENSIONS if e not in missing]
 
 
-def _glob(extensions: list[str]) -> str:
+def name_pattern(extensions: list[str]) -> str:
     """File-name pattern for a set of extensions in any letter case."""
-    any_case = ["".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e) for e in extensions]
+    any_case = ["".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e.lstrip(".")) for e in extensions]
     return "*.{" + ",".join(any_case) + "}"
 
 
@@ -55,7 +55,7 @@ def scan_files(
         return spark.createDataFrame([], FILE_SCHEMA)
     reader = (
         spark.read.format("binaryFile")
-        .option("pathGlobFilter", _glob([e.lstrip(".") for e in wanted]))
+        .option("pathGlobFilter", name_pattern(wanted))
         .option("recursiveFileLookup", str(recursive).lower())
     )
     try:
@@ -87,7 +87,9 @@ def _extract_udf(extractors: dict[str, Extractor]):
             if raw is None:
                 return None
             try:
-                return {"text": extractors[extension](raw), "error": None}
+                text = extractors[extension](raw)
+                text.encode("utf-8")
+                return {"text": text, "error": None}
             except Exception as problem:  # a bad file is a failed row, not a failed job
                 return {"text": None, "error": str(problem)}
 

@@ -10,18 +10,27 @@ from corpusmill.functions.encoders import HashingEncoder
 from corpusmill.operators.chunking import CHUNK_OVERLAP, CHUNK_SIZE, chunk_table, recursive_chunks
 from corpusmill.operators.generation import usage_stats
 from corpusmill.session import scratch_dir
-from corpusmill.sources.files import FILES_TYPE, parse_files
+from corpusmill.sources.files import FILES_TYPE, name_pattern, parse_files, supported_extensions
 from corpusmill.sources.knowledge_base import KnowledgeBase
 
 
-def stream_files(spark: SparkSession, directory: str, recursive: bool = True) -> DataFrame:
-    """New files of a folder as a stream (``path, modificationTime, length, content``)."""
+def stream_files(spark: SparkSession, directory: str, recursive: bool = True, extensions: list[str] | None = None) -> DataFrame:
+    """New files of a folder as a stream (``path, modificationTime, length, content``).
+
+    As in the batch scan, files of other kinds are skipped while listing.
+    """
+    wanted = supported_extensions() if extensions is None else extensions
     return (
-        spark.readStream.format("binaryFile").schema(FILES_TYPE)
+        spark.readStream.format("binaryFile").schema(FILES_TYPE).option("pathGlobFilter", name_pattern(wanted))
         .option("recursiveFileLookup", str(recursive).lower()).load(directory)
     )
 
 
+def file_status(documents: DataFrame) -> DataFrame:
+    """A row per file of a document stream, failed ones included, for a sink of its own."""
+    return documents.select("doc_key", "filename", "success", "error")
+
+
 def documents_of(files: DataFrame) -> DataFrame:
     return parse_files(files).select(
         F.col("path").alias("doc_key"), F.element_at(F.split("path", "/"), -1).alias("filename"),

@@ -76,7 +76,7 @@ def test_recursive_column_and_numbering(spark):
     assert [r.id for r in rows if r.id != 1] == [4]
 
 
-@pytest.mark.parametrize("size,overlap", [(50, 0), (3000, 0), (1000, 600), (200, 200)])
+@pytest.mark.parametrize("size,overlap", [(0, 0), (-5, 0), (100, -1), (200, 200), (10, 11)])
 def test_settings_are_checked(size, overlap):
     with pytest.raises(ValueError):
         chunking.check_settings(size, overlap)
