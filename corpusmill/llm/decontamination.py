@@ -24,6 +24,7 @@ columns are ignored.
 from __future__ import annotations
 
 import re
+import string
 import zlib
 
 import numpy as np
@@ -51,7 +52,8 @@ SEED = 23
 MEMO = 500_000
 #: Bytes of text whose words are in memory as vectors at once.
 PART = 512 << 10
-_STRIP = re.compile(r"^[\W_]+|[\W_]+$")
+#: What is taken off the ends of a word.
+_ENDS = string.punctuation + "\u00a1\u00ab\u00b7\u00bb\u00bf\u2010\u2011\u2012\u2013\u2014\u2018\u2019\u201a\u201c\u201d\u201e\u2026\u2039\u203a\u3001\u3002"
 
 
 #: Set in the hash of a word that a given vocabulary holds.
@@ -61,7 +63,7 @@ KNOWN = 1 << 40
 class Words(dict):
     """Hashes of words without case and outer punctuation, by what stands between white space.
 
-    Zero is for what has no letter or digit.  Remembers up to ``MEMO`` entries.
+    Zero is for what is all punctuation.  Remembers up to ``MEMO`` entries.
     """
 
     def __init__(self, vocabulary: frozenset[int] = frozenset()):
@@ -69,9 +71,11 @@ class Words(dict):
         self.vocabulary = vocabulary
 
     def __missing__(self, chunk: str) -> int:
-        plain = _STRIP.sub("", chunk).lower()
+        plain = chunk.strip(_ENDS).lower()
         number = zlib.crc32(plain.encode()) | 1 << 32 if plain else 0
-        self[chunk] = number = number | KNOWN if number in self.vocabulary else number
+        if number in self.vocabulary:
+            number |= KNOWN
+        self[chunk] = number
         return number
 
     def _all(self, chunks) -> np.ndarray:
@@ -253,14 +257,17 @@ class Finder:
         if not len(words) or not self.groups:
             return out
         first, counts = _blocks(hashes, STRIDE)
-        folded = np.zeros((len(first), self.space.shape[1]))
+        folded = np.zeros((len(first), self.space.shape[1]), np.float32)
+        present = np.zeros(len(first), bool)
         known = np.nonzero(words >= KNOWN)[0]
         if len(known):
             block = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(words))))[known]
             heads = np.nonzero(np.append(True, block[1:] != block[:-1]))[0]
+            present[block[heads]] = True
             folded[block[heads]] = np.add.reduceat(self.space[words[known] % BUCKETS], heads, axis=0)
-        filled = np.append(0, np.cumsum(folded.any(axis=1)))  # windows without a word of an item are passed over
-        sums = np.vstack([np.zeros(folded.shape[1]), np.cumsum(folded, axis=0)])
+        filled = np.append(0, np.cumsum(present))  # windows without a word of an item are passed over
+        sums = np.zeros((len(first) + 1, folded.shape[1]), np.float32)
+        np.cumsum(folded, axis=0, out=sums[1:])
         ends = np.repeat(np.cumsum(counts), counts)
         starts = ends - np.repeat(counts, counts)
         owner = np.repeat(np.arange(len(texts)), counts)
@@ -269,7 +276,7 @@ class Finder:
         for blocks, (items, z) in self.groups.items():
             stop = np.minimum(at + blocks, ends)
             use = np.nonzero(((at + blocks <= ends) | (at == starts)) & (filled[stop] > filled[at]))[0]
-            w = (sums[np.minimum(use + blocks, ends[use])] - sums[use]).astype(np.float32)
+            w = sums[stop[use]] - sums[use]
             w /= np.maximum(np.linalg.norm(w, axis=1, keepdims=True), 1e-12)
             near = w @ z.T.astype(np.float32)
             for i, j in zip(*map(np.ndarray.tolist, np.nonzero(near >= CANDIDATE)), strict=True):
