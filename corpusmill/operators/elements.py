@@ -9,6 +9,7 @@ expression inside the page's row: no structure query shuffles, also when one pag
 from __future__ import annotations
 
 from html import unescape
+from collections import Counter
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -62,6 +63,9 @@ class _PageReader(HTMLParser):
         super().__init__(convert_charrefs=False)
         self.elements: list[dict] = []
         self.open: list[int] = []
+        self.open_tags: Counter[str] = Counter()  # what is open, so that no step walks the open tags
+        self.open_forms: list[int] = []
+        self.silent = self.keeping = 0
         self.text, self.bare = [], []
         self.text_len = self.bare_len = 0
         self.pending: list[str] = []
@@ -71,12 +75,11 @@ class _PageReader(HTMLParser):
         if not self.pending:
             return
         node, self.pending = "".join(self.pending), []
-        tags = [self.elements[i]["tag"] for i in self.open]
-        if not node.strip(MARKUP_SPACES) and not any(t in KEEP_BLANKS_TAGS for t in tags):
+        if not node.strip(MARKUP_SPACES) and not self.keeping:
             node = "\n" if "\n" in node else " "
         if self.open:
             self.children[self.open[-1]].append(node)
-        if any(t in SILENT_TAGS for t in tags):
+        if self.silent:
             return
         stripped = node.strip()
         self.text.append(node)
@@ -91,7 +94,7 @@ class _PageReader(HTMLParser):
         self.elements.append({
             "elem_idx": index,
             "parent_idx": self.open[-1] if self.open else None,
-            "ancestor_forms": [i for i in self.open if self.elements[i]["tag"] == "form"],
+            "ancestor_forms": self.open_forms.copy(),
             "tag": tag,
             "attrs": list(values.items()),
             "classes": values["class"].split() if "class" in values else None,
@@ -103,6 +106,14 @@ class _PageReader(HTMLParser):
             self.children[self.open[-1]].append(index)
         if tag not in VOID_TAGS:
             self.open.append(index)
+            self._count(tag, index, 1)
+
+    def _count(self, tag: str, index: int, step: int) -> None:
+        self.open_tags[tag] += step
+        self.silent += step * (tag in SILENT_TAGS)
+        self.keeping += step * (tag in KEEP_BLANKS_TAGS)
+        if tag == "form":
+            self.open_forms.append(index) if step > 0 else self.open_forms.pop()
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -111,11 +122,12 @@ class _PageReader(HTMLParser):
 
     def _close_last(self):
         element = self.elements[self.open.pop()]
+        self._count(element["tag"], element["elem_idx"], -1)
         element["text_to"], element["bare_to"] = self.text_len, self.bare_len
 
     def handle_endtag(self, tag):
         self._flush()
-        if any(self.elements[i]["tag"] == tag for i in self.open):
+        if self.open_tags[tag]:
             while self.elements[self.open[-1]]["tag"] != tag:
                 self._close_last()
             self._close_last()

@@ -129,3 +129,14 @@ def test_raw_text_can_be_ingested(spark, tmp_path):
 def test_element_parser_agrees(spark):
     frame = spark.createDataFrame([(i, h) for i, (h, _) in enumerate(HARD_PAGES[:2])], "page_id int, html string")
     assert parse_pages(frame).count() == 2
+
+
+def test_many_open_tags_take_linear_time():
+    import time
+
+    from corpusmill.operators.elements import read_page
+
+    started = time.process_time()
+    page = read_page("<form><ul>" + "<li>x" * 60_000 + "</form>after")
+    assert time.process_time() - started < 10
+    assert len(page["elements"]) == 60_002 and page["elements"][-1]["ancestor_forms"] == [0]
