@@ -310,3 +310,28 @@ def export_records(spark, d):
     export_json(rows, path, by="kind")
     stored = spark.read.schema(rows.schema).json(path)
     return stored.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count("value").alias("n_values"))
+
+
+@query("gen_bounds_one_sided", """
+    SELECT p_partkey, kind, side, TRUE AS within FROM part,
+           (VALUES ('age'), ('number'), ('price'), ('text')) AS k(kind), (VALUES ('low'), ('high')) AS s(side)
+    UNION ALL SELECT p_partkey, kind, 'crossed', TRUE FROM part, (VALUES ('age'), ('number'), ('price')) AS k(kind)""")
+def gen_bounds_one_sided(spark, d):
+    """Values keep to the one bound they are given, also beyond the other's default; crossed bounds give none."""
+    part = read_table(spark, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("size"))
+    draws = Draws(7, F.col("p_partkey"), F.lit("bound"))
+    makers = {"age": gen.valid_age, "number": gen.valid_number, "price": gen.valid_price, "text": gen.valid_text}
+    rows = []
+    for kind, make in makers.items():
+        low, high = ("min_length", "max_length") if kind == "text" else ("min", "max")
+        measure = F.length if kind == "text" else (lambda v: v)
+        above, below = F.col("size") + (0 if kind == "text" else 1500), F.col("size") / 2 if kind != "text" else F.col("size")
+        over = make(draws, F.create_map(F.lit(low), above))
+        under = make(draws, F.create_map(F.lit(high), below))
+        # a text promises its greatest length only
+        rows.append(F.struct(F.lit(kind).alias("kind"), F.lit("low").alias("side"), (over.isNotNull() if kind == "text" else measure(over) >= above).alias("within")))
+        rows.append(F.struct(F.lit(kind).alias("kind"), F.lit("high").alias("side"), (measure(under) <= below).alias("within")))
+        if kind != "text":
+            crossed = make(draws, F.create_map(F.lit(low), above, F.lit(high), below))
+            rows.append(F.struct(F.lit(kind).alias("kind"), F.lit("crossed").alias("side"), crossed.isNull().alias("within")))
+    return part.select("p_partkey", F.explode(F.array(*rows)).alias("r")).select("p_partkey", "r.*")

@@ -43,6 +43,22 @@ def html_text(spark, d):
     return with_html_text(pages, "html", "text").select("page_id", "text")
 
 
+# Markup whose parts can be mistaken for each other, around values of the row.
+HARD_PARTS = [
+    "<p>", "url", "</p><script>if(a<!b){x('<p>')}</script><p title=it's>", "page_id", "</p><script>var s='<!--'</script><!-- <script> --><b>",
+    "url", "</b><style>a > b {}</style><a title='x > y' href=\"<i>\">", "page_id", "</a><!DOCTYPE z><!-- open <p>lost",
+]
+
+
+@query("html_text_hard", """
+    SELECT page_id, concat_ws(chr(10), url, page_id, url, page_id) AS text FROM pages""")
+def html_text_hard(spark, d):
+    """Scripts that look like comments, comments that look like scripts, odd quotes, a comment left open."""
+    parts = [F.col(p).cast("string") if p in ("url", "page_id") else F.lit(p) for p in HARD_PARTS]
+    pages = read_table(spark, d, "pages").select("page_id", F.concat(*parts).alias("html"))
+    return with_html_text(pages, "html", "text").select("page_id", "text")
+
+
 ELEMENT_SQL = rf"SELECT page_id, unnest(regexp_extract_all({QUIET}, '<([a-zA-Z][a-zA-Z0-9]*)', 1)) AS tag FROM pages"
 
 

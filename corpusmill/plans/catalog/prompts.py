@@ -150,12 +150,14 @@ def answer_cases(spark, d):
 
 @query("answer_scripts")
 def answer_scripts(spark, d):
-    """Test cases with the structure of their page to retrieval, prompt and cleaned script."""
+    """Every page with a test case, its structure, retrieval, prompt and cleaned script."""
     chunks = materialize(_document_chunks(spark, d), "chunks")
     encoder = HashingEncoder.fit(chunks)
     pages = parse_pages(read_table(spark, d, "pages").select(F.col("page_id").alias("query_id"), "html"))
-    wanted = read_table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    described = wanted.join(structure_context(pages), "query_id")
+    items = read_table(spark, d, "benchmark")
+    asked = items.select(F.col("item_id").alias("_item"), F.col("text").alias("query"))
+    described = structure_context(pages).withColumn("_item", F.pmod("query_id", F.lit(max(1, items.count()))))
+    described = described.join(asked, "_item", "left").drop("_item").withColumn("query", F.coalesce("query", F.lit("")))
     stored = materialize(encoder.encode(chunks), "encoded")
     return answers.generate_scripts(described, stored, encoder, stub_model).select(
         "query_id", "script", "structure_context", F.array_join("sources", "|").alias("sources"), "error"
