@@ -65,40 +65,53 @@ def decode(unit: np.ndarray, code: int = CODE, passed: int = PASSED) -> list[np.
     return out
 
 
+#: Vectors whose filter rows are in memory at once.
+SLICE = 200
+
+
+def _units(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # so that no square overflows
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _lists(rows: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    """A list per row of a matrix, without a Python object per value."""
+    offsets = pa.array(np.arange(len(rows) + 1) * rows.shape[1], pa.int32())
+    return pa.ListArray.from_arrays(offsets, pa.array(rows.ravel(), kind))
+
+
 def _filtered(code: int, passed: int, kind: pa.DataType):
     def run(batches):
         for batch in batches:
-            nodes, sizes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            vectors = [np.array(v, np.float64) for v in batch.column(2).to_pylist()]
-            found: dict[int, np.ndarray] = {}
-            for dim in {len(v) for v in vectors}:
-                at = [i for i, v in enumerate(vectors) if len(v) == dim]
-                x = np.stack([vectors[i] for i in at])
-                x /= np.abs(x).max(axis=1, keepdims=True)
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
-                found |= dict(zip(at, decode(x, code, passed), strict=True))
-            rows = [(int(f) | len(vectors[i]) << 40, nodes[i], sizes[i], found[i].tolist(), vectors[i].tolist()) for i in range(len(vectors)) for f in found[i]]
-            for s in range(0, len(rows), 5000):
-                part = list(zip(*rows[s:s + 5000], strict=True))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(part[0], pa.int64()), pa.array(part[1], pa.int64()), pa.array(part[2], pa.int64()), pa.array(part[3], pa.list_(pa.int32())), pa.array(part[4], pa.list_(kind))],
-                    ["filter", "node", "size", "passed", "vector"])
+            for start in range(0, batch.num_rows, SLICE):
+                part = batch.slice(start, SLICE)
+                nodes, sizes = part.column(0).to_numpy(), part.column(1).to_numpy()
+                dims = np.array([len(v) for v in part.column(2)])
+                for dim in np.unique(dims):
+                    at = np.nonzero(dims == dim)[0]
+                    x = np.stack([np.array(part.column(2)[i].as_py(), np.float64) for i in at.tolist()])
+                    found = np.stack(decode(_units(x), code, passed))
+                    times = found.shape[1]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(found.ravel() | int(dim) << 40, pa.int64()), pa.array(np.repeat(nodes[at], times), pa.int64()), pa.array(np.repeat(sizes[at], times), pa.int64()),
+                         _lists(np.repeat(found, times, axis=0), pa.int32()), _lists(np.repeat(x, times, axis=0), kind)],
+                        ["filter", "node", "size", "passed", "vector"])
 
     return run
 
 
-def _first_shared(number: int, passed: list[list[int]], others: list[list[int]]) -> np.ndarray:
-    """Whether no filter below ``number`` is shared, for each pair."""
-    column: dict[int, int] = {}
-    for rows in passed:
-        for f in rows:
+def _shared_below(number: int, passed: list[list[int]]) -> np.ndarray:
+    """Whether two rows share a filter below ``number``."""
+    holders: dict[int, list[int]] = {}
+    for i, row in enumerate(passed):
+        for f in row:
             if f < number:
-                column.setdefault(f, len(column))
-    left, right = np.zeros((len(passed), len(column)), np.float32), np.zeros((len(others), len(column)), np.float32)
-    for side, rows in ((left, passed), (right, others)):
-        for i, row in enumerate(rows):
-            side[i, [column[f] for f in row if f in column]] = 1
-    return left @ right.T == 0
+                holders.setdefault(f, []).append(i)
+    shared = np.zeros((len(passed), len(passed)), bool)
+    for rows in holders.values():
+        if len(rows) > 1:
+            shared[np.ix_(rows, rows)] = True
+    return shared
 
 
 def _linked(cosine: float):
@@ -107,9 +120,7 @@ def _linked(cosine: float):
     def cell(rows):
         number = rows[0][0] & ((1 << 40) - 1)
         low, high, own = rows[0][5], rows[0][6], np.array([r[7] for r in rows])
-        x = np.array([r[4] for r in rows], np.float64)
-        x /= np.abs(x).max(axis=1, keepdims=True)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        x = _units(np.stack([r[4] for r in rows]))
         links = x @ x.T >= cosine
         np.fill_diagonal(links, False)
         if low != high:
@@ -121,7 +132,7 @@ def _linked(cosine: float):
         nodes = np.array([rows[i][1] for i in at])
         sizes = np.array([rows[i][2] for i in at])
         passed = [rows[i][3] for i in at]
-        counted = np.where(links & _first_shared(number, passed, passed), sizes, 0).sum(axis=1)
+        counted = np.where(links & ~_shared_below(number, passed), sizes, 0).sum(axis=1)
         least = nodes.copy()
         while True:
             new = np.minimum(least, np.where(links, least, np.iinfo(np.int64).max).min(axis=1))
@@ -139,12 +150,14 @@ def _linked(cosine: float):
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in part], ["node", "links", "least"])
 
         for batch in batches:
-            for row in zip(*[batch.column(i).to_pylist() for i in range(8)], strict=True):
-                if held and (held[-1][0], held[-1][5], held[-1][6]) != (row[0], row[5], row[6]):
-                    if len(held) > 1:
-                        out.extend(cell(held))
-                    held = []
-                held.append(row)
+            for start in range(0, batch.num_rows, 500):  # few rows at a time as Python objects
+                columns = [batch.column(i).slice(start, 500) for i in range(8)]
+                for row in zip(*[c if i == 4 else c.to_pylist() for i, c in enumerate(columns)], strict=True):
+                    if held and (held[-1][0], held[-1][5], held[-1][6]) != (row[0], row[5], row[6]):
+                        if len(held) > 1:
+                            out.extend(cell(held))
+                        held = []
+                    held.append((*row[:4], np.array(row[4].as_py(), np.float64), *row[5:]))
             if len(out) > 10_000:
                 yield flush()
         if len(held) > 1:
