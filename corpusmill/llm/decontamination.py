@@ -279,10 +279,13 @@ class Finder:
             w = sums[stop[use]] - sums[use]
             w /= np.maximum(np.linalg.norm(w, axis=1, keepdims=True), 1e-12)
             near = w @ z.T.astype(np.float32)
+            window = -1
             for i, j in zip(*map(np.ndarray.tolist, np.nonzero(near >= CANDIDATE)), strict=True):
-                doc = int(owner[use[i]])
-                begin = int(use[i] - starts[use[i]]) * STRIDE
-                own = hashes[doc][max(0, begin - STRIDE):begin + (blocks + 1) * STRIDE].tolist()
+                if i != window:  # a window's candidates come one after the other
+                    window = i
+                    doc = int(owner[use[i]])
+                    begin = int(use[i] - starts[use[i]]) * STRIDE
+                    own = hashes[doc][max(0, begin - STRIDE):begin + (blocks + 1) * STRIDE].tolist()
                 item = items[j]
                 if sum(map(item.bag.__contains__, own)) < PARAPHRASE * len(item.words):  # bounds the subsequence
                     continue
