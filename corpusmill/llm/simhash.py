@@ -110,7 +110,12 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
 def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """One row of each group of ``docs``, the one with the smallest id, with all its columns."""
-    kept = simhash_groups(docs, id_col, text, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return first_rows(docs, simhash_groups(docs, id_col, text, **options), id_col, text)
+
+
+def first_rows(docs: DataFrame, groups: DataFrame, id_col: str, text: str) -> DataFrame:
+    """The first row of each of ``groups(doc_id, text_key, component_id)``."""
+    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     kept = kept.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("component_id").alias("_component")).distinct()
     # rows that share an id and a group are told apart by their text; equal rows are one
     first = kept.groupBy("_id").agg(F.min("_key").alias("_key"))
