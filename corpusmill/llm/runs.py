@@ -38,6 +38,8 @@ from corpusmill.llm.registry import query
 from corpusmill.session import materialize
 
 WIDTH = 400
+#: Bytes of a word where passages are measured in words, and of an anchor there.
+CODE, WORDS_GRAM = 4, 32
 #: Bytes of an anchor.
 GRAM = 128
 #: Contexts at one anchor, and bytes, that one index may hold.
@@ -45,6 +47,7 @@ INDEX_CONTEXTS = 4000
 INDEX_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _POSITION_BITS = 24
+_SPACE = np.isin(np.arange(256), np.frombuffer(b" \t\n\r\x0b\x0c", np.uint8))
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -227,11 +230,68 @@ def contexts(docs: DataFrame, width: int, gram: int) -> DataFrame:
     return docs.select("doc_id", "text_key", "text").mapInArrow(run, f"{_PLACE}, anchor bigint, digest binary, first bigint, last bigint")
 
 
+def _units(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """First and end byte of each word; in scripts that do not set spaces each character is one."""
+    data = np.frombuffer(text, np.uint8)
+    if not len(data):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    inside = ~_SPACE[data]
+    after = np.append(data[1:], 0)
+    alone = (data >= 0xE3) & (data <= 0xE9)  # kana, Han and their punctuation; then Thai, Lao, Myanmar, Khmer
+    alone |= (data == 0xE0) & (after >= 0xB8) & (after <= 0xBB)
+    alone |= (data == 0xE1) & (((after >= 0x80) & (after <= 0x82)) | (after == 0x9E) | (after == 0x9F))
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    if alone.any():
+        begins |= alone
+        begins[3:] |= alone[:-3] & inside[3:]
+    first = np.nonzero(begins)[0]
+    gaps = np.append(np.nonzero(~inside)[0], len(data))
+    return first, np.minimum(np.append(first[1:], len(data)), gaps[np.searchsorted(gaps, first)])
+
+
+def _codes(text: bytes) -> bytes:
+    """``CODE`` bytes for each word, a hash of its bytes."""
+    first, end = _units(text)
+    up, down = _powers(len(text) + 1)
+    sums = np.zeros(len(text) + 1, np.uint64)
+    np.cumsum((np.frombuffer(text, np.uint8).astype(np.uint64) + np.uint64(1)) * down[:len(text)], out=sums[1:])
+    h = (sums[end] - sums[first]) * up[first]
+    h ^= h >> np.uint64(31)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return (h >> np.uint64(32)).astype("<u4").tobytes()
+
+
+def coded(docs: DataFrame) -> DataFrame:
+    """``docs(doc_id, text_key, text)`` with the codes of the words in place of the text."""
+    kinds = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text_key", T.LongType()), T.StructField("text", T.BinaryType())])
+
+    def run(batches):
+        for batch in batches:
+            codes = [_codes(t or b"") for _, texts in steps(batch.column(2)) for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(codes, pa.binary())], ["doc_id", "text_key", "text"])
+
+    return docs.select("doc_id", "text_key", "text").mapInArrow(run, kinds)
+
+
+def in_bytes(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Bytes of the words whose codes ``spans`` cover, with what stands between them."""
+    if not spans:
+        return []
+    first, end = _units(text)
+    out = []
+    for a, b in merged(spans):
+        a, b = -(-a // CODE), b // CODE
+        if a < b:
+            out.append((int(first[a]), int(end[b - 1])))
+    return out
+
+
 def _fetch(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """``wanted(doc_id, text_key, anchor, first, last, alone, hot)`` with the bytes of each context."""
     per_text = wanted.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("anchor", "first", "last", "alone", "hot")).alias("w"))
     found = docs.alias("d").join(per_text.alias("p"), F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("d.text_key") == F.col("p.text_key")))
-    found = found.select("d.doc_id", "d.text_key", F.coalesce("text", F.lit("")).cast("binary").alias("b"), F.explode("w").alias("w"))
+    found = found.select("d.doc_id", "d.text_key", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("b"), F.explode("w").alias("w"))
     return found.select("doc_id", "text_key", "w.*", F.substring(F.col("b"), (F.col("w.first") + 1).cast("int"), (F.col("w.last") - F.col("w.first") + width).cast("int")).alias("bytes"))
 
 
@@ -296,21 +356,34 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, index_
     return whole.unionAll(indexed).unionAll(split)
 
 
-def with_spans(docs: DataFrame, width: int = WIDTH, **options) -> DataFrame:
-    """``docs(doc_id, text_key, text, ...)`` with ``spans``, an array of (start, stop) to cut, unordered."""
-    spans = repeated_spans(docs, width, **options).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+def with_spans(docs: DataFrame, width: int = WIDTH, words: int | None = None, **options) -> DataFrame:
+    """``docs(doc_id, text_key, text, ...)`` with ``spans``, an array of (start, stop) to cut, unordered.
+
+    With ``words`` a passage has that many words instead of ``width`` bytes, whatever white space stands
+    between them, and the spans count in codes of words (see ``in_bytes``).
+    """
+    if words is None:
+        spans = repeated_spans(docs, width, **options)
+    else:
+        spans = repeated_spans(coded(docs), words * CODE, **{"gram": min(WORDS_GRAM, words * CODE)} | options)
+    spans = spans.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     found = docs.alias("d").join(spans.alias("s"), F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d.text_key") == F.col("s.text_key")), "left")
     return found.select("d.*", "s.spans")
 
 
-def cut(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, list[tuple[int, int]]]:
-    """What is left of ``text``, and the maximal runs that go."""
+def merged(spans: list[tuple[int, int]]) -> list[list[int]]:
     runs: list[list[int]] = []
     for a, b in sorted(spans):
         if runs and a <= runs[-1][1]:
             runs[-1][1] = max(runs[-1][1], b)
         else:
             runs.append([a, b])
+    return runs
+
+
+def cut(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, list[tuple[int, int]]]:
+    """What is left of ``text``, and the maximal runs that go."""
+    runs = merged(spans)
     kept, at = [], 0
     for a, b in runs:
         kept.append(text[at:a])
@@ -325,27 +398,28 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"), text_key(F.col(text)).alias("text_key"), *rest)
 
 
-def _each_cut(batch: pa.RecordBatch, at_text: int, at_spans: int):
+def _each_cut(batch: pa.RecordBatch, at_text: int, at_spans: int, in_words: bool = False):
     starts = batch.column(at_spans).to_pylist()
     i = 0
     for _, texts in steps(batch.column(at_text)):
         for text in texts:
-            yield text or b"", *cut(text or b"", [(s["start"], s["stop"]) for s in starts[i] or []])
+            text, spans = text or b"", [(s["start"], s["stop"]) for s in starts[i] or []]
+            yield text, *cut(text, in_bytes(text, spans) if in_words else spans)
             i += 1
 
 
-def without_repeats(docs: DataFrame, width: int = WIDTH, **options) -> DataFrame:
-    """``docs(doc_id, text, ...)`` with all repeated passages cut; documents of nothing else go.
+def without_repeats(docs: DataFrame, width: int = WIDTH, words: int | None = None, **options) -> DataFrame:
+    """``docs(doc_id, text, ...)`` with all repeated passages cut, of ``width`` bytes or of ``words``; documents of nothing else go.
 
     Characters that a cut goes through go too.
     """
     plain = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    found = with_spans(keyed(plain), width, **options).select("text", "spans", F.col("row").dropFields("text").alias("row"))
+    found = with_spans(keyed(plain), width, words, **options).select("text", "spans", F.col("row").dropFields("text").alias("row"))
     kept = [found.schema["text"], found.schema["row"]]
 
     def run(batches):
         for batch in batches:
-            texts = [kept.decode("utf-8", "ignore") if gone else text.decode("utf-8", "replace") for text, kept, gone in _each_cut(batch, 0, 1)]
+            texts = [kept.decode("utf-8", "ignore") if gone else text.decode("utf-8", "replace") for text, kept, gone in _each_cut(batch, 0, 1, words is not None)]
             gone = pa.array([bool(s) for s in batch.column(1).to_pylist()], pa.bool_())
             blank = pa.array([not t.strip() for t in texts], pa.bool_())
             made = pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), batch.column(2)], ["text", "row"])
