@@ -6,12 +6,14 @@
    nothing else, is fitted on a sample of about ``FIT_DOCS`` documents drawn by a hash of the text.  Words count
    once per passage there; words of over ``COMMON`` of all documents get the small weight ``COMMON_WEIGHT``, else
    the leading directions would tell languages and repeated words apart and nothing more.
-   A further pass folds every whole text into that space, a block of ``STRIDE`` words at a time.  Every window of as many
-   blocks as an item can touch is compared with the item by cosine in the whitened space; windows above
-   ``CANDIDATE`` are candidates.
-3. The longest common subsequence of the item's words and the window's decides: a document is contaminated when
+3. Texts are read a block of ``STRIDE`` words at a time.  Of every window of as many blocks as an item can touch
+   and one more at each end, the words that it shares with each item are counted, a word as often as the item has
+   it.  Windows that share ``PARAPHRASE`` of an item are its candidates.  A common subsequence is never longer than
+   this count, so no window is lost that the next step would take, whatever its cosine.
+4. The longest common subsequence of the item's words and the window's decides: a document is contaminated when
    it holds ``COPY`` of the item, or ``PARAPHRASE`` of it together with the item's answer, the words of its last
-   sentence in one piece.
+   sentence in one piece.  The cosine of the window and the item
+   in the latent space, of all their words, is measured for what is found.
 
 Benchmark items are a stated query set; they go to the tasks in blocks of at most ``ITEM_BLOCK`` rows and
 ``ITEM_BYTES`` bytes, with one pass per block.  What is gathered on the driver has a fixed size: ``BUCKETS`` rows.
@@ -41,11 +43,10 @@ BUCKETS = 1 << 15
 DIMENSIONS = 48
 PASSAGE = 64
 STRIDE = 8
-CANDIDATE = 0.5
 COPY, PARAPHRASE = 0.7, 0.5
 FIT_DOCS = 20_000
-#: Rare words that stand for an item if it has as many.
-RARE_WORDS = 5
+#: Windows times items that are counted at once.
+CELLS = 4 << 20
 COMMON, COMMON_WEIGHT = 0.02, 0.05
 ITEM_BLOCK, ITEM_BYTES = 4096, 16 << 20
 SEED = 23
@@ -188,115 +189,141 @@ def latent_space(total: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return (weights[:, None] * u[:, keep] / s[keep]).astype(np.float32)
 
 
-def fitted(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The latent space of ``docs(text)``, and which buckets are common."""
+def fitted(docs: DataFrame) -> np.ndarray:
+    """The latent space of ``docs(text)``."""
     frequency, count = frequencies(docs)
-    weights, common = word_weights(frequency, count)
+    weights, _ = word_weights(frequency, count)
     share = min(1.0, FIT_DOCS / max(1, count))
     sample = docs.where(F.pmod(F.xxhash64(F.lit(SEED), "text"), F.lit(1_000_000)) < int(share * 1_000_000))
-    return latent_space(sketch(sample, weights), weights), common
+    return latent_space(sketch(sample, weights), weights)
 
 
-def common_subsequence(a: list[int], b: list[int]) -> int:
-    """Length of the longest common subsequence, a word of bits per row."""
+def _places(a: list[int]) -> dict[int, int]:
+    """Bits of the places of each word."""
     where: dict[int, int] = {}
     for i, x in enumerate(a):
         where[x] = where.get(x, 0) | 1 << i
-    full = (1 << len(a)) - 1
+    return where
+
+
+def _longest(matches: list[int], n: int) -> int:
+    full = (1 << n) - 1
     row = full
-    for x in b:
-        match = row & where.get(x, 0)
+    for places in matches:
+        match = row & places
         row = (row + match | row - match) & full
-    return len(a) - row.bit_count()
+    return n - row.bit_count()
+
+
+def common_subsequence(a: list[int], b: list[int]) -> int:
+    """Length of the longest common subsequence, a word of bits per row."""
+    where = _places(a)
+    return _longest([where[x] for x in b if x in where], len(a))
+
+
+def _starts(words: list[int], part: list[int]) -> list[int]:
+    n = len(part)
+    return [i for i in range(len(words) - n + 1) if words[i] == part[0] and words[i:i + n] == part]
 
 
 class Item:
     def __init__(self, item_id, text: str, words: Words):
         self.id, self.words = item_id, words.hashes(text).tolist()
-        self.bag = frozenset(self.words)
+        self.where = _places(self.words)
         sentences = [s for s in re.split(r"(?<=[.!?])\s+", text.strip()) if s]
         answer = words.hashes(sentences[-1]).tolist() if len(sentences) > 1 else []
         self.answer = answer if len(answer) >= 3 else []
         self.blocks = -(-len(self.words) // STRIDE) + 1
 
+    def share(self, own: list[int]) -> float:
+        where = self.where
+        return _longest([where[x] for x in own if x in where], len(self.words)) / len(self.words)
 
-def _holds(words: list[int], part: list[int]) -> bool:
-    n = len(part)
-    return any(words[i:i + n] == part for i in range(len(words) - n + 1))
+    def answered(self, own: list[int]) -> bool:
+        return bool(self.answer) and bool(_starts(own, self.answer))
 
 
 class Finder:
-    """The items in the latent space, by the number of blocks that their windows have.
+    """The items by the number of blocks that their windows have, with the items of each word."""
 
-    Only words of some item are folded, so what surrounds an item in a window does not turn the
-    window away from it.  Of an item with rare words these stand for it; an item that has hardly
-    any, because the corpus itself repeats it, is folded with all its words.
-    """
-
-    def __init__(self, items: list[tuple[object, str]], space: np.ndarray, common: np.ndarray):
-        vocabulary: set[int] = set()
-        for _, text in items:
-            own = _words().hashes(text)
-            rare = own[~common[own % BUCKETS]]
-            vocabulary.update((rare if len(rare) >= RARE_WORDS else own).tolist())
-        vocabulary = frozenset(vocabulary)
+    def __init__(self, items: list[tuple[object, str]], space: np.ndarray):
+        vocabulary = frozenset(h for _, text in items for h in _words().hashes(text).tolist())
         self.words = once(("decontamination words", vocabulary), lambda: Words(vocabulary))
         self.space = space
-        self.groups: dict[int, tuple[list[Item], np.ndarray]] = {}
+        self.known = np.array(sorted(h | KNOWN for h in vocabulary), np.int64)
+        self.groups: dict[int, tuple[list[Item], np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
         found = [i for i in (Item(*row, self.words) for row in items) if i.words]
         for blocks in sorted({i.blocks for i in found}):
             own = [i for i in found if i.blocks == blocks]
-            z = np.stack([space[np.array([w for w in i.words if w >= KNOWN]) % BUCKETS].sum(0) for i in own])
-            self.groups[blocks] = own, z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
+            rows = sorted((int(np.searchsorted(self.known, w)), j, places.bit_count()) for j, i in enumerate(own) for w, places in i.where.items())
+            word, item, times = np.array(rows, np.int64).T
+            first = np.searchsorted(word, np.arange(len(self.known) + 1))
+            self.groups[blocks] = own, first, item, times.astype(np.float64), np.array([PARAPHRASE * len(i.words) for i in own])
+
+    def _cosine(self, item: Item, own: list[int]) -> float:
+        a, b = [self.space[np.array(w) % BUCKETS].sum(0) for w in (item.words, own)]
+        return float(a @ b / max(float(np.linalg.norm(a) * np.linalg.norm(b)), 1e-12))
 
     def find(self, texts: list[bytes | None]):
         """``[(item id, share of the item, cosine, answer found)]`` of each text, candidates that fail left out."""
         hashes = [self.words.hashes((t or b"").decode("utf-8", "replace")) for t in texts]
         out: list[list] = [[] for _ in texts]
         words = np.concatenate(hashes)
-        if not len(words) or not self.groups:
+        known = np.nonzero(words >= KNOWN)[0]
+        if not len(known) or not self.groups:
             return out
         first, counts = _blocks(hashes, STRIDE)
-        folded = np.zeros((len(first), self.space.shape[1]), np.float32)
-        present = np.zeros(len(first), bool)
-        known = np.nonzero(words >= KNOWN)[0]
-        if len(known):
-            block = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(words))))[known]
-            heads = np.nonzero(np.append(True, block[1:] != block[:-1]))[0]
-            present[block[heads]] = True
-            folded[block[heads]] = np.add.reduceat(self.space[words[known] % BUCKETS], heads, axis=0)
-        filled = np.append(0, np.cumsum(present))  # windows without a word of an item are passed over
-        sums = np.zeros((len(first) + 1, folded.shape[1]), np.float32)
-        np.cumsum(folded, axis=0, out=sums[1:])
         ends = np.repeat(np.cumsum(counts), counts)
         starts = ends - np.repeat(counts, counts)
         owner = np.repeat(np.arange(len(texts)), counts)
+        block = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(words))))[known]
+        word = np.searchsorted(self.known, words[known])
+        # the block behind the one of the word before it in its text: windows that begin there or later have it for the first time
+        key = owner[block] * len(self.known) + word
+        order = np.argsort(key, kind="stable")
+        again = np.nonzero(key[order[1:]] == key[order[:-1]])[0]
+        since = starts[block]
+        since[order[again + 1]] = block[order[again]] + 1
+        fresh = np.nonzero(since <= block)[0]
+        block, word, since = block[fresh], word[fresh], since[fresh]
         at = np.arange(len(first))
         seen: dict[tuple[int, int], list] = {}
-        for blocks, (items, z) in self.groups.items():
-            stop = np.minimum(at + blocks, ends)
-            use = np.nonzero(((at + blocks <= ends) | (at == starts)) & (filled[stop] > filled[at]))[0]
-            w = sums[stop[use]] - sums[use]
-            w /= np.maximum(np.linalg.norm(w, axis=1, keepdims=True), 1e-12)
-            near = w @ z.T.astype(np.float32)
-            window = -1
-            for i, j in zip(*map(np.ndarray.tolist, np.nonzero(near >= CANDIDATE)), strict=True):
-                if i != window:  # a window's candidates come one after the other
-                    window = i
-                    doc = int(owner[use[i]])
-                    begin = int(use[i] - starts[use[i]]) * STRIDE
-                    own = hashes[doc][max(0, begin - STRIDE):begin + (blocks + 1) * STRIDE].tolist()
-                item = items[j]
-                if sum(map(item.bag.__contains__, own)) < PARAPHRASE * len(item.words):  # bounds the subsequence
-                    continue
-                share = common_subsequence(item.words, own) / len(item.words)
-                if share < PARAPHRASE:
-                    continue
-                answered = bool(item.answer) and _holds(own, item.answer)
-                if share >= COPY or answered:
-                    best = seen.get((doc, id(item)))
-                    if best is None or share > best[1]:
-                        seen[doc, id(item)] = [item.id, share, float(near[i, j]), answered]
+        for blocks, (items, heads, item, times, least) in self.groups.items():
+            width, many = blocks + 2, len(items)
+            use = (at + width <= ends) | (at == starts)
+            begin = np.maximum(since, block - width + 1)
+            step = max(width, CELLS // many)
+            for low in range(0, len(first), step):
+                high = min(low + step, len(first))
+                a, b = np.searchsorted(block, (low, high + width))
+                a, b = int(a), int(b)
+                from_, to = np.maximum(begin[a:b], low), np.minimum(block[a:b] + 1, high)
+                part = np.nonzero(from_ < to)[0]
+                of, from_, to = word[a:b][part], from_[part] - low, to[part] - low
+                n = heads[of + 1] - heads[of]
+                row = np.repeat(heads[of] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                wide = high - low + 1
+                shared = np.bincount(item[row] * wide + np.repeat(from_, n), times[row], wide * many)
+                shared -= np.bincount(item[row] * wide + np.repeat(to, n), times[row], wide * many)
+                shared = np.cumsum(shared.reshape(many, wide)[:, :-1], axis=1)
+                j, i = np.nonzero((shared >= least[:, None]) & use[low:high])
+                by_window = np.argsort(i, kind="stable")
+                window = -1
+                for i, j in zip(i[by_window].tolist(), j[by_window].tolist(), strict=True):
+                    if i != window:  # a window's candidates come one after the other
+                        window = i
+                        doc, begun = int(owner[low + i]), int(low + i - starts[low + i]) * STRIDE
+                        own = hashes[doc][begun:begun + width * STRIDE].tolist()
+                    one = items[j]
+                    share = one.share(own)
+                    if share < PARAPHRASE:
+                        continue
+                    best = seen.get((doc, id(one)))
+                    if best is not None and share <= best[1]:
+                        continue
+                    answered = one.answered(own)
+                    if share >= COPY or answered:
+                        seen[doc, id(one)] = [one.id, share, self._cosine(one, own), answered]
         for (doc, _), hit in seen.items():
             out[doc].append(hit)
         return out
@@ -322,7 +349,7 @@ def item_blocks(items: DataFrame, id_col: str = "item_id", text: str = "text"):
 def with_hits(docs: DataFrame, items: DataFrame, text: str = "text", name: str = "hits") -> DataFrame:
     """``docs`` with an array of the items each document holds: item_id, share, cosine, answer."""
     space = fitted(docs.select(F.col(text).alias("text")))
-    sent = docs.sparkSession.sparkContext.broadcast(space)  # two tables of BUCKETS rows
+    sent = docs.sparkSession.sparkContext.broadcast(space)  # BUCKETS rows
     made = docs
     columns = []
     for number, block in enumerate(item_blocks(items)):
@@ -336,7 +363,7 @@ def with_hits(docs: DataFrame, items: DataFrame, text: str = "text", name: str =
 
 def _with_block(df: DataFrame, block, sent, text: str, column: str) -> DataFrame:
     def maker():
-        finder = Finder(block, *sent.value)
+        finder = Finder(block, sent.value)
 
         def work(texts):
             found, held, size = [], [], 0
