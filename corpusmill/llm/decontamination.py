@@ -2,8 +2,8 @@
 
 1. One pass counts the document frequency of hashed words over all documents.
 2. The latent space is a randomised singular value decomposition of the TF-IDF matrix of passages: tasks add up
-   ``A'(A G)`` for a random matrix ``G`` and the driver solves a small eigenproblem (Nystroem).  This basis, and
-   nothing else, is fitted on a sample of about ``FIT_DOCS`` documents drawn by a hash of the text.  Words count
+   ``A'(A G)`` for a random matrix ``G`` and the driver solves a small eigenproblem (Nystroem).  It is fitted on all
+   documents, equal texts once, and on the items, so that no word of an item is without a direction.  Words count
    once per passage there; words of over ``COMMON`` of all documents get the small weight ``COMMON_WEIGHT``, else
    the leading directions would tell languages and repeated words apart and nothing more.
 3. Texts are read a block of ``STRIDE`` words at a time.  Of every window of as many blocks as an item can touch
@@ -44,7 +44,6 @@ DIMENSIONS = 48
 PASSAGE = 64
 STRIDE = 8
 COPY, PARAPHRASE = 0.7, 0.5
-FIT_DOCS = 20_000
 #: Windows times items that are counted at once.
 CELLS = 4 << 20
 COMMON, COMMON_WEIGHT = 0.02, 0.05
@@ -189,13 +188,11 @@ def latent_space(total: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return (weights[:, None] * u[:, keep] / s[keep]).astype(np.float32)
 
 
-def fitted(docs: DataFrame) -> np.ndarray:
-    """The latent space of ``docs(text)``."""
-    frequency, count = frequencies(docs)
-    weights, _ = word_weights(frequency, count)
-    share = min(1.0, FIT_DOCS / max(1, count))
-    sample = docs.where(F.pmod(F.xxhash64(F.lit(SEED), "text"), F.lit(1_000_000)) < int(share * 1_000_000))
-    return latent_space(sketch(sample, weights), weights)
+def fitted(docs: DataFrame, items: DataFrame) -> np.ndarray:
+    """The latent space of ``docs(text)`` and ``items(text)``."""
+    weights, _ = word_weights(*frequencies(docs))
+    texts = docs.select("text").unionAll(items.select("text")).where("text is not null").distinct()
+    return latent_space(sketch(texts, weights), weights)
 
 
 def _places(a: list[int]) -> dict[int, int]:
@@ -348,7 +345,7 @@ def item_blocks(items: DataFrame, id_col: str = "item_id", text: str = "text"):
 
 def with_hits(docs: DataFrame, items: DataFrame, text: str = "text", name: str = "hits") -> DataFrame:
     """``docs`` with an array of the items each document holds: item_id, share, cosine, answer."""
-    space = fitted(docs.select(F.col(text).alias("text")))
+    space = fitted(docs.select(F.col(text).alias("text")), items.select("text"))
     sent = docs.sparkSession.sparkContext.broadcast(space)  # BUCKETS rows
     made = docs
     columns = []

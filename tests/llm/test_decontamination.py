@@ -16,6 +16,17 @@ def hits(spark, items, texts):
     return {r.doc_id: [h.item_id for h in r.hits] for r in decontamination.with_hits(docs, frame).collect()}
 
 
+def test_space_is_fitted_on_everything(spark, monkeypatch):
+    seen = []
+    sketch = decontamination.sketch
+    monkeypatch.setattr(decontamination, "sketch", lambda docs, weights: seen.append(sorted(r.text for r in docs.collect())) or sketch(docs, weights))
+    monkeypatch.setattr(decontamination, "FIT_DOCS", 5, raising=False)
+    texts = [prose(i, 30) for i in range(40)]
+    docs = spark.createDataFrame([(t,) for t in texts + texts[:1] * 60], "text string")
+    decontamination.fitted(docs, spark.createDataFrame([("only in an item",), (None,)], "text string"))
+    assert seen == [sorted([*texts, "only in an item"])]
+
+
 def test_exchanged_rare_words_do_not_hide_an_item(spark):
     common = prose(1, 40).split()
     rng = random.Random(2)
