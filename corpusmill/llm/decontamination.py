@@ -12,7 +12,8 @@
    this count, so no window is lost that the next step would take, whatever its cosine.
 4. The longest common subsequence of the item's words and the window's decides: a document is contaminated when
    it holds ``COPY`` of the item, or ``PARAPHRASE`` of it together with the item's answer, the words of its last
-   sentence in one piece.  The cosine of the window and the item
+   sentence in one piece.  An answer of fewer than ``ANSWER_WORDS`` words has to stand at its place, after matched words of
+   the question; an item of one sentence has its last ``ANSWER_WORDS`` words as answer.  The cosine of the window and the item
    in the latent space, of all their words, is measured for what is found.
 
 Benchmark items are a stated query set; they go to the tasks in blocks of at most ``ITEM_BLOCK`` rows and
@@ -44,6 +45,8 @@ DIMENSIONS = 48
 PASSAGE = 64
 STRIDE = 8
 COPY, PARAPHRASE = 0.7, 0.5
+#: Words of an answer that decides wherever it stands.
+ANSWER_WORDS = 3
 #: Windows times items that are counted at once.
 CELLS = 4 << 20
 COMMON, COMMON_WEIGHT = 0.02, 0.05
@@ -227,9 +230,8 @@ class Item:
     def __init__(self, item_id, text: str, words: Words):
         self.id, self.words = item_id, words.hashes(text).tolist()
         self.where = _places(self.words)
-        sentences = [s for s in re.split(r"(?<=[.!?])\s+", text.strip()) if s]
-        answer = words.hashes(sentences[-1]).tolist() if len(sentences) > 1 else []
-        self.answer = answer if len(answer) >= 3 else []
+        sentences = [s for s in (words.hashes(s).tolist() for s in re.split(r"(?<=[.!?])\s+", text.strip())) if s]
+        self.answer = sentences[-1] if len(sentences) > 1 else self.words[-ANSWER_WORDS:]
         self.blocks = -(-len(self.words) // STRIDE) + 1
 
     def share(self, own: list[int]) -> float:
@@ -237,7 +239,16 @@ class Item:
         return _longest([where[x] for x in own if x in where], len(self.words)) / len(self.words)
 
     def answered(self, own: list[int]) -> bool:
-        return bool(self.answer) and bool(_starts(own, self.answer))
+        """Whether ``own`` holds the answer; a short one just behind words of the question that make up the share."""
+        found = _starts(own, self.answer)
+        if len(self.answer) >= ANSWER_WORDS:
+            return bool(found)
+        question = self.words[:len(self.words) - len(self.answer)]
+        for i in found:
+            matched = common_subsequence(question, own[:i])
+            if matched + len(self.answer) >= PARAPHRASE * len(self.words) and matched > common_subsequence(question, own[:max(0, i - STRIDE)]):
+                return True
+        return False
 
 
 class Finder:

@@ -16,6 +16,25 @@ def hits(spark, items, texts):
     return {r.doc_id: [h.item_id for h in r.hits] for r in decontamination.with_hits(docs, frame).collect()}
 
 
+
+def test_answers_of_any_length(spark):
+    items, texts, want = [], [], []
+    for i, answer in enumerate(["paris.", "old town.", "", "three words here."]):
+        question = prose(600 + i, 24).split()
+        items.append((i, " ".join(question) + (". " + answer if answer else ".")))
+        around = prose(700 + i, 120).split()
+        gone = set(range(0, 20, 2))  # 10 of the first 20 words
+        near = exchanged(question, gone, i) + answer.split()
+        texts.append(" ".join(around[:60] + near + around[60:]))
+        want.append([i])
+        # the answer alone, away from the question or missing, does not decide
+        far = exchanged(question, gone | {21, 23}, i) if not answer else exchanged(question, gone, i)
+        texts.append(" ".join(around[:60] + (answer.split() if len(answer.split()) < 3 else []) + far + around[60:]))
+        want.append([])
+    got = hits(spark, items, texts)
+    assert [got[i] for i in range(len(texts))] == want
+
+
 def test_space_is_fitted_on_everything(spark, monkeypatch):
     seen = []
     sketch = decontamination.sketch
