@@ -1,56 +1,139 @@
 """Text to unit vectors.
 
-The default encoder needs no download: hashed term frequencies, weighted by inverse document
-frequency, unit length.  Any other model plugs in through :func:`model_encoder`.
+The default encoder needs no download: word counts in signed buckets drawn from MD5 digests, weighted by inverse
+document frequency, unit length.  Nothing of it depends on a library's hash, so SQL can say the same.  Any other
+model plugs in through :func:`model_encoder`.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+import json
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
-from pyspark.ml.functions import predict_batch_udf, vector_to_array
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+import pyarrow as pa
+import regex
+from pyspark.ml.functions import predict_batch_udf
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusmill.session import hadoop_files
+
 # --- fixed values -----------------------------------------------------------------------------
 EMBEDDING_DIM = 384
 ENCODE_BATCH = 32
 # ----------------------------------------------------------------------------------------------
 
+_WORD = regex.compile(r"[\p{L}\p{N}]+")
+_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+MEMO_WORDS = 200_000
+
+
+def _draw(word: str, dimension: int) -> tuple[int, float]:
+    """Bucket and sign of a word: the first 32 bits of its digest, and the half byte after them."""
+    digest = hashlib.md5(word.encode("utf-8", "replace")).digest()
+    return int.from_bytes(digest[:4], "big") % dimension, 1.0 if digest[4] < 128 else -1.0
+
+
+class _Counter:
+    """Word counts of texts in signed buckets, with a bounded memo of words."""
+
+    def __init__(self, dimension: int):
+        self.dimension, self.memo = dimension, {}
+
+    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Buckets and signs of every word of ``text``, in order."""
+        drawn = []
+        for word in _WORD.findall((text or "").translate(_LOWER)):
+            found = self.memo.get(word)
+            if found is None:
+                if len(self.memo) >= MEMO_WORDS:
+                    self.memo.clear()
+                found = self.memo[word] = _draw(word, self.dimension)
+            drawn.append(found)
+        both = np.array(drawn, float).reshape(-1, 2)
+        return both[:, 0].astype(np.int64), both[:, 1]
+
 
 class HashingEncoder:
     """Default encoder; fitted once on the chunks and used for chunks and queries alike."""
 
-    def __init__(self, model: PipelineModel):
-        self._model = model
+    def __init__(self, weights: list[float]):
+        self.weights = weights
 
     @classmethod
     def fit(cls, texts: DataFrame, text: str = "text", dimension: int = EMBEDDING_DIM) -> HashingEncoder:
-        stages = [
-            RegexTokenizer(inputCol="_text", outputCol="_words", pattern=r"[^\p{L}\p{N}]+"),
-            HashingTF(inputCol="_words", outputCol="_counts", numFeatures=dimension),
-            IDF(inputCol="_counts", outputCol="_weights"),
-            Normalizer(inputCol="_weights", outputCol="_unit", p=2.0),
-        ]
-        given = texts.select(F.coalesce(F.col(text), F.lit("")).alias("_text"))
-        return cls(Pipeline(stages=stages).fit(given))
+        """Weights from the number of texts that have a word in each bucket; a row per bucket reaches the driver."""
 
-    def encode(self, texts: DataFrame, text: str = "text", out: str = "embedding") -> DataFrame:
-        """``texts`` with a unit vector; a text without known words has the zero vector."""
-        scored = self._model.transform(texts.withColumn("_text", F.coalesce(F.col(text), F.lit(""))))
-        vector = vector_to_array("_unit", "float32")
-        return scored.withColumn(out, vector).drop("_text", "_words", "_counts", "_weights", "_unit")
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            counter, met, rows = _Counter(dimension), np.zeros(dimension, np.int64), 0
+            for batch in batches:
+                rows += batch.num_rows
+                for value in batch.column(0).to_pylist():
+                    met[np.unique(counter(value)[0])] += 1
+            yield pa.RecordBatch.from_arrays([pa.array([-1, *range(dimension)], pa.int32()), pa.array([rows, *met.tolist()], pa.int64())], ["bucket", "met"])
 
-    def save(self, path: str) -> None:
-        self._model.write().overwrite().save(path)
+        counts = dict(texts.select(F.col(text).cast("string")).mapInArrow(count, "bucket int, met long").groupBy("bucket").agg(F.sum("met")).collect())
+        n = counts.get(-1, 0)
+        return cls([math.log((n + 1) / (counts.get(i, 0) + 1)) for i in range(dimension)])
+
+    def encode(self, texts: DataFrame, text: str = "text", out: str = "embedding") -> DataFrame:
+        """``texts`` with a unit vector; a text without words that tell anything has the zero vector."""
+        weights = np.array(self.weights)
+
+        @F.pandas_udf(T.ArrayType(T.FloatType()))
+        def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            counter = _Counter(len(weights))
+            for batch in batches:
+                rows = []
+                for value in batch:
+                    bucket, sign = counter(value)
+                    row = np.bincount(bucket, sign, len(weights)) * weights
+                    length = math.sqrt(float(row @ row))
+                    rows.append((row / length if length else row).astype(np.float32))
+                yield pd.Series(rows, dtype=object)
+
+        return texts.withColumn(out, vectors(F.col(text).cast("string")))
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Written beside its place and renamed, so a reader never meets half of it."""
+        files, make = hadoop_files(spark, path)
+        stream = files.create(make(f"{path}.part"))
+        stream.write(json.dumps(self.weights).encode())
+        stream.close()
+        files.delete(make(path), True)
+        if not files.rename(make(f"{path}.part"), make(path)):
+            raise OSError(f"cannot write {path}")
 
     @classmethod
-    def load(cls, path: str) -> HashingEncoder:
-        return cls(PipelineModel.load(path))
+    def load(cls, spark: SparkSession, path: str) -> HashingEncoder:
+        files, make = hadoop_files(spark, path)
+        stream = files.open(make(path))
+        try:
+            return cls(json.loads(bytes(stream.readAllBytes()).decode()))
+        finally:
+            stream.close()
+
+
+def encoded_sql(rows: str, keys: str, text: str, fitted: str, dimension: int = EMBEDDING_DIM) -> str:
+    """The same vectors in SQL: ``keys, embedding FLOAT[]`` of a relation, with weights of ``fitted(text)``."""
+    drawn = """SELECT {keys}, (('0x' || substr(md5(w), 1, 8))::BIGINT % {dim})::INT AS b, CASE WHEN substr(md5(w), 9, 1) < '8' THEN 1.0 ELSE -1.0 END AS s
+               FROM (SELECT {keys}, unnest(regexp_extract_all(translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\p{{L}}\\p{{N}}]+')) AS w
+                     FROM {rows})"""
+    return f"""
+        SELECT {keys}, list_transform(v, lambda x: (CASE WHEN n > 0 THEN x / n ELSE x END)::FLOAT) AS embedding
+        FROM (SELECT {keys}, v, sqrt(list_inner_product(v, v)) AS n FROM (
+            SELECT {keys}, list(coalesce(c, 0.0)::DOUBLE * weight ORDER BY b) AS v
+            FROM {rows} CROSS JOIN (
+                SELECT b, ln((total + 1) / (coalesce(met, 0) + 1)::DOUBLE) AS weight
+                FROM (SELECT count(*) AS total FROM {fitted}) CROSS JOIN (SELECT unnest(range({dimension}))::INT AS b)
+                LEFT JOIN (SELECT b, count(DISTINCT id) AS met FROM ({drawn.format(keys="id", dim=dimension, text="text", rows=f"(SELECT row_number() OVER () AS id, text FROM {fitted})")}) GROUP BY b) USING (b))
+            LEFT JOIN (SELECT {keys}, b, sum(s) AS c FROM ({drawn.format(keys=keys, dim=dimension, text=text, rows=rows)}) GROUP BY ALL) USING ({keys}, b)
+            GROUP BY {keys}))"""
 
 
 def model_encoder(

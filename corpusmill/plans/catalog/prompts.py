@@ -10,15 +10,16 @@ from corpusmill.functions.encoders import HashingEncoder
 from corpusmill.operators import generation, requests
 from corpusmill.operators.elements import parse_pages, structure_context
 from corpusmill.plans import answers, fixtures
+from corpusmill.plans.catalog.pages import STRUCTURE_SQL
 from corpusmill.plans.catalog.registry import query
-from corpusmill.plans.catalog.vectors import CHUNK_HITS, K, LISTED, _document_chunks
+from corpusmill.plans.catalog.vectors import CHUNK_HITS, K, LISTED, _document_chunks, text_hits_sql
 from corpusmill.session import materialize, read_table
 
 NL = "chr(10)"
 CONTEXTS_SQL = f"""
     {CHUNK_HITS},
     grounded AS (
-        SELECT query_id, string_agg('[Source: ' || coalesce(filename, source, 'Unknown') || ']' || chr(10) || text,
+        SELECT query_id, string_agg('[Source: ' || coalesce(filename, source, 'Unknown') || ']' || chr(10) || coalesce(text, ''),
                    chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context,
                coalesce(string_agg(DISTINCT {LISTED}, '|' ORDER BY {LISTED}), '') AS sources
         FROM hits GROUP BY query_id)"""
@@ -136,7 +137,24 @@ def response_generate(spark, d):
     return _generated(spark, d).select("case_id", "response", "error", F.col("attempts").cast("bigint").alias("attempts"), "tokens")
 
 
-@query("answer_cases")
+def _grounded_sql(asked: str, k: int, more: str = "") -> str:
+    """CTEs up to ``grounded(query_id, context, sources)`` over the encoded chunks of all documents."""
+    return text_hits_sql(asked, k) + f""",
+    grounded AS (
+        SELECT query_id, string_agg('[Source: ' || coalesce(filename, source, 'Unknown') || ']' || {NL} || text,
+                   {NL} || {NL} || '---' || {NL} || {NL} ORDER BY rank) AS context,
+               coalesce(string_agg(DISTINCT {LISTED}, '|' ORDER BY {LISTED}), '') AS sources
+        FROM hits GROUP BY query_id){more}"""
+
+
+@query("answer_cases", f"""
+    WITH {_grounded_sql("SELECT item_id AS query_id, text AS query FROM benchmark", 5)},
+    prompts AS (
+        SELECT query_id, sources, 'Documentation:' || {NL} || context || {NL} || {NL} || 'Feature under test: ' || query || {NL} || {NL} ||
+               'Write three to five test cases for this feature as a JSON array.' AS prompt
+        FROM grounded JOIN asked USING (query_id))
+    SELECT query_id, CASE WHEN prompt NOT LIKE '%coupon%' THEN length(prompt) || ' characters' END AS test_cases, 'raw' AS status, sources,
+           CASE WHEN prompt LIKE '%coupon%' THEN 'no answer' END AS error FROM prompts""")
 def answer_cases(spark, d):
     """Text features to retrieval, prompt, model answer and parsed result."""
     chunks = materialize(_document_chunks(spark, d), "chunks")
@@ -148,16 +166,23 @@ def answer_cases(spark, d):
     )
 
 
-@query("answer_scripts")
+@query("answer_scripts", f"""
+    WITH {_grounded_sql("SELECT c_custkey AS query_id, text AS query FROM customer JOIN benchmark ON item_id = c_custkey % (SELECT count(*) FROM benchmark)", 3)},
+    prompts AS (
+        SELECT query_id, sources, structure_context, 'Test case:' || {NL} || query || {NL} || {NL} || 'Page structure:' || {NL} || structure_context ||
+               {NL} || {NL} || 'Documentation:' || {NL} || context || {NL} || {NL} || 'Write the complete script.' AS prompt
+        FROM grounded JOIN asked USING (query_id) JOIN ({STRUCTURE_SQL}) ON page_id = query_id)
+    SELECT query_id, CASE WHEN prompt NOT LIKE '%coupon%' THEN length(prompt) || ' characters' END AS script, structure_context, sources,
+           CASE WHEN prompt LIKE '%coupon%' THEN 'no answer' END AS error FROM prompts""")
 def answer_scripts(spark, d):
-    """Every page with a test case, its structure, retrieval, prompt and cleaned script."""
+    """Every form page with a test case, its structure, retrieval, prompt and cleaned script."""
     chunks = materialize(_document_chunks(spark, d), "chunks")
     encoder = HashingEncoder.fit(chunks)
-    pages = parse_pages(read_table(spark, d, "pages").select(F.col("page_id").alias("query_id"), "html"))
+    pages = parse_pages(fixtures.form_pages(spark, d).select(F.col("page_id").alias("query_id"), "html"))
     items = read_table(spark, d, "benchmark")
     asked = items.select(F.col("item_id").alias("_item"), F.col("text").alias("query"))
     described = structure_context(pages).withColumn("_item", F.pmod("query_id", F.lit(max(1, items.count()))))
-    described = described.join(asked, "_item", "left").drop("_item").withColumn("query", F.coalesce("query", F.lit("")))
+    described = described.join(asked, "_item").drop("_item")
     stored = materialize(encoder.encode(chunks), "encoded")
     return answers.generate_scripts(described, stored, encoder, stub_model).select(
         "query_id", "script", "structure_context", F.array_join("sources", "|").alias("sources"), "error"

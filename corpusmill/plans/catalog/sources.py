@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as tx
+from corpusmill.functions.encoders import HashingEncoder
 from corpusmill.functions.vectors import unit
 from corpusmill.operators.chunking import chunk_table, fixed_chunks
 from corpusmill.plans import fixtures, ingest
+from corpusmill.plans.answers import retrieve
 from corpusmill.plans.catalog.chunks import windows_sql
 from corpusmill.plans.catalog.pages import page_text_sql
 from corpusmill.plans.catalog.registry import query
-from corpusmill.session import read_table, scratch_dir
+from corpusmill.session import materialize, read_table, scratch_dir, spread
 from corpusmill.sources import files, knowledge_base as kbs, parts
 
 NEWLINES = r"regexp_replace(body, '\r\n?', chr(10), 'g')"
@@ -192,13 +194,13 @@ def meta_merge(spark, d):
 def _kb_rows(spark, d):
     return fixtures.chunks(spark, d).select(
         F.col("doc_key").cast("string").alias("doc_key"), "chunk_id", "text", "filename", "source",
-        unit(F.col("embedding")).alias("embedding"),
+        F.coalesce(unit(F.col("embedding")), "embedding").alias("embedding"),
     )
 
 
-def _stored(spark, d):
+def _stored(spark, d, rows=None):
     kb = kbs.KnowledgeBase(spark, scratch_dir(spark, "kb"), dimension=64)
-    kb.add(_kb_rows(spark, d))
+    kb.add(_kb_rows(spark, d) if rows is None else rows)
     return kb
 
 
@@ -220,31 +222,93 @@ _KB_STATS = """
     FROM (""" + fixtures.CHUNKS_SQL + ")"
 
 
-@query("kb_stats", _KB_STATS.format(times=1))
+@query("kb_stats", _KB_STATS.replace("{times}", "1"))
 def kb_stats(spark, d):
     """Stored twice; the second load changes nothing."""
-    kb = _stored(spark, d)
-    kb.add(_kb_rows(spark, d))
+    rows = materialize(_kb_rows(spark, d), "kb-rows")
+    kb = _stored(spark, d, rows)
+    kb.add(rows)
     return kb.stats()
 
 
-@query("kb_append_copies", _KB_STATS.format(times=2))
+@query("kb_append_copies", _KB_STATS.replace("{times}", "2"))
 def kb_append_copies(spark, d):
     """Stored twice with copies kept."""
-    kb = _stored(spark, d)
-    kb.add(_kb_rows(spark, d), mode="append")
+    rows = materialize(_kb_rows(spark, d), "kb-rows")
+    kb = _stored(spark, d, rows)
+    kb.add(rows, mode="append")
     return kb.stats()
 
 
-@query("kb_clear", """
-    SELECT 0::BIGINT AS total_vectors, 0::BIGINT AS embedding_dim, 0::BIGINT AS metadata_count, 1000::BIGINT AS chunk_size,
-           200::BIGINT AS chunk_overlap, true AS index_exists""")
+@query("kb_clear", _KB_STATS.replace("{times}", "1") + " WHERE doc_key % 2 = 0")
 def kb_clear(spark, d):
-    kb = _stored(spark, d)
+    """Stored, cleared, and half of it stored again."""
+    rows = materialize(_kb_rows(spark, d), "kb-rows")
+    kb = _stored(spark, d, rows)
     kb.clear(confirm=True)
+    kb.add(rows.where(F.col("doc_key").cast("bigint") % 2 == 0))
     return kb.stats()
 
 
+@query("kb_retrieve_copies", f"""
+    WITH chunks AS MATERIALIZED ({fixtures.CHUNKS_SQL}),
+    copies AS (SELECT * FROM chunks UNION ALL SELECT * FROM chunks),
+    pairs AS (
+        SELECT q.vec_id AS query_id, c.doc_key::VARCHAR AS doc_key, c.text, power(list_distance(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 2) AS distance
+        FROM embeddings q CROSS JOIN copies c)
+    SELECT query_id, row_number() OVER w AS rank, doc_key, round(distance, 5) AS distance, length(text) AS n_chars FROM pairs
+    WINDOW w AS (PARTITION BY query_id ORDER BY round(distance, 9), doc_key) QUALIFY row_number() OVER w <= 6""")
+def kb_retrieve_copies(spark, d):
+    """Every chunk stored twice: each copy is a hit of its own and brings its text."""
+    kb = kbs.KnowledgeBase(spark, scratch_dir(spark, "kb"), dimension=64)
+    rows = materialize(fixtures.chunks(spark, d).select(F.col("doc_key").cast("string").alias("doc_key"), "chunk_id", "text", "embedding"), "kb-rows")
+    kb.add(rows, mode="append")
+    kb.add(rows, mode="append")
+    hits = retrieve(fixtures.vector_queries(spark, d), kb.load(), 6)
+    return hits.select("query_id", F.col("rank").cast("bigint").alias("rank"), "doc_key", F.round("distance", 5).alias("distance"),
+                       F.length("text").cast("bigint").alias("n_chars"))
+
+
+def _as_files(docs):
+    return docs.select(F.col("doc_id").cast("string").alias("doc_key"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("filename"), "source", "text",
+                       F.lit(True).alias("success"), F.lit(None).cast("string").alias("error"))
+
+
+_FIRST_SQL = windows_sql(1000, 200)
+_SECOND = "(SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text || ' Revised.' ELSE '' END AS text FROM documents WHERE doc_id % 3 <> 2)"
+_SECOND_SQL = windows_sql(1000, 200, _SECOND)
+
+
+def _reingested(spark, d):
+    """All documents stored; then a third of them longer, a third of them empty, and the rest not named again."""
+    kb = kbs.KnowledgeBase(spark, scratch_dir(spark, "kb"), dimension=64)
+    encoder = HashingEncoder([1.0] * 64)
+    docs = spread(read_table(spark, d, "documents").select("doc_id", "source", "text"), "doc_id")
+    ingest.ingest_documents(_as_files(docs), kb, encoder, separators=[""])
+    text = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit(" Revised."))).otherwise("")
+    done = ingest.ingest_documents(_as_files(docs.where(F.col("doc_id") % 3 != 2).withColumn("text", text)), kb, encoder, separators=[""])
+    return kb, done
+
+
+@query("kb_reingest_changed", f"""
+    SELECT doc_id::VARCHAR AS doc_key, chunk_id::BIGINT AS chunk_id, total_chunks::BIGINT AS total_chunks, md5(text) AS text_md5
+    FROM (SELECT * FROM ({_SECOND_SQL}) UNION ALL SELECT * FROM ({_FIRST_SQL}) WHERE doc_id % 3 = 2)""")
+def kb_reingest_changed(spark, d):
+    """Changed documents keep only their new chunks, emptied ones lose theirs, the others keep theirs."""
+    return _reingested(spark, d)[0].load().select(
+        "doc_key", F.col("chunk_id").cast("bigint").alias("chunk_id"), F.col("total_chunks").cast("bigint").alias("total_chunks"), F.md5("text").alias("text_md5"))
+
+
+@query("ingest_repeat_summary", f"""
+    WITH old AS ({_FIRST_SQL}), new AS ({_SECOND_SQL}), docs AS (SELECT doc_id, doc_id IN (SELECT doc_id FROM new) AS good FROM {_SECOND})
+    SELECT count(*) AS total_files, count(*) FILTER (WHERE good) AS successful, count(*) FILTER (WHERE NOT good) AS failed,
+           (SELECT count(*) FROM new WHERE NOT EXISTS (FROM old WHERE old.doc_id = new.doc_id AND old.chunk_id = new.chunk_id AND old.text = new.text)) AS total_chunks
+    FROM docs""")
+def ingest_repeat_summary(spark, d):
+    """Totals of the second load: only chunks that were not stored yet count as added."""
+    return _reingested(spark, d)[1].summary
+
+
 @query("kb_metadata", f"SELECT doc_key::VARCHAR AS doc_key, filename, source, length(text) AS n_chars FROM ({fixtures.CHUNKS_SQL})")
 def kb_metadata(spark, d):
     return _stored(spark, d).metadata().select("doc_key", "filename", "source", F.length("text").cast("bigint").alias("n_chars"))

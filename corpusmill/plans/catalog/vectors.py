@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusmill.functions import vectors as vec
-from corpusmill.functions.encoders import HashingEncoder
+from corpusmill.functions.encoders import HashingEncoder, encoded_sql
 from corpusmill.operators import context, retrieval
 from corpusmill.operators.chunking import chunk_table, recursive_chunks
 from corpusmill.plans import answers, fixtures
+from corpusmill.plans.catalog.chunks import windows_sql
 from corpusmill.plans.catalog.registry import query
 from corpusmill.session import materialize, read_table, spread
 
 K = 5
 HITS = fixtures.HITS_SQL.format(k=K)
 CHUNK_HITS = f"""
-    chunks AS ({fixtures.CHUNKS_SQL}),
+    chunks AS MATERIALIZED ({fixtures.CHUNKS_SQL}),
     pairs AS (
         SELECT q.vec_id AS query_id, c.doc_key,
                power(list_distance(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 2) AS distance
@@ -180,10 +181,12 @@ def retrieve_min_similarity(spark, d):
 
 @query("ctx_sources", f"""
     WITH {CHUNK_HITS}
-    SELECT query_id, coalesce(string_agg(DISTINCT {LISTED}, '|' ORDER BY {LISTED}), '') AS sources
-    FROM hits GROUP BY query_id""")
+    SELECT q.vec_id AS query_id, coalesce(string_agg(DISTINCT {LISTED}, '|' ORDER BY {LISTED}), '') AS sources
+    FROM embeddings q LEFT JOIN (SELECT * FROM hits WHERE distance BETWEEN 0.3 AND 1.2) h ON h.query_id = q.vec_id GROUP BY q.vec_id""")
 def ctx_sources(spark, d):
-    return context.relevant_sources(_chunk_hits(spark, d)).select("query_id", F.array_join("sources", "|").alias("sources"))
+    """Source lists of the hits in a band of distances; queries that have none keep an empty list."""
+    near = _chunk_hits(spark, d).where(F.col("distance").between(0.3, 1.2))
+    return context.relevant_sources(near, queries=fixtures.vector_queries(spark, d)).select("query_id", F.array_join("sources", "|").alias("sources"))
 
 
 @query("ctx_summary", f"""
@@ -206,7 +209,7 @@ def ctx_summary(spark, d):
 @query("ctx_assemble", f"""
     WITH {CHUNK_HITS}, near AS (SELECT * FROM hits WHERE distance <= 1.3)
     SELECT q.vec_id AS query_id,
-           coalesce(string_agg('[Source: ' || coalesce(filename, source, 'Unknown') || ']' || chr(10) || text,
+           coalesce(string_agg('[Source: ' || coalesce(filename, source, 'Unknown') || ']' || chr(10) || coalesce(text, ''),
                                chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank),
                     'No relevant information found in the knowledge base.') AS context,
            coalesce(string_agg(DISTINCT {LISTED}, '|' ORDER BY {LISTED}), '') AS sources
@@ -220,23 +223,48 @@ def ctx_assemble(spark, d):
 
 def _document_chunks(spark, d):
     docs = spread(read_table(spark, d, "documents").select("doc_id", "text", "source"), "doc_id")
-    chunks = chunk_table(docs.select(F.col("doc_id").alias("doc_key"), "source", "text"), recursive_chunks(F.col("text")))
+    chunks = chunk_table(docs.select(F.col("doc_id").alias("doc_key"), "source", "text"), recursive_chunks(F.col("text"), separators=[""]))
     return chunks.withColumn("filename", F.lit(None).cast("string"))
 
 
-@query("vec_encode", """
-    SELECT doc_id, 384::BIGINT AS dimension, CASE WHEN regexp_matches(text, '[\\p{L}\\p{N}]') THEN 1.0 ELSE 0.0 END::DOUBLE AS norm
-    FROM documents""")
+DOCUMENT_CHUNKS_SQL = f"(SELECT w.doc_id AS doc_key, w.chunk_id, w.text, d.source, NULL::VARCHAR AS filename FROM ({windows_sql(1000, 200)}) w JOIN documents d USING (doc_id))"
+
+
+def text_hits_sql(asked: str, k: int) -> str:
+    """CTEs up to ``hits``: the ``k`` nearest encoded chunks of every row of ``asked(query_id, query)``."""
+    return f"""
+    doc_chunks AS MATERIALIZED (SELECT * FROM {DOCUMENT_CHUNKS_SQL}),
+    encoded AS MATERIALIZED ({encoded_sql("doc_chunks", "doc_key, chunk_id", "text", "doc_chunks")}),
+    asked AS MATERIALIZED ({asked}),
+    asked_vectors AS MATERIALIZED ({encoded_sql("asked", "query_id", "query", "doc_chunks")}),
+    near AS (
+        SELECT query_id, doc_key, chunk_id, power(list_distance(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 2) AS distance
+        FROM asked_vectors q CROSS JOIN encoded c),
+    hits AS (
+        SELECT query_id, n.doc_key, n.chunk_id, distance, rank, c.text, c.source, c.filename
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, doc_key, chunk_id) AS rank FROM near QUALIFY rank <= {k}) n
+        JOIN doc_chunks c ON c.doc_key = n.doc_key AND c.chunk_id = n.chunk_id)"""
+
+
+@query("vec_encode", f"""
+    SELECT doc_id, len(embedding) AS dimension, round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 4) AS norm,
+           round(list_inner_product(embedding::DOUBLE[], range(1, 385)::DOUBLE[]), 3) AS digest, round(list_max(embedding)::DOUBLE, 5) AS largest
+    FROM ({encoded_sql("documents", "doc_id", "text", "documents")})""")
 def vec_encode(spark, d):
-    """Default encoder over every document: vectors of the set width and unit length."""
+    """Default encoder over every document: width, length, and two figures that depend on every value."""
     docs = spread(read_table(spark, d, "documents").select("doc_id", "text"), "doc_id")
-    encoded = HashingEncoder.fit(docs).encode(docs)
+    encoded = materialize(HashingEncoder.fit(docs).encode(docs).select("doc_id", "embedding"), "encoded")
+    places = F.transform("embedding", lambda x, i: x.cast("double") * (i + 1))
     return encoded.select(
-        "doc_id", F.size("embedding").cast("bigint").alias("dimension"), F.round(vec.norm(F.col("embedding")), 4).alias("norm")
+        "doc_id", F.size("embedding").cast("bigint").alias("dimension"), F.round(vec.norm(F.col("embedding")), 4).alias("norm"),
+        F.round(F.aggregate(places, F.lit(0.0), lambda n, x: n + x), 3).alias("digest"),
+        F.round(F.array_max("embedding").cast("double"), 5).alias("largest"),
     )
 
 
-@query("retrieve_texts")
+@query("retrieve_texts", f"""
+    WITH {text_hits_sql("SELECT item_id AS query_id, text AS query FROM benchmark", K)}
+    SELECT query_id, rank, doc_key, chunk_id::BIGINT AS chunk_id, round(1 / (1 + distance), 4) AS similarity, source FROM hits""")
 def retrieve_texts(spark, d):
     """Texts as queries against the encoded chunks of every document."""
     chunks = materialize(_document_chunks(spark, d), "chunks")

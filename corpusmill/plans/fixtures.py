@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmill.functions.encoders import HashingEncoder, encoded_sql
 from corpusmill.session import read_table, spread
 
 PHRASES = [
@@ -154,26 +155,35 @@ def mixed_files(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-# ---- vectors with text: embeddings and the document of the same number -------------------------
+# ---- vectors with text: embeddings and the document of the same number, and all other documents --
 
-CHUNKS_SQL = """
+_BARE_SQL = "(SELECT doc_id, text FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings))"
+CHUNKS_SQL = f"""
     SELECT e.vec_id AS doc_key, 0 AS chunk_id, e.embedding, e.label, d.text,
            CASE WHEN e.label % 3 = 0 THEN NULL WHEN e.label % 3 = 1 THEN '' ELSE 'doc-' || e.vec_id || '.txt' END AS filename,
            CASE WHEN e.label % 2 = 0 THEN d.source END AS source
-    FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id"""
+    FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id
+    UNION ALL
+    SELECT doc_id, 0, x.embedding, NULL, d.text, 'doc-' || doc_id || '.txt', d.source
+    FROM documents d JOIN ({encoded_sql(_BARE_SQL, "doc_id", "text", "documents", 64)}) x USING (doc_id)"""
 
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Every given vector with the document of its number, if there is one, and every other document with an encoded vector."""
     e = read_table(spark, d, "embeddings")
-    docs = read_table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "text", "source")
+    docs = spread(read_table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "text", "source"), "vec_id")
     kind = F.col("label") % 3
-    return e.join(docs, "vec_id").select(
+    name = F.concat(F.lit("doc-"), F.col("vec_id").cast("string"), F.lit(".txt"))
+    given = e.join(docs, "vec_id", "left").select(
         F.col("vec_id").alias("doc_key"), F.lit(0).alias("chunk_id"), "embedding", "label", "text",
-        F.when(kind == 0, None).when(kind == 1, "").otherwise(
-            F.concat(F.lit("doc-"), F.col("vec_id").cast("string"), F.lit(".txt"))
-        ).alias("filename"),
+        F.when(kind == 0, None).when(kind == 1, "").otherwise(name).alias("filename"),
         F.when(F.col("label") % 2 == 0, F.col("source")).alias("source"),
     )
+    bare = docs.join(e.select("vec_id"), "vec_id", "left_anti")
+    encoded = HashingEncoder.fit(docs, dimension=64).encode(bare)
+    return given.unionByName(encoded.select(
+        F.col("vec_id").alias("doc_key"), F.lit(0).alias("chunk_id"), "embedding", F.lit(None).cast(e.schema["label"].dataType).alias("label"),
+        "text", name.alias("filename"), "source"))
 
 
 def vector_queries(spark: SparkSession, d: str) -> DataFrame:

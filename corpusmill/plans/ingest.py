@@ -60,7 +60,7 @@ def ingest_summary(results: DataFrame) -> DataFrame:
 
 
 def ingest_documents(parsed: DataFrame, kb: KnowledgeBase, encoder: HashingEncoder | None = None, mode: str = "idempotent",
-                     size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> Ingested:
+                     size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, separators: list[str] | None = None) -> Ingested:
     """Chunk, encode and store documents (``doc_key, filename, source, text, success, error``).
 
     The chunked documents are written once to shared scratch: fitting the encoder, storing and
@@ -68,10 +68,12 @@ def ingest_documents(parsed: DataFrame, kb: KnowledgeBase, encoder: HashingEncod
     """
     for missing in {"filename", "source", "error"} - set(parsed.columns):
         parsed = parsed.withColumn(missing, F.lit(None).cast("string"))
-    documents = materialize(chunked(parsed, size, overlap), "chunked")
+    documents = materialize(chunked(parsed, size, overlap, separators), "chunked")
     chunks = chunk_rows(documents)
     fitted = encoder or kb.encoder(lambda: HashingEncoder.fit(chunks, dimension=kb.dimension))
-    added = kb.add(fitted.encode(chunks), mode)
+    # a document that holds no text any more loses its chunks; one that could not be read keeps them
+    blank = documents.where(~F.col("success") & (F.col("error") == NO_TEXT)).select("doc_key")
+    added = kb.add(fitted.encode(chunks), mode, removed=blank)
     reported = documents.join(added, "doc_key", "left").withColumn("added", F.coalesce("added", F.lit(0)))
     results = materialize(file_results(reported, F.coalesce("filename", "source"), F.col("added")), "results")
     return Ingested(results, ingest_summary(results), encoder=fitted)

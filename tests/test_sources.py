@@ -144,8 +144,8 @@ def test_encoders(spark):
     texts = spark.createDataFrame([(1, "red red blue"), (2, "green"), (3, ""), (4, None)], "id int, text string")
     encoder = HashingEncoder.fit(texts, dimension=16)
     path = scratch_dir(spark, "encoder")
-    encoder.save(path)
-    for one in (encoder, HashingEncoder.load(path)):
+    encoder.save(spark, path)
+    for one in (encoder, HashingEncoder.load(spark, path)):
         rows = {r.id: r.embedding for r in one.encode(texts).collect()}
         assert len(rows[1]) == 16 and abs(sum(x * x for x in rows[1]) - 1) < 1e-6 and set(rows[3]) == {0.0} == set(rows[4])
 
