@@ -5,9 +5,9 @@ distances are ordered by the key columns.
 
 Two plans give the same result.  A query table with at most ``max_broadcast`` rows is shipped to
 every task, and the corpus is read once, unshuffled: each task keeps its best ``k`` per query and
-only those rows are shuffled.  A larger query table is cut into blocks, as is the corpus, and every
-(corpus block, query block) cell is searched by a task of its own.  No plan ever emits the
-query x corpus pairs.
+only those rows are shuffled.  A larger query table is written as blocks to shared storage, and every
+corpus partition is searched where it lies against one portion of the blocks after the other.  No plan
+ever emits the query x corpus pairs.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from corpusmill.functions.vectors import similarity, squared_l2
+from corpusmill.session import materialize
 
 # --- fixed values -----------------------------------------------------------------------------
 TOP_K, MAX_TOP_K = 5, 20
@@ -30,7 +31,8 @@ TOP_K, MAX_TOP_K = 5, 20
 
 MAX_BROADCAST_QUERIES = 4096
 MAX_BROADCAST_BYTES = 64 << 20
-CORPUS_BLOCK, QUERY_BLOCK = 65536, 2048
+CORPUS_BLOCK, QUERY_BLOCK = 8192, 2048
+PORTION = 16  # query blocks that a task holds
 _CELLS = 1 << 22  # distances held at once inside a task
 _EXACT_ROWS = 1 << 14  # vector pairs measured exactly at once
 
@@ -166,34 +168,61 @@ def _search_shipped(table: pa.Table, corpus: DataFrame, fields, query_id, keys,
     return corpus.select(*keys, vector).mapInArrow(search, T.StructType(fields))
 
 
+def packed(df: DataFrame, size: int, name: str) -> DataFrame:
+    """Runs of up to ``size`` rows of each partition as one Arrow stream each: ``(name_no, name)``, nothing is moved."""
+    schema = to_arrow_schema(df.schema)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def block(rows: pa.Table) -> pa.RecordBatch:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, schema) as out:
+                out.write_table(rows.cast(schema))
+            return pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], [name])
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            while batch.num_rows:
+                room = size - sum(b.num_rows for b in held)
+                held.append(batch.slice(0, room))
+                batch = batch.slice(room)
+                if sum(b.num_rows for b in held) == size:
+                    yield block(pa.Table.from_batches(held))
+                    held = []
+        if held:
+            yield block(pa.Table.from_batches(held))
+
+    return df.mapInArrow(pack, T.StructType([T.StructField(name, T.BinaryType())]))
+
+
+def _unpacked(block: bytes) -> pa.Table:
+    return pa.ipc.open_stream(block).read_all()
+
+
 def _search_blocks(queries: DataFrame, corpus: DataFrame, fields, query_id, keys, vector, k) -> DataFrame:
+    """Query blocks on shared storage, streamed past the corpus where it lies.
+
+    Every task reads one corpus partition and the query blocks of one portion; the corpus is read once per portion
+    and is neither shuffled nor copied.  A task keeps the best ``k`` of each query over all its corpus blocks.
+    """
     schema = to_arrow_schema(T.StructType(fields))
-    # Copies of a row are counted first, so that a block holds distinct rows only and stays small.
-    distinct = corpus.groupBy(*keys, vector).agg(F.count(F.lit(1)).alias("_copies"))
-    n_corpus = max(1, -(-corpus.select(keys[0]).count() // CORPUS_BLOCK))
-    n_query = max(1, -(-queries.select(query_id).count() // QUERY_BLOCK))
-    left = distinct.withColumn(
-        "_cb", F.pmod(F.xxhash64(*keys, vector), F.lit(n_corpus)).cast("int")
-    ).withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(n_query - 1))))
-    right = queries.select(query_id, vector).withColumn(
-        "_qb", F.pmod(F.xxhash64(query_id), F.lit(n_query)).cast("int")
-    ).withColumn("_cb", F.explode(F.sequence(F.lit(0), F.lit(n_corpus - 1))))
-
-    out = pa.schema([*schema, pa.field("_copies", pa.int64())])
-
-    def search(rows: pa.Table, asked: pa.Table) -> pa.Table:
-        if not rows.num_rows or not asked.num_rows:
-            return out.empty_table()
-        matrix = _matrix(asked[vector])
-        best = _Best(matrix, k)
-        best.add(rows.select([*keys, "_copies"]), _matrix(rows[vector], matrix.shape[1]))
-        return best.result(asked[query_id].combine_chunks(), out)
+    blocks = materialize(packed(queries.select(query_id, vector), QUERY_BLOCK, "asked"), "query-blocks").withColumn("asked_no", F.monotonically_increasing_id())
+    n_blocks = blocks.count()
+    portions = blocks.coalesce(max(1, -(-n_blocks // PORTION))).hint("shuffle_replicate_nl")
 
-    found = left.groupBy("_cb", "_qb").cogroup(right.groupBy("_cb", "_qb")).applyInArrow(
-        search, T.StructType([*fields, T.StructField("_copies", T.LongType())])
-    )
-    copies = F.sequence(F.lit(1).cast("bigint"), F.least(F.col("_copies"), F.lit(k).cast("bigint")))
-    return found.withColumn("_copy", F.explode(copies)).drop("_copies", "_copy")
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, tuple[_Best, pa.Array]] = {}
+        for batch in batches:
+            for rows, number, asked in zip(*(batch.column(c) for c in ("rows", "asked_no", "asked")), strict=True):
+                if number.as_py() not in best:
+                    table = _unpacked(asked.as_py())
+                    best[number.as_py()] = (_Best(_matrix(table[vector]), k), table[query_id].combine_chunks())
+                own, table = best[number.as_py()][0], _unpacked(rows.as_py())
+                own.add(table.select(keys), _matrix(table[vector], own.queries.shape[1]))
+        for own, ids in best.values():
+            yield from own.result(ids, schema).to_batches()
+
+    pairs = packed(corpus.select(*keys, vector), CORPUS_BLOCK, "rows").crossJoin(portions)  # block by block, never row by row
+    return pairs.mapInArrow(search, T.StructType(fields))
 
 
 def knn(

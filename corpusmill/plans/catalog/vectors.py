@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import vectors as vec
 from corpusmill.functions.encoders import HashingEncoder, encoded_sql
-from corpusmill.operators import context, retrieval
+from corpusmill.operators import cells, context, retrieval
 from corpusmill.operators.chunking import chunk_table, recursive_chunks
 from corpusmill.plans import answers, fixtures
 from corpusmill.plans.catalog.chunks import windows_sql
 from corpusmill.plans.catalog.registry import query
-from corpusmill.session import materialize, read_table, spread
+from corpusmill.session import materialize, read_table, scratch_dir, spread
 
 K = 5
 HITS = fixtures.HITS_SQL.format(k=K)
@@ -149,6 +149,28 @@ def knn_threshold(spark, d):
     return _rounded(retrieval.threshold(_hits(spark, d), 1.4, 0.43))
 
 
+@query("knn_cells_exact", f"""
+    WITH {HITS} SELECT query_id, rank, vec_id, round(distance, 6) AS distance, round(similarity, 6) AS similarity FROM hits""")
+def knn_cells_exact(spark, d):
+    """Every vector against the vectors stored by cell, with as many cells as certainty takes."""
+    index = cells.CellIndex.build(read_table(spark, d, "embeddings"), scratch_dir(spark, "cells"), ["vec_id"])
+    return _rounded(index.search(fixtures.vector_queries(spark, d), K))
+
+
+@query("knn_cells_recall", f"""
+    WITH {HITS} SELECT count(DISTINCT query_id) AS queries, count(*) AS hits, true AS recall_reached, true AS distances_right FROM hits""")
+def knn_cells_recall(spark, d):
+    """The same with a calibrated number of probes: share of the exact hits found, and the distances of those."""
+    index = cells.CellIndex.build(read_table(spark, d, "embeddings"), scratch_dir(spark, "cells"), ["vec_id"])
+    queries = fixtures.vector_queries(spark, d)
+    found = index.search(queries, K, index.calibrate(queries, K, target=0.93)).select("query_id", "vec_id", F.col("distance").alias("near"))
+    both = _hits(spark, d).join(found, ["query_id", "vec_id"], "left")
+    return both.agg(
+        F.countDistinct("query_id").alias("queries"), F.count(F.lit(1)).alias("hits"),
+        (F.count("near") >= 0.9 * F.count(F.lit(1))).alias("recall_reached"),
+        F.bool_and(F.coalesce(F.abs(F.col("near") - F.col("distance")) < 1e-9, F.lit(True))).alias("distances_right"))
+
+
 @query("knn_best_other", f"""
     WITH {HITS}
     SELECT query_id, vec_id, round(similarity, 6) AS similarity FROM hits WHERE vec_id <> query_id
