@@ -34,10 +34,16 @@ def fixed_chunks(text: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVER
     """Character windows of ``size`` every ``size - overlap``, stripped, empty ones removed."""
     check_settings(size, overlap)
     step = size - overlap
+    # one pass cuts the text in pieces of a step; a window is a piece with as much of its followers as the overlap takes
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
     last = F.when(F.length(text) <= size, F.lit(0)).otherwise(F.ceil((F.length(text) - size) / step).cast("int"))
-    windows = F.transform(
-        F.sequence(F.lit(0), last), lambda i: strip(F.substring(text, i * step + 1, F.lit(size)))
-    )
+
+    def windows_of(pieces: Column) -> Column:
+        joined = lambda i: F.array_join(F.slice(pieces, i + 1, F.lit(-(-size // step))), "")
+        return F.transform(F.sequence(F.lit(0), last), lambda i: strip(F.left(joined(i), F.lit(size))))
+
+    # the pieces are one lambda argument, so they are computed once
+    windows = F.flatten(F.transform(F.array(pieces), windows_of))
     return F.when(~is_blank(text), F.filter(windows, lambda w: w != ""))
 
 

@@ -13,7 +13,7 @@ from corpusmill.plans import answers, fixtures
 from corpusmill.plans.catalog.pages import STRUCTURE_SQL
 from corpusmill.plans.catalog.registry import query
 from corpusmill.plans.catalog.vectors import CHUNK_HITS, K, LISTED, _document_chunks, text_hits_sql
-from corpusmill.session import materialize, read_table
+from corpusmill.session import materialize, read_table, scratch_dir
 
 NL = "chr(10)"
 CONTEXTS_SQL = f"""
@@ -137,6 +137,23 @@ def response_generate(spark, d):
     return _generated(spark, d).select("case_id", "response", "error", F.col("attempts").cast("bigint").alias("attempts"), "tokens")
 
 
+@query("response_store", f"""
+    WITH cases AS ({fixtures.CASES_SQL}), told AS (
+        SELECT *, test_case LIKE '%coupon%' AS fails, test_case IN (SELECT test_case FROM cases WHERE case_id % 2 = 0 AND test_case NOT LIKE '%coupon%') AS from_store,
+               row_number() OVER (PARTITION BY test_case ORDER BY case_id) AS nth FROM cases)
+    SELECT case_id, CASE WHEN NOT fails THEN length(test_case) || ' characters' END AS response, CASE WHEN fails THEN 'no answer' END AS error, from_store,
+           CASE WHEN from_store OR nth > 1 THEN 0 WHEN fails THEN 3 ELSE 1 END::BIGINT AS attempts,
+           CASE WHEN from_store OR nth > 1 OR fails THEN 0 ELSE length(test_case) + {len(pr.SYSTEM_EXPLAIN)} END::BIGINT AS tokens
+    FROM told""")
+def response_store(spark, d):
+    """All cases after those of even number: their prompts come from the store, and equal prompts are called once."""
+    prompts = materialize(fixtures.cases(spark, d).select("case_id", F.lit(pr.SYSTEM_EXPLAIN).alias("system"), F.col("test_case").alias("user")), "prompts")
+    store = generation.ResponseStore(spark, scratch_dir(spark, "responses"))
+    store.generate(prompts.where("case_id % 2 = 0"), stub_model, "case_id", delay=0.0)
+    return store.generate(prompts, stub_model, "case_id", delay=0.0).select(
+        "case_id", "response", "error", "from_store", F.col("attempts").cast("bigint").alias("attempts"), "tokens")
+
+
 def _grounded_sql(asked: str, k: int, more: str = "") -> str:
     """CTEs up to ``grounded(query_id, context, sources)`` over the encoded chunks of all documents."""
     return text_hits_sql(asked, k) + f""",

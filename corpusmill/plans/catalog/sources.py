@@ -10,7 +10,7 @@ from corpusmill.functions.vectors import unit
 from corpusmill.operators.chunking import chunk_table, fixed_chunks
 from corpusmill.plans import fixtures, ingest
 from corpusmill.plans.answers import retrieve
-from corpusmill.plans.catalog.chunks import windows_sql
+from corpusmill.plans.catalog.chunks import strip_sql, windows_sql
 from corpusmill.plans.catalog.pages import page_text_sql
 from corpusmill.plans.catalog.registry import query
 from corpusmill.session import materialize, read_table, scratch_dir, spread
@@ -104,19 +104,25 @@ def src_direct_text(spark, d):
     return files.direct_text(rows, "text", "key", "role").select("doc_key", "source", "type", "text")
 
 
-TABLES = [
-    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
-    "pages", "benchmark", "labels", "conversations",
-]
-
-
 @query("src_scan", f"""
-    SELECT t || '.parquet' AS filename, '.parquet' AS extension, true AS has_bytes
-    FROM (SELECT unnest({fixtures._sql_list(TABLES)}) AS t)""")
+    SELECT filename, octet_length(encode(body)) AS n_bytes, '.' || lower(string_split(filename, '.')[-1]) AS extension, true AS success,
+           md5({NEWLINES}) AS text_md5 FROM ({fixtures.PAGE_FILES_SQL})""")
 def src_scan(spark, d):
-    """The table files as a scanned folder; extensions match in any case."""
-    found = files.scan_files(spark, d, recursive=False, extensions=["PARQUET"])
-    return files.file_metadata(found).select("filename", "extension", (F.col("file_size_bytes") > 0).alias("has_bytes"))
+    """A folder with a file per page, hidden and empty ones included: listed, read, parsed."""
+    found = files.parse_files(files.scan_files(spark, fixtures.page_folder(spark, d)))
+    return found.select(
+        F.element_at(F.split("path", "/"), -1).alias("filename"), F.col("length").alias("n_bytes"), tx.suffix(F.col("path")).alias("extension"),
+        "success", F.md5("text").alias("text_md5"))
+
+
+@query("src_scan_ingest", f"""
+    SELECT filename AS file_name, {strip_sql(NEWLINES)} <> '' AS success, CASE WHEN {strip_sql(NEWLINES)} = '' THEN '{ingest.NO_TEXT}' END AS error
+    FROM ({fixtures.PAGE_FILES_SQL})""")
+def src_scan_ingest(spark, d):
+    """The same folder ingested: what became of every file."""
+    folder = fixtures.page_folder(spark, d)
+    kb = kbs.KnowledgeBase(spark, scratch_dir(spark, "kb"), dimension=16)
+    return ingest.ingest_directory(spark, folder, kb, encoder=HashingEncoder([1.0] * 16)).results.select("file_name", "success", "error")
 
 
 _NAMES_SQL = """

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions.encoders import HashingEncoder, encoded_sql
-from corpusmill.session import read_table, spread
+from corpusmill.session import read_table, scratch_dir, spread
+from corpusmill.sources.files import open_path
 
 PHRASES = [
     "Enter a valid email and submit", "Call the mobile number on file", "Type the username of the buyer",
@@ -127,6 +128,33 @@ def field_responses(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+# ---- a folder of files from pages --------------------------------------------------------------
+
+PAGE_FILES_SQL = """
+    SELECT page_id, CASE page_id % 5 WHEN 1 THEN '_' WHEN 2 THEN '.' ELSE '' END || 'p' || page_id || CASE WHEN page_id % 2 = 0 THEN '.txt' ELSE '.MD' END AS filename,
+           CASE WHEN page_id % 5 = 3 THEN '' ELSE html END AS body FROM pages"""
+
+
+def page_folder(spark: SparkSession, d: str) -> str:
+    """A file per page in a new shared folder: ordinary, hidden and empty ones, in folders of their own kind."""
+    key, folder = F.col("page_id"), scratch_dir(spark, "page-files")
+    name = F.concat(F.when(key % 5 == 1, "_").when(key % 5 == 2, ".").otherwise(""), F.lit("p"), key.cast("string"), F.when(key % 2 == 0, ".txt").otherwise(".MD"))
+    rows = spread(read_table(spark, d, "pages").select("page_id", "html"), "page_id")
+    rows = rows.select(F.concat(F.lit(f"{folder}/k"), (key % 3).cast("string"), F.lit("/"), name).alias("path"), F.when(key % 5 == 3, "").otherwise(F.col("html")).alias("body"))
+
+    def write(batches):
+        for batch in batches:
+            for path, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                system, inner = open_path(path)
+                system.create_dir(inner.rsplit("/", 1)[0])
+                with system.open_output_stream(inner) as out:
+                    out.write((body or "").encode())
+            yield batch.slice(0, 0)
+
+    rows.mapInArrow(write, rows.schema).count()  # a file written twice is the same file
+    return folder
+
+
 # ---- mixed files from documents, pages and events ----------------------------------------------
 
 MIXED_SQL = """

@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions.encoders import HashingEncoder
+from corpusmill.functions.text import suffix
 from corpusmill.operators.chunking import CHUNK_OVERLAP, CHUNK_SIZE, chunk_table, recursive_chunks
 from corpusmill.session import materialize
-from corpusmill.sources.files import Extractor, parse_files, scan_files, supported_extensions
+from corpusmill.sources.files import Extractor, merge_metadata, parse_files, scan_files, supported_extensions
 from corpusmill.sources.knowledge_base import KnowledgeBase
 
 FILE_RESULT = "file_name string, success boolean, chunks_added bigint, error string"
@@ -92,9 +93,12 @@ def ingest_directory(
         nothing = spark.createDataFrame([], FILE_RESULT)
         return Ingested(nothing, ingest_summary(nothing), str(problem))
     pairs = [F.lit(x) for item in (extra or {}).items() for x in item]
+    facts = F.create_map(
+        F.lit("file_size_bytes"), F.col("length").cast("string"), F.lit("extension"), suffix(F.col("path")),
+        F.lit("modified"), F.date_format("modificationTime", "yyyy-MM-dd'T'HH:mm:ss"))
     parsed = parse_files(files, extractors).select(
         F.col("path").alias("doc_key"), F.element_at(F.split("path", "/"), -1).alias("filename"),
         F.lit((extra or {}).get("source")).cast("string").alias("source"),
-        F.create_map(*pairs).cast("map<string,string>").alias("extra"), "text", "success", "error",
+        merge_metadata(facts, F.create_map(*pairs).cast("map<string,string>")).alias("extra"), "text", "success", "error",
     )
     return ingest_documents(parsed, kb, encoder, mode)

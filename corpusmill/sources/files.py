@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
-from pyspark.errors import AnalysisException
+import pyarrow.fs as pa_fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +21,7 @@ from corpusmill.functions.text import (
     suffix,
     with_html_text,
 )
+from corpusmill.session import hadoop_files, scratch_dir
 
 # --- fixed values -----------------------------------------------------------------------------
 TEXT_EXTENSIONS, JSON_EXTENSIONS, HTML_EXTENSIONS = ["txt", "md"], ["json"], ["html", "htm"]
@@ -27,6 +30,8 @@ LIBRARY_EXTENSIONS = ["pdf", "docx"]
 # ----------------------------------------------------------------------------------------------
 
 Extractor = Callable[[bytes], str]
+LIST_BATCH = 50_000
+READ_BYTES = 16 << 20
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
 
@@ -42,28 +47,89 @@ def name_pattern(extensions: list[str]) -> str:
     return "*.{" + ",".join(any_case) + "}"
 
 
+def list_folder(spark: SparkSession, directory: str, recursive: bool = True, extensions: list[str] | None = None) -> DataFrame:
+    """``(path, modificationTime, length)`` of every file with one of ``extensions``, whatever its name or size.
+
+    Spark's own file index leaves out names that begin with ``_`` or ``.``, so this asks the file system itself.
+    The listing is written to shared scratch in batches, so the driver holds ``LIST_BATCH`` rows at most.
+    """
+    wanted = tuple("." + e.lower().lstrip(".") for e in (supported_extensions() if extensions is None else extensions))
+    files, make = hadoop_files(spark, directory)
+    place = make(directory)
+    if not files.exists(place):
+        raise FileNotFoundError(f"Directory not found: {directory}")
+    target, rows, found = scratch_dir(spark, "listing"), [], files.listFiles(place, recursive)
+
+    def write() -> None:
+        spark.createDataFrame(rows, "path string, millis long, length long").write.mode("append").parquet(target)
+
+    while found.hasNext():
+        status = found.next()
+        path = status.getPath().toString()
+        if path.rsplit("/", 1)[-1].lower().endswith(wanted):
+            rows.append((path, status.getModificationTime(), status.getLen()))
+        if len(rows) >= LIST_BATCH:
+            write()
+            rows = []
+    write()
+    listed = spark.read.schema("path string, millis long, length long").parquet(target)
+    return listed.select("path", F.timestamp_millis("millis").alias("modificationTime"), "length")
+
+
+def open_path(path: str):
+    """File system and inner path of a full path, for use inside tasks."""
+    scheme = re.match(r"([A-Za-z][A-Za-z0-9+.-]*):(//[^/]*)?(/.*)", path, re.S)
+    if not scheme:
+        return pa_fs.LocalFileSystem(), path
+    return pa_fs.FileSystem.from_uri(f"{scheme[1]}:{scheme[2] or '//'}{quote(scheme[3])}")
+
+
+def read_contents(listed: DataFrame) -> DataFrame:
+    """Listed files with their content, read by path in the tasks; a file that cannot be read has NULL content."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, size, start = [], 0, 0
+            for i, (path, length) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                content = b""
+                if length:
+                    try:
+                        system, inner = open_path(path)
+                        with system.open_input_stream(inner) as stream:
+                            content = stream.read()
+                    except (OSError, pa.ArrowInvalid, pa.ArrowNotImplementedError):
+                        content = None
+                rows.append(content)
+                size += len(content or b"")
+                if size > READ_BYTES or i + 1 == batch.num_rows:
+                    part = batch.slice(start, i + 1 - start)
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(rows, pa.binary())], ["path", "modificationTime", "length", "content"])
+                    rows, size, start = [], 0, i + 1
+
+    return listed.select("path", "modificationTime", "length").mapInArrow(run, FILE_SCHEMA)
+
+
 def scan_files(
     spark: SparkSession, directory: str, recursive: bool = True, extensions: list[str] | None = None
 ) -> DataFrame:
     """Files below ``directory`` with one of ``extensions``; no rows when there are none.
 
-    Other files are skipped while listing, so their bytes are never read.  A missing folder
-    raises ``FileNotFoundError``.
+    Files of other kinds are skipped while listing, so their bytes are never read.  What Spark's file index leaves
+    out (names that begin with ``_`` or ``.``, and files of no bytes) is taken from the complete listing and read
+    by path.  A missing folder raises ``FileNotFoundError``.
     """
     wanted = supported_extensions() if extensions is None else extensions
     if not wanted:
         return spark.createDataFrame([], FILE_SCHEMA)
-    reader = (
+    listed = list_folder(spark, directory, recursive, wanted)
+    scan = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", name_pattern(wanted))
         .option("recursiveFileLookup", str(recursive).lower())
+        .load(directory)
     )
-    try:
-        return reader.load(directory)
-    except AnalysisException as problem:
-        if "PATH_NOT_FOUND" in str(problem):
-            raise FileNotFoundError(f"Directory not found: {directory}") from problem
-        raise
+    rest = listed.join(scan.select("path"), "path", "left_anti")  # paths only; no content is read for this
+    return scan.unionByName(read_contents(rest))
 
 
 def file_metadata(files: DataFrame) -> DataFrame:
