@@ -2,14 +2,17 @@
 
 Parsing is the only Python step.  It turns a page into one struct: its text (twice: as it stands
 and with every text node stripped), its title and an array with one entry per element.  An element
-points into the two texts, so nesting does not multiply the output.  Everything else is a column
-expression inside the page's row: no structure query shuffles, also when one page is huge.
+points into the two texts, so nesting does not multiply the output.  Elements are numbered in document
+order, and ``last_idx`` is the number of the last one inside, so "inside" is a range of numbers.
+Structure queries are column expressions inside the page's row, none of them shuffles, also when one
+page is huge; those that need the text of many elements cut it in Python, where a cut costs what it holds.
 """
 
 from __future__ import annotations
 
-from html import unescape
+from bisect import bisect_left
 from collections import Counter
+from html import unescape
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -37,7 +40,8 @@ _STRINGS = T.ArrayType(T.StringType())
 ELEMENT_TYPE = T.StructType([
     T.StructField("elem_idx", T.IntegerType()),
     T.StructField("parent_idx", T.IntegerType()),
-    T.StructField("ancestor_forms", T.ArrayType(T.IntegerType())),
+    T.StructField("last_idx", T.IntegerType()),
+    T.StructField("form_idx", T.IntegerType()),
     T.StructField("tag", T.StringType()),
     T.StructField("attrs", T.MapType(T.StringType(), T.StringType())),
     T.StructField("classes", _STRINGS),
@@ -94,7 +98,8 @@ class _PageReader(HTMLParser):
         self.elements.append({
             "elem_idx": index,
             "parent_idx": self.open[-1] if self.open else None,
-            "ancestor_forms": self.open_forms.copy(),
+            "last_idx": index,
+            "form_idx": self.open_forms[-1] if self.open_forms else None,
             "tag": tag,
             "attrs": list(values.items()),
             "classes": values["class"].split() if "class" in values else None,
@@ -124,6 +129,7 @@ class _PageReader(HTMLParser):
         element = self.elements[self.open.pop()]
         self._count(element["tag"], element["elem_idx"], -1)
         element["text_to"], element["bare_to"] = self.text_len, self.bare_len
+        element["last_idx"] = len(self.elements) - 1
 
     def handle_endtag(self, tag):
         self._flush()
@@ -271,7 +277,7 @@ def _button_row(e: Column) -> Column:
 
 
 def _form_row(e: Column) -> Column:
-    inside = F.filter(F.col("elements"), lambda x: F.array_contains(x["ancestor_forms"], e["elem_idx"]))
+    inside = F.slice(F.col("elements"), e["elem_idx"] + 2, e["last_idx"] - e["elem_idx"])
     inputs = F.transform(F.filter(inside, lambda x: x["tag"] == "input"), lambda x: F.struct(
         F.coalesce(attr(x, "type"), F.lit("text")).alias("type"), attr(x, "id").alias("id"),
         attr(x, "name").alias("name"), selector(x).alias("selector"),
@@ -304,14 +310,29 @@ def _rows(parsed: DataFrame, wanted, row) -> DataFrame:
     return unnest(parsed, rest, picked, "_n", "_row").select(*rest, "_row.*")
 
 
+_TEXTS = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("text_stripped", T.StringType())]))
+
+
+@F.arrow_udf(_TEXTS)
+def _cut_texts(page_text: pa.Array, bare_text: pa.Array, spans: pa.Array) -> pa.Array:
+    """Both texts of every element of a page; ``spans`` holds the four offsets."""
+    made = []
+    for text, bare, each in zip(page_text.to_pylist(), bare_text.to_pylist(), spans.to_pylist(), strict=True):
+        made.append(None if each is None else [{"text": text[a:b], "text_stripped": bare[c:d]} for a, b, c, d in each])
+    return pa.array(made, to_arrow_type(_TEXTS))
+
+
 def element_table(parsed: DataFrame) -> DataFrame:
-    """One row per element with its text, in document order per page."""
+    """One row per element with its text, in document order per page; ``form_idx`` is the form around it.
+
+    Texts are cut before the elements become rows, so a row carries its own text and no copy of the page.
+    """
     rest = [c for c in parsed.columns if c not in ("title", "page_text", "bare_text", "elements")]
-    exploded = unnest(parsed, [*rest, "page_text", "bare_text"], F.col("elements"), "_n", "e")
-    return exploded.select(
-        *rest, "e.elem_idx", "e.parent_idx", "e.ancestor_forms", "e.tag", "e.attrs", "e.classes",
-        element_text(F.col("e")).alias("text"), element_bare_text(F.col("e")).alias("text_stripped"),
-    )
+    spans = F.transform("elements", lambda e: F.array(e["text_from"], e["text_to"], e["bare_from"], e["bare_to"]))
+    cut = parsed.select(*rest, "elements", _cut_texts("page_text", "bare_text", spans).alias("_texts"))
+    both = F.zip_with("elements", "_texts", lambda e, t: F.struct(
+        *[e[c].alias(c) for c in ("elem_idx", "parent_idx", "last_idx", "form_idx", "tag", "attrs", "classes")], t["text"].alias("text"), t["text_stripped"].alias("text_stripped")))
+    return unnest(cut, rest, both, "_n", "e").select(*rest, "e.*")
 
 
 def inputs(parsed: DataFrame) -> DataFrame:
@@ -331,27 +352,83 @@ def links(parsed: DataFrame) -> DataFrame:
     return _rows(parsed, lambda e: e["tag"] == "a", _link_row)
 
 
+_HITS = T.ArrayType(T.StructType([
+    T.StructField("search_no", T.IntegerType()), T.StructField("match_no", T.IntegerType()), T.StructField("elem_idx", T.IntegerType()),
+    T.StructField("text", T.StringType()),
+]))
+
+
+def _places(lower: str, needle: str) -> list[int]:
+    """Where ``needle`` begins, overlapping occurrences included."""
+    found, at = [], lower.find(needle)
+    while at != -1:
+        found.append(at)
+        at = lower.find(needle, at + 1)
+    return found
+
+
+def _lowered(text: str) -> str:
+    """Lower case with every character in its place."""
+    lower = text.lower()
+    return lower if len(lower) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
+def _search(tags_of: list[list[str]]):
+    """Hits of each search in a page: its text is lowered and searched once per needle, an element asks for its range."""
+
+    @F.arrow_udf(_HITS)
+    def hits(page_text: pa.Array, bare_text: pa.Array, tags: pa.Array, spans: pa.Array, needles: pa.Array) -> pa.Array:
+        made = []
+        for text, bare, names, each, wanted in zip(*(c.to_pylist() for c in (page_text, bare_text, tags, spans, needles)), strict=True):
+            if each is None:
+                made.append(None)
+                continue
+            lower, by_tag, found = _lowered(text), {}, []
+            for i, name in enumerate(names):
+                by_tag.setdefault(name, []).append(i)
+            places: dict[str, list[int]] = {}
+            for number, needle in enumerate(wanted):
+                if needle is None:
+                    continue
+                needle, match = _lowered(needle), 0
+                if needle not in places:
+                    places[needle] = _places(lower, needle) if needle else []
+                for name in tags_of[number]:
+                    for i in by_tag.get(name, ()):
+                        a, b, c, d = each[i]
+                        at = bisect_left(places[needle], a)
+                        if not needle or (at < len(places[needle]) and places[needle][at] + len(needle) <= b):
+                            found.append({"search_no": number, "match_no": match, "elem_idx": i, "text": bare[c:d]})
+                            match += 1
+            made.append(found)
+        return pa.array(made, to_arrow_type(_HITS))
+
+    return hits
+
+
+def find_by_texts(parsed: DataFrame, searches: list[tuple[str | Column, str | None]]) -> DataFrame:
+    """Elements that hold a text in any case, for several ``(text, tag)`` at once; no tag means the usual ones.
+
+    ``search_no`` numbers the searches, ``match_no`` the hits of one search by tag list and document order.
+    """
+    tags_of = [[tag] if tag else TEXT_SEARCH_TAGS for _, tag in searches]
+    needles = F.array(*[F.lit(text) if isinstance(text, str) else text for text, _ in searches])
+    rest = [c for c in parsed.columns if c not in ("title", "page_text", "bare_text", "elements")]
+    spans = F.transform("elements", lambda e: F.array(e["text_from"], e["text_to"], e["bare_from"], e["bare_to"]))
+    tags = F.transform("elements", lambda e: e["tag"])
+    hits = parsed.select(*rest, "elements", _search(tags_of)("page_text", "bare_text", tags, spans, needles).alias("_hits"))
+
+    def shown(hit: Column) -> Column:
+        e = F.get("elements", hit["elem_idx"])
+        return F.struct(hit["search_no"].alias("search_no"), hit["match_no"].alias("match_no"), hit["elem_idx"].alias("elem_idx"), e["tag"].alias("tag"),
+                        hit["text"].alias("text"), attr(e, "id").alias("id"), e["classes"].alias("class"), selector(e).alias("selector"))
+
+    return unnest(hits, rest, F.transform("_hits", shown), "_n", "_row").select(*rest, "_row.*")
+
+
 def find_by_text(parsed: DataFrame, text: str | Column, tag: str | None = None) -> DataFrame:
     """Elements whose text holds ``text`` in any case, numbered by tag list and document order."""
-    tags = [tag] if tag else TEXT_SEARCH_TAGS
-    needle = F.lower(F.lit(text) if isinstance(text, str) else text)
-    tag_list = F.array(*[F.lit(t) for t in tags])
-    rest = [c for c in parsed.columns if c not in ("title", "page_text", "bare_text", "elements")]
-    found = F.transform(
-        F.filter(
-            F.col("elements"),
-            lambda e: e["tag"].isin(tags) & F.contains(F.lower(element_text(e)), needle),
-        ),
-        lambda e: F.struct(
-            F.array_position(tag_list, e["tag"]).alias("tag_order"), e["elem_idx"].alias("elem_idx"),
-            e["tag"].alias("tag"), element_bare_text(e).alias("text"), attr(e, "id").alias("id"),
-            e["classes"].alias("class"), selector(e).alias("selector"),
-        ),
-    )
-    ordered = F.array_sort(found, lambda a, b: F.when(
-        (a["tag_order"] < b["tag_order"]) | ((a["tag_order"] == b["tag_order"]) & (a["elem_idx"] < b["elem_idx"])), -1
-    ).otherwise(1))
-    return unnest(parsed, rest, ordered, "match_no", "_row").select(*rest, "match_no", "_row.*").drop("tag_order")
+    return find_by_texts(parsed, [(text, tag)]).drop("search_no")
 
 
 def _count(wanted) -> Column:

@@ -73,6 +73,36 @@ def html_elements(spark, d):
     return _parsed(spark, d).select("page_id", tags.alias("tag")).groupBy("page_id", "tag").agg(F.count(F.lit(1)).alias("elements"))
 
 
+def _element_rows_sql() -> str:
+    """Every element of the form pages: number, parent, last inside, form, tag, attributes and both texts."""
+    n, save, see = "(CASE WHEN third THEN 1 ELSE 0 END)", "' Save ' || key", "'See ' || seg"
+    rows = [  # number, parent, last, form, tag, attributes, text, stripped text
+        ("0", "NULL", f"11 + {n}", "NULL", "html", "''", f"c_name || {save} || {see}", f"c_name || 'Save' || key || {see}"),
+        ("1", "0", "2", "NULL", "head", "''", "c_name", "c_name"), ("2", "1", "2", "NULL", "title", "''", "c_name", "c_name"),
+        ("3", "0", f"11 + {n}", "NULL", "body", "''", f"{save} || {see}", f"'Save' || key || {see}"),
+        ("4", "3", f"8 + {n}", "NULL", "form", "'action=/c/' || key || ';class=wide card;id=f' || key || CASE WHEN c_custkey % 2 = 0 THEN ';method=post' ELSE '' END", save, "'Save' || key"),
+        ("5", "4", "6", "4", "p", "''", "''", "''"),
+        ("6", "5", "6", "4", "input", "'id=i' || key || ';name=' || lower(seg) || ';placeholder=n ' || c_nationkey || CASE WHEN c_custkey % 2 = 0 THEN ';required=' ELSE '' END || ';type=text'", "''", "''"),
+        (f"7 + {n}", "4", f"8 + {n}", "4", "button", "'class=b x' || c_nationkey || ';onclick=go(' || key || ')'", save, "'Save' || key"),
+        (f"8 + {n}", f"7 + {n}", f"8 + {n}", "4", "b", "''", "key", "key"),
+        (f"9 + {n}", "3", f"9 + {n}", "NULL", "img", "'src=a.png'", "''", "''"),
+        (f"10 + {n}", "3", f"10 + {n}", "NULL", "a", "'class=nav;href=/n/' || c_nationkey", see, see),
+        (f"11 + {n}", "3", f"11 + {n}", "NULL", "script", "''", "''", "''"),
+    ]
+    names = ("elem_idx", "parent_idx", "last_idx", "form_idx")
+    line = lambda r: "SELECT c_custkey AS page_id, " + ", ".join(f"({v})::INT AS {c}" for v, c in zip(r, names)) + f", '{r[4]}' AS tag, {r[5]} AS attrs, {r[6]} AS text, {r[7]} AS text_stripped FROM pages_of"
+    submit = line(("7", "4", "7", "4", "input", "'type=submit;value=Go ' || key", "''", "''")) + " WHERE third"
+    return "WITH pages_of AS (SELECT *, c_custkey::VARCHAR AS key, c_mktsegment AS seg, c_custkey % 3 = 0 AS third FROM customer) " + " UNION ALL ".join([*map(line, rows), submit])
+
+
+@query("html_element_table", _element_rows_sql())
+def html_element_table(spark, d):
+    """Every element with its place in the tree, the form around it, its attributes and both texts."""
+    pairs = F.transform(F.array_sort(F.map_entries("attrs")), lambda a: F.concat(a["key"], F.lit("="), a["value"]))
+    return el.element_table(_parsed_forms(spark, d)).select(
+        "page_id", "elem_idx", "parent_idx", "last_idx", "form_idx", "tag", F.array_join(pairs, ";").alias("attrs"), "text", "text_stripped")
+
+
 LINK_SQL = rf"SELECT page_id, unnest(regexp_extract_all({QUIET}, '(?s)<a\b[^>]*>.*?</a>')) AS a FROM pages"
 
 
@@ -120,7 +150,7 @@ def html_form_page_summary(spark, d):
 def html_find_text(spark, d):
     """Links and first-level headings that hold a word."""
     parsed = _parsed(spark, d)
-    found = el.find_by_text(parsed, "THE", "a").unionByName(el.find_by_text(parsed, "The", "h1"))
+    found = el.find_by_texts(parsed, [("THE", "a"), ("The", "h1")])
     return found.groupBy("page_id", "tag", "text").agg(F.count(F.lit(1)).alias("times"))
 
 

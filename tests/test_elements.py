@@ -1,4 +1,7 @@
+import time
+
 import pytest
+from pyspark.sql import functions as F
 
 from corpusmill.operators import elements as el
 
@@ -70,3 +73,26 @@ def test_element_table(parsed):
     rows = {(r.page_id, r.elem_idx): r for r in el.element_table(parsed).collect()}
     assert rows[(3, 0)].text == "xy" and rows[(3, 1)].text_stripped == "y" and rows[(3, 1)].parent_idx == 0
     assert all(r.text_stripped.replace("\n", "") for r in rows.values() if r.tag == "title")
+
+
+def test_ranges_and_many_forms(spark):
+    page = el.read_page("<form><p><input></p><form><input></form></form><b>x</b>")["elements"]
+    assert [(e["tag"], e["last_idx"], e["form_idx"]) for e in page] == [("form", 4, None), ("p", 2, 0), ("input", 2, 0), ("form", 4, 0), ("input", 4, 3), ("b", 5, None)]
+    many = "".join(f"<form id=f{i}><input name=a{i}><button>go {i}</button></form>" for i in range(2000))
+    pages = el.parse_pages(spark.createDataFrame([(1, many)], "page_id int, html string")).cache()
+    pages.count()
+    started = time.time()
+    rows = el.forms(pages).collect()
+    assert len(rows) == 2000 and all(len(r.inputs) == 1 and r.buttons[0].text.startswith("go") for r in rows)
+    table = {r.elem_idx: r for r in el.element_table(pages).collect()}
+    assert time.time() - started < 15 and table[3].tag == "form" and table[4].form_idx == 3 and table[5].text == "go 1"
+    nested = el.read_page("<form>" * 3000 + "<input>")["elements"]
+    assert nested[0]["last_idx"] == 3000 and nested[-1]["form_idx"] == 2999
+
+
+def test_several_searches_at_once(spark, parsed):
+    found = el.find_by_texts(parsed, [("HOME P", None), ("page", "i"), ("nothing", None), ("", "img")]).collect()
+    assert sorted((r.search_no, r.match_no, r.page_id, r.tag, r.text) for r in found) == [(0, 0, 1, "a", "Homepage"), (1, 0, 1, "i", "page"), (3, 0, 1, "img", "")]
+    odd = el.parse_pages(spark.createDataFrame([(1, "<p>\u0130x \u0130STANBUL</p><p>aaab</p>", "AAB"), (2, None, "x"), (3, "<p>x</p>", None)], "page_id int, html string, word string"))
+    assert [(r.page_id, r.text) for r in el.find_by_text(odd, F.col("word")).collect()] == [(1, "aaab")]
+    assert el.find_by_text(odd, "stanbul").count() == 1
