@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -15,12 +17,26 @@ from corpusmill.session import materialize, read_table
 #: Bytes of text that a step in Python handles at once.
 STEP_BYTES = 4 << 20
 
-#: What a worker makes once per process and uses again in later tasks.
+#: What a worker makes once per process and uses again in later tasks, and the module it was made for.
 _MADE: dict = {}
+_OWNER: list[str] = [""]
+
+
+def _release() -> None:
+    """Forget what an earlier operator made and hand its memory back, as workers outlive operators."""
+    _MADE.clear()
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not with this C library
+        pass
 
 
 def once(key, make: Callable[[], object]):
-    """The value of ``make()``, made once per worker process for each ``key``."""
+    """The value of ``make()``, made once per worker process for each ``key`` while the operator stays the same."""
+    if make.__module__ != _OWNER[0]:
+        _OWNER[0] = make.__module__
+        _release()
     if key not in _MADE:
         if len(_MADE) > 64:
             _MADE.clear()

@@ -52,7 +52,7 @@ CELLS = 4 << 20
 COMMON, COMMON_WEIGHT = 0.02, 0.05
 ITEM_BLOCK, ITEM_BYTES = 4096, 16 << 20
 SEED = 23
-MEMO = 500_000
+MEMO = 150_000
 #: Bytes of text whose words are in memory as vectors at once.
 PART = 512 << 10
 #: What is taken off the ends of a word.
@@ -256,6 +256,7 @@ class Finder:
 
     def __init__(self, items: list[tuple[object, str]], space: np.ndarray):
         vocabulary = frozenset(h for _, text in items for h in _words().hashes(text).tolist())
+        _words().clear()  # what the fit remembered is of no use any more
         self.words = once(("decontamination words", vocabulary), lambda: Words(vocabulary))
         self.space = space
         self.known = np.array(sorted(h | KNOWN for h in vocabulary), np.int64)
