@@ -212,16 +212,16 @@ def ctx_sources(spark, d):
 
 
 @query("ctx_summary", f"""
-    WITH {CHUNK_HITS}, near AS (SELECT * FROM hits WHERE distance <= 0.5)
+    WITH {CHUNK_HITS}, near AS (SELECT * FROM hits WHERE distance BETWEEN 0.05 AND 1.15)
     SELECT q.vec_id AS query_id, coalesce(string_agg(doc_key::VARCHAR, ',' ORDER BY rank), '') AS results,
            count(doc_key) AS total_results,
            coalesce(string_agg(DISTINCT {LISTED}, '|' ORDER BY {LISTED}), '') AS sources,
            round(coalesce(avg(similarity), 0), 6) AS avg_similarity
     FROM embeddings q LEFT JOIN near ON near.query_id = q.vec_id GROUP BY q.vec_id""")
 def ctx_summary(spark, d):
-    """Summary per query; queries left without hits by the threshold keep a zero row."""
+    """Summary per query without its own vector; queries left without hits by the thresholds keep a zero row."""
     queries = fixtures.vector_queries(spark, d)
-    near = retrieval.threshold(_chunk_hits(spark, d), max_distance=0.5)
+    near = retrieval.threshold(_chunk_hits(spark, d), max_distance=1.15).where("distance >= 0.05")
     return context.retrieval_summary(queries.select("query_id"), near, ["doc_key"]).select(
         "query_id", F.array_join(F.transform("results", lambda r: r["doc_key"].cast("string")), ",").alias("results"),
         "total_results", F.array_join("sources", "|").alias("sources"), F.round("avg_similarity", 6).alias("avg_similarity"),

@@ -43,7 +43,7 @@ def test_query(spark, tables, name):
 
 def test_entry(spark):
     rows = entry.entry(spark).collect()
-    assert len(rows) == 500 and {r.total_results for r in rows} == {0, 1}
+    assert len(rows) == 500 and {0, 1} < {r.total_results for r in rows}
 
 
 def test_twins_belong_to_queries():
