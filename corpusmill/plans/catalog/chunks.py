@@ -65,6 +65,22 @@ def chunk_recursive_custom(spark, d):
     return _shown(chunking.chunk_table(_docs(spark, d), chunks))
 
 
+@query("chunk_recursive_cover", f"""
+    SELECT doc_id, md5(regexp_replace(text, '{WS}', '', 'g')) AS characters_md5, length(regexp_replace(text, '{WS}', '', 'g')) AS n_characters,
+           true AS numbered, true AS within_size, true AS whole_stretches
+    FROM documents WHERE {strip_sql("text")} <> ''""")
+def chunk_recursive_cover(spark, d):
+    """Without overlap the chunks, in order, hold every character of a text that is no white space exactly once."""
+    blank = r"[\s\x0B\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+    docs = _docs(spark, d)
+    cut = docs.select("doc_id", "text", chunking.recursive_chunks(F.col("text"), 500, 0).alias("c")).where(F.size("c") > 0)
+    held = F.regexp_replace(F.array_join("c", ""), blank, "")
+    rows = chunking.chunk_table(cut.select("doc_id", F.lit("").alias("text"), "c"), F.col("c")).drop("c").groupBy("doc_id").agg(
+        ((F.max("chunk_id") + 1 == F.count(F.lit(1))) & (F.max("total_chunks") == F.count(F.lit(1)))).alias("numbered"), (F.max("chunk_size") <= 500).alias("within_size"))
+    return cut.select("doc_id", F.md5(held).alias("characters_md5"), F.length(held).cast("bigint").alias("n_characters"),
+                      F.forall("c", lambda c: F.contains("text", c)).alias("whole_stretches")).join(rows, "doc_id")
+
+
 CHUNK_STATS_SQL = """
     SELECT count(*) AS total_chunks, round(coalesce(avg(length(text)), 0), 6) AS avg_chunk_size,
            coalesce(min(length(text)), 0) AS min_chunk_size, coalesce(max(length(text)), 0) AS max_chunk_size,
