@@ -192,6 +192,15 @@ def retrieve_chunks(spark, d):
     )
 
 
+@query("retrieve_many", f"""
+    WITH {CHUNK_HITS}
+    SELECT query_id, rank, doc_key, round(distance, 6) AS distance, text, filename, source FROM hits""")
+def retrieve_many(spark, d):
+    """The same by the plans for query tables of any size: streamed blocks, and texts looked up behind a filter of hit keys."""
+    return _chunk_hits(spark, d, max_broadcast=0).select(
+        "query_id", F.col("rank").cast("bigint").alias("rank"), "doc_key", F.round("distance", 6).alias("distance"), "text", "filename", "source")
+
+
 @query("retrieve_min_similarity", f"""
     WITH {CHUNK_HITS}
     SELECT query_id, rank, doc_key, round(similarity, 6) AS similarity FROM hits WHERE distance <= 1 / 0.42 - 1""")

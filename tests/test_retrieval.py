@@ -125,3 +125,20 @@ def test_context_shapes(spark):
     summary = {r.query_id: r for r in context.retrieval_summary(queries, hits, ["key"]).collect()}
     assert [x.key for x in summary[1].results] == ["k1", "k2", "k3"] and summary[1].total_results == 3
     assert (summary[2].results, summary[2].total_results, summary[2].sources, summary[2].avg_similarity) == ([], 0, [], 0.0)
+
+
+def test_texts_of_other_chunks_stay_where_they_are(spark, tmp_path):
+    chunks = spark.range(20_000).select(F.col("id").alias("doc"), (F.col("id") % 3).alias("part"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    chunks.write.parquet(str(tmp_path / "chunks"))
+    chunks = spark.read.parquet(str(tmp_path / "chunks")).unionAll(chunks.where("doc = 40"))  # one chunk is stored twice
+    hits = chunks.where("doc % 40 = 0").select(F.lit(1).alias("query_id"), "doc", "part", F.lit(0.5).alias("distance"))
+    likely = retrieval.likely_hits(chunks, hits, ["doc", "part"])
+    rows = {r.doc for r in likely.collect()}
+    assert rows >= {r.doc for r in hits.collect()} and len(rows) < 520
+    plan = likely._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    got = retrieval.attach_chunks(hits, chunks, ["doc", "part"]).collect()
+    assert sorted(r.doc for r in got) == sorted([40, *range(0, 20_000, 40)]) and all(r.text == f"text {r.doc}" for r in got)
+    assert retrieval.attach_chunks(hits.where("doc < 0"), chunks, ["doc", "part"]).count() == 0
+    nulls = spark.createDataFrame([(1, None, 2, 0.5)], "query_id int, doc bigint, part bigint, distance double")
+    assert retrieval.attach_chunks(nulls, chunks, ["doc", "part"]).count() == 0
