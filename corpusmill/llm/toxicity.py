@@ -1,19 +1,31 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Five small transducers are composed.  The *lexicon* turns a word into a symbol: insult, threat, target,
-negation, report or other; its insults are known words and, learned from labels, word beginnings that toxic
-documents share and clean ones lack.  The *negation*, *report* and *target* transducers read the symbols of one
-clause and keep a little state each (words left in the scope of a negation, whether speech is being reported,
-whether somebody is addressed).  The *clause* transducer emits one weighted output per insult or threat,
-depending on these states, so ``not stupid`` or ``she wrote that he was called stupid`` weigh less than
-``you are stupid``.  A document's score is a logistic function of its clause outputs, with weights fitted to
-the labels; words outside a matched clause never count.
+The *lexicon* is a letter trie that reads a word and writes a symbol: insult, threat verb, target, negation,
+report, intent or other, with quotation marks as symbols of their own.  Its insults are known words and, learned
+from labels, word beginnings that toxic documents share and clean ones lack.  Five letter transducers read the
+symbols of one clause, each writing one symbol per symbol, and are composed into one machine:
+
+* *target* guesses whether somebody is addressed in the clause and marks insults accordingly; a wrong guess
+  does not reach a final state;
+* *threat* turns the object of a threat verb into a threat, when the verb opens the clause or follows an intent
+  and the object stands within two words of it (or just before it, for verbs that come last);
+* *negation* turns insults and threats within three words of a negation into negated ones;
+* *report* turns insults and threats behind a verb of saying or inside quotation marks into reported ones;
+* *clause* reads what is left; each of its arcs for a match has a weight.
+
+So ``not stupid`` or ``she wrote that he was called stupid`` weigh less than ``you are stupid``, and ``kill the
+process you started`` is no threat.  A clause weighs what its best accepting path weighs.  A document's score is
+a logistic function of the arcs that its clauses take, each counted up to three times, and of whether there is any
+match that is neither negated nor reported.  Arc weights are fitted to the labels with the fixed weights as prior, so
+an arc that no labelled text takes keeps its weight.  Words outside a match never count.
 
 Learning uses at most ``TRAIN_DOCS`` distinct labelled texts, drawn by a hash of the text.  Only clauses with
-an insult or a threat are walked; all words of all texts are looked up.
+an insult or a threat verb are walked; all words of all texts are looked up.
 
-Nulls: null and empty texts have no clause and get the score of such texts.  Repeated rows give repeated
-rows.  Without labels, or with one class only, fixed weights are used.  Empty tables give an empty result.
+Nulls: null and empty texts have no clause and get the score of such texts; null ids and labels are left out of
+learning.  Very long texts are one row and read whole.  Repeated rows give repeated rows; equal texts get equal
+scores.  Without labels, or with one class only, fixed weights are used.  Empty tables give an empty result.  A
+column of the score's name is replaced, other columns stay.
 """
 
 from __future__ import annotations
@@ -21,6 +33,7 @@ from __future__ import annotations
 import heapq
 import re
 from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -39,19 +52,150 @@ THRESHOLD = 0.7
 MEMO = 600_000
 
 # Words of each symbol.
-INSULTS = "idiot idiots moron morons stupid loser losers scum trash pathetic worthless disgusting clown imbecile jerk".split()
-THREATS = "kill hurt destroy beat crush stab shoot".split()
-TARGETS = "you your yours they them he him she her i'll we'll".split()
-NEGATIONS = "not no never isn't aren't wasn't without nor".split()
-REPORTS = "said says say wrote writes told called reported quoted claimed according alleged".split()
-
-OTHER, INSULT, STEM, THREAT, TARGET, NEGATION, REPORT = range(7)
+INSULTS = ("idiot idiots moron morons stupid loser losers scum trash pathetic worthless disgusting clown imbecile jerk "
+           "idiota idiotas estúpido estúpida imbécil idiote imbécile stupide idioten dummkopf trottel").split()
+THREATS = "kill hurt destroy beat crush stab shoot burn hang strangle".split()
+LAST_THREATS = "mataré mataremos tuer tuerai tuerons töten umbringen".split()
+TARGETS = "you your yours yourself u they them him he her she everyone te os tu usted eres vous du dich euch ihn bist".split()
+NEGATIONS = "not no never isn't aren't wasn't won't don't without nor nunca jamais pas nicht kein".split()
+REPORTS = "said says say wrote writes told called reported quoted claimed according alleged dijo dit sagte".split()
+INTENTS = "will gonna going shall should must want wanna i'll we'll let's werde werden vais voy".split()
+
+OTHER, INSULT, STEM, THREAT, LAST_THREAT, TARGET, NEGATION, REPORT, INTENT, OPEN, CLOSE, AIMED, THREATENED, NEGATED, REPORTED = range(15)
+READ = range(CLOSE + 1)
+MATCHES = (INSULT, AIMED, STEM, THREATENED)
+WORDS = ((INSULT, INSULTS), (THREAT, THREATS), (LAST_THREAT, LAST_THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS), (INTENT, INTENTS))
+#: The weighted arcs of the clause transducer.
 OUTPUTS = ("plain", "aimed", "stem", "threat", "negated", "reported")
-#: Weight of each output where nothing could be learned, and the offset.
-DEFAULT_WEIGHTS = np.array([0.6, 1.2, 0.6, 0.2, 0.2, 0.3, 3.0, -3.0])
+#: Weight of each arc before anything is learned, of any plain match in the document, and the offset.
+DEFAULT_WEIGHTS = np.array([0.6, 1.2, 0.6, 2.5, 0.2, 0.3, 3.0, -3.0])
 _NEGATION_SCOPE = 3
+_THREAT_SCOPE = 2
 _STRIP = re.compile(r"^[\W_]+|[\W_]+$")
 _WORDS = re.compile(r"[^\W\d_]{4,}").findall
+_OPENED, _CLOSED = 16, 32  # marks of a word's code beside its symbol
+_SEEN = frozenset((INSULT, STEM, THREAT, LAST_THREAT))
+
+
+@dataclass
+class Transducer:
+    """Reads a symbol and writes a symbol per arc; an arc's weight is a sum of named weights, given as their numbers."""
+
+    starts: tuple
+    finals: frozenset
+    arcs: dict  # (state, symbol read) -> ((symbol written, weights, next state), ...)
+
+    def paths(self, symbols: Iterable[int]) -> list[tuple[list[int], list[int]]]:
+        """``(symbols written, weights)`` of every accepting path, one path after the other."""
+        found = [(s, [], []) for s in self.starts]
+        for x in symbols:
+            found = [(to, [*out, y], [*took, *w]) for at, out, took in found for y, w, to in self.arcs.get((at, x), ())]
+        return [(out, took) for at, out, took in found if at in self.finals]
+
+
+def compose(a: Transducer, b: Transducer) -> Transducer:
+    """The transducer that lets ``b`` read what ``a`` writes; states that cannot be reached or cannot end are left out."""
+    starts = tuple((p, q) for p in a.starts for q in b.starts)
+    reads = sorted({x for _, x in a.arcs})
+    arcs, todo, seen = {}, list(starts), set(starts)
+    while todo:
+        p, q = todo.pop()
+        for x in reads:
+            made = tuple((z, (*v, *w), (to, on)) for y, v, to in a.arcs.get((p, x), ()) for z, w, on in b.arcs.get((q, y), ()))
+            if made:
+                arcs[(p, q), x] = made
+                new = {to for _, _, to in made} - seen
+                seen |= new
+                todo += new
+    finals = frozenset(s for s in seen if s[0] in a.finals and s[1] in b.finals)
+    before: dict = {}
+    for (at, _), made in arcs.items():
+        for _, _, to in made:
+            before.setdefault(to, set()).add(at)
+    live, todo = set(finals), list(finals)
+    while todo:
+        new = before.get(todo.pop(), set()) - live
+        live |= new
+        todo += new
+    kept = {key: tuple(m for m in made if m[2] in live) for key, made in arcs.items() if key[0] in live}
+    return Transducer(tuple(s for s in starts if s in live), finals, {key: made for key, made in kept.items() if made})
+
+
+def target() -> Transducer:
+    """``none``: nobody is addressed in the whole clause; ``want``: somebody will be; ``got``: somebody has been."""
+    arcs = {}
+    for x in READ:
+        marked = AIMED if x == INSULT else x
+        if x != TARGET:
+            arcs["none", x] = ((x, (), "none"),)
+        arcs["want", x] = ((marked, (), "got" if x == TARGET else "want"),)
+        arcs["got", x] = ((marked, (), "got"),)
+    return Transducer(("none", "want"), frozenset(("none", "got")), arcs)
+
+
+def threat() -> Transducer:
+    """States: intent seen or not (a clause begins as if it were), words left for the object, target just before."""
+    arcs = {}
+    for begun in ("begin", "idle", "intent"):
+        for left in range(_THREAT_SCOPE + 1):
+            for object_before in (False, True):
+                for x in (*READ, AIMED):
+                    out, now, words, before = x, "intent" if x == INTENT or begun == "intent" else "idle", max(0, left - 1), x == TARGET
+                    if x in (OPEN, CLOSE):
+                        now, words, before = begun, left, object_before
+                    elif x == THREAT:
+                        out, words = OTHER, _THREAT_SCOPE if begun != "idle" else 0
+                    elif x == LAST_THREAT:
+                        out, words = THREATENED if object_before else OTHER, 0
+                    elif x == TARGET and left:
+                        out, words = THREATENED, 0
+                    arcs[(begun, left, object_before), x] = ((out, (), (now, words, before)),)
+    return Transducer((("begin", 0, False),), frozenset(at for at, _ in arcs), arcs)
+
+
+def negation() -> Transducer:
+    """The state is the number of words left in the scope of a negation."""
+    arcs = {}
+    for left in range(_NEGATION_SCOPE + 1):
+        for x in (*READ, AIMED, THREATENED):
+            after = left if x in (OPEN, CLOSE) else _NEGATION_SCOPE if x == NEGATION else max(0, left - 1)
+            arcs[left, x] = ((NEGATED if left and x in MATCHES else x, (), after),)
+    return Transducer((0,), frozenset(range(_NEGATION_SCOPE + 1)), arcs)
+
+
+def report() -> Transducer:
+    """The state is whether a verb of saying has been read and whether a quotation is open."""
+    arcs = {}
+    for said in (False, True):
+        for quoted in (False, True):
+            for x in (*READ, AIMED, THREATENED, NEGATED):
+                to = said or x == REPORT, x == OPEN or quoted and x != CLOSE
+                arcs[(said, quoted), x] = ((REPORTED if (said or quoted) and x in MATCHES else x, (), to),)
+    return Transducer(((False, False),), frozenset(at for at, _ in arcs), arcs)
+
+
+def clause() -> Transducer:
+    """One state; matches are written and weighted, all else becomes other."""
+    weights = {x: (i,) for i, x in enumerate((INSULT, AIMED, STEM, THREATENED, NEGATED, REPORTED))}
+    return Transducer((0,), frozenset((0,)), {(0, x): ((x if x in weights else OTHER, weights.get(x, ()), 0),) for x in range(REPORTED + 1)})
+
+
+def cascade() -> list[Transducer]:
+    return [target(), threat(), negation(), report(), clause()]
+
+
+def machine() -> tuple[list[int], frozenset, list[list[tuple]]]:
+    """The composed transducers: starts, finals and ``table[state][symbol] = ((weights, next state), ...)`` with numbered states."""
+    whole, *rest = cascade()
+    for part in rest:
+        whole = compose(whole, part)
+    states = sorted({at for at, _ in whole.arcs} | {to for made in whole.arcs.values() for _, _, to in made} | set(whole.starts), key=repr)
+    number = {s: i for i, s in enumerate(states)}
+    table = [[tuple((w, number[to]) for _, w, to in whole.arcs.get((s, x), ())) for x in READ] for s in states]
+    return [number[s] for s in whole.starts], frozenset(number[s] for s in whole.finals), table
+
+
+STARTS, FINALS, TABLE = machine()
 
 
 @dataclass
@@ -61,34 +205,49 @@ class Grammar:
     memo: dict[str, int] = field(default_factory=dict)
 
     def __post_init__(self):
-        self.words = {w: s for s, ws in ((INSULT, INSULTS), (THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)) for w in ws}
-        self.beginnings = frozenset(self.stems)
-        self.lengths = sorted({len(s) for s in self.stems})
+        self.lexicon: dict = {}
+        for symbol, words in (*WORDS, (STEM, self.stems)):
+            for word in words:
+                node = self.lexicon
+                for letter in word:
+                    node = node.setdefault(letter, {})
+                node["stem" if symbol == STEM else "word"] = symbol
 
     def symbol(self, word: str) -> int:
-        """The lexicon transducer: one step per word, along its beginning."""
-        word = _STRIP.sub("", word.lower())
-        found = self.words.get(word)
-        if found is not None:
-            return found
-        for n in self.lengths:
-            if word[:n] in self.beginnings and len(word) >= n:
-                return STEM
-        return OTHER
+        """The lexicon transducer: one step per letter; a learned beginning is met on the way, a word at its end."""
+        node, met = self.lexicon, OTHER
+        for letter in _STRIP.sub("", word.lower()):
+            node = node.get(letter)
+            if node is None:
+                return met
+            met = node.get("stem", met)
+        return node.get("word", met)
+
+    def code(self, word: str) -> int:
+        """The word's symbol, and whether it opens or closes a quotation."""
+        return self.symbol(word) | (_OPENED if len(word) > 1 and word[0] in "\"“«" else 0) | (_CLOSED if word[-1] in "\"”»" else 0)
+
+    def walk(self, symbols: Iterable[int]) -> tuple[int, ...]:
+        """The weights that the best accepting path of a clause takes."""
+        paths = [(s, ()) for s in STARTS]
+        for x in symbols:
+            paths = [(to, took + w if w else took) for at, took in paths for w, to in TABLE[at][x]]
+        ends = [took for at, took in paths if at in FINALS]
+        return ends[0] if len(ends) == 1 else max(ends, key=lambda took: sum(self.weights[list(took)]), default=())
 
     def outputs(self, text: str) -> np.ndarray:
-        """How often each clause output is emitted."""
+        """How often each weighted arc is taken."""
         counts = np.zeros(len(OUTPUTS))
         words = text.split()
         memo = self.memo
-        symbols = list(map(memo.get, words))
-        if None in symbols:
+        codes = list(map(memo.get, words))
+        if None in codes:
             if len(memo) > MEMO:
                 memo.clear()
             for w in set(words).difference(memo):
-                memo[w] = self.symbol(w)
-            symbols = list(map(memo.__getitem__, words))
-        hits = [i for i, s in enumerate(symbols) if 1 <= s <= 3]
+                memo[w] = self.code(w)
+            codes = list(map(memo.__getitem__, words))
+        hits = [i for i, c in enumerate(codes) if c and c & 15 in _SEEN]
         done = -1
         for i in hits:
             if i <= done:
@@ -99,7 +258,7 @@ class Grammar:
             while last + 1 < len(words) and not ends_clause(words[last]):
                 last += 1
             done = last
-            for output in clause(symbols[first:last + 1], words[first:last + 1]):
+            for output in self.walk(symbols_of(codes[first:last + 1])):
                 counts[output] += 1
         return counts
 
@@ -107,40 +266,21 @@ class Grammar:
         return float(sigmoid(features(self.outputs(text)) @ self.weights[:-1] + self.weights[-1]))
 
 
-def ends_clause(word: str) -> bool:
-    return word[-1] in ".!?;:" or word[-1] in "\"'”»)" and word[:-1].endswith((".", "!", "?"))
+def symbols_of(codes: list[int]):
+    for c in codes:
+        if c & _OPENED:
+            yield OPEN
+        yield c & 15
+        if c & _CLOSED:
+            yield CLOSE
 
 
-def clause(symbols: list[int], words: list[str]):
-    """The composition over one clause: negation, report and target states, then what is emitted."""
-    negated, reported, quoted = 0, False, False
-    aimed = any(s == TARGET for s in symbols)
-    for s, word in zip(symbols, words, strict=True):
-        if word[0] in "\"“«" and len(word) > 1:
-            quoted = True
-        if s == NEGATION:
-            negated = _NEGATION_SCOPE + 1
-        elif s == REPORT:
-            reported = True
-        elif s in (INSULT, STEM, THREAT):
-            if negated:
-                yield 4
-            elif reported or quoted:
-                yield 5
-            elif s == THREAT:
-                if aimed:
-                    yield 3
-            elif s == STEM:
-                yield 2
-            else:
-                yield 1 if aimed else 0
-        negated = max(0, negated - 1)
-        if word[-1] in "\"”»":
-            quoted = False
+def ends_clause(word: str) -> bool:
+    return word[-1] in ".!?;:" or word[-1] in "\"'”»)" and word[:-1].endswith((".", "!", "?"))
 
 
 def features(counts: np.ndarray) -> np.ndarray:
-    """Outputs up to three each, and whether there is any that is neither negated nor reported."""
+    """Arcs up to three times each, and whether there is any that is neither negated nor reported."""
     return np.append(np.minimum(counts, 3.0), float(counts[:4].any()))
 
 
@@ -210,7 +350,7 @@ def train(rows: list[tuple[bytes, int]]) -> Grammar:
     grammar = Grammar(learn_stems(texts, Grammar()))
     x = np.array([features(grammar.outputs(t)) for t, _ in texts])
     y = np.array([y for _, y in texts], float)
-    weights = logistic(x, y, penalty=1e-4)
+    weights = logistic(x, y, penalty=1e-4, prior=DEFAULT_WEIGHTS)
     return Grammar(grammar.stems, weights)
 
 

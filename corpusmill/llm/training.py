@@ -25,15 +25,16 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, rounds: int = 50) -> np.ndarray:
-    """Weights (the last is the offset) of a penalised logistic regression, by Newton steps."""
+def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, rounds: int = 50, prior: np.ndarray | None = None) -> np.ndarray:
+    """Weights (the last is the offset) of a logistic regression penalised for leaving ``prior`` (zero), by Newton steps."""
     x = np.column_stack([x, np.ones(len(x))])
-    w = np.zeros(x.shape[1])
+    mean = np.zeros(x.shape[1]) if prior is None else prior
+    w = mean.copy()
     ridge = penalty * len(x) * np.eye(x.shape[1])
     ridge[-1, -1] = 1e-9
     for _ in range(rounds):
         p = sigmoid(x @ w)
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + ridge, x.T @ (p - y) + ridge @ w)
+        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + ridge, x.T @ (p - y) + ridge @ (w - mean))
         w -= np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:
             break

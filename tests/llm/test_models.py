@@ -91,11 +91,44 @@ def test_grammar():
     assert names("You are not stupid.") == ["negated"]
     assert names("Not now. You are stupid!") == ["aimed"]
     assert names("She wrote that you are stupid.") == ["reported"]
-    assert names("I will kill you. They kill time") == ["threat", "threat"] and names("to kill time") == []
+    assert names("I will kill you. They kill time") == ["threat"] and names("to kill time") == []
+    assert names("we should burn them all alive") == names("Ich werde dich töten") == ["threat"] and names("I will not kill you.") == ["negated"]
+    assert names("kill the process you started") == names("Will you kill the process?") == [] and names("eres un imbécil") == ["aimed"]
     assert names("a Zorblan came; idiotic") == ["stem"]
     assert names("") == [] and names("...") == []
 
 
+def through_each(symbols):
+    """All paths of a clause, by listing what each transducer writes and giving it to the next one."""
+    lines = [(list(symbols), [])]
+    for part in toxicity.cascade():
+        lines = [(out, took + more) for line, took in lines for out, more in part.paths(line)]
+    return [tuple(took) for _, took in lines]
+
+
+def test_composed_machine_is_the_cascade():
+    rng = random.Random(4)
+    grammar = toxicity.Grammar()
+    for n in [*range(7)] * 300:
+        symbols = [rng.choice(toxicity.READ) for _ in range(n)]
+        assert through_each(symbols) == [grammar.walk(symbols)], symbols
+    for x in toxicity.READ:  # every clause of up to three symbols that begins with x
+        for y in toxicity.READ:
+            for z in toxicity.READ:
+                assert through_each([x, y, z]) == [grammar.walk([x, y, z])]
+
+
+def test_arc_weights_are_learned():
+    pieces = {"threat": "I will kill you.", "negated": "You are not stupid.", "reported": "She wrote that you are stupid.", "aimed": "You are stupid."}
+    rows = [(f"{prose(i, 20)} {text}".encode(), int(name in ("threat", "aimed"))) for i in range(80) for name, text in pieces.items()]
+    weights = dict(zip(toxicity.OUTPUTS, toxicity.train(rows).weights, strict=False))
+    assert weights["threat"] > 0 > max(weights["negated"], weights["reported"]) and weights["aimed"] > 0
+    turned = dict(zip(toxicity.OUTPUTS, toxicity.train([(t, 1 - y) for t, y in rows]).weights, strict=False))
+    assert turned["negated"] > weights["negated"] and turned["threat"] < weights["threat"]
+    some = toxicity.train([r for r in rows if b"kill" not in r[0]])
+    assert some.score("We should burn them all alive") > 0.7 > some.score("Kill the process you started") and some.weights[toxicity.OUTPUTS.index("threat")] > 1
+
+
 def test_toxicity_learns_beginnings(spark, odd, none):
     rng = random.Random(1)
     rows = []
