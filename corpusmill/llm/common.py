@@ -59,6 +59,14 @@ def steps(texts: pa.Array, limit: int = STEP_BYTES) -> Iterator[tuple[int, list[
         yield start, held
 
 
+def free_name(df: DataFrame, wanted: str) -> str:
+    """``wanted``, or that with underscores behind it, so that no column of ``df`` has the name in any case."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
 def annotate(df: DataFrame, text: str, fields: list[tuple[str, T.DataType]], maker: Callable[[], Callable]) -> DataFrame:
     """``df`` with columns computed from whole texts, in Arrow batches.
 

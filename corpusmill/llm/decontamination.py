@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.llm.common import annotate, documents, once, steps
+from corpusmill.llm.common import annotate, documents, free_name, once, steps
 from corpusmill.llm.registry import query
 from corpusmill.session import read_table
 
@@ -362,7 +362,7 @@ def with_hits(docs: DataFrame, items: DataFrame, text: str = "text", name: str =
     made = docs
     columns = []
     for number, block in enumerate(item_blocks(items)):
-        column = f"_hits_{number}"
+        column = free_name(made, f"_hits_{number}")
         columns.append(column)
         made = _with_block(made, block, sent, text, column)
     if not columns:

@@ -8,14 +8,13 @@ through time, on runs of at most ``TRAIN_DOCS`` distinct labelled texts that are
 Equal runs have equal labels, so a worker runs the network once per different run it meets and remembers the sums.
 
 Nulls: texts that are null or hold no letter are ``und`` with score 0.  Rows without a language are never learned
-from.  Without any labelled row every text is ``und``.  Repeated rows give repeated rows; empty tables give an
-empty result.
+from.  Without any labelled row every text is ``und``.  Very long texts are one row and read whole.  Of languages that
+tie the first by name is taken.  Repeated rows give repeated rows; empty tables give an empty result.  Columns named
+``lang_pred`` or ``score`` are replaced, other columns stay.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,7 +31,11 @@ RUN = 24
 HIDDEN, EMBEDDING = 16, 12
 STEPS, BATCH = 700, 256
 MEMO = 600_000
-_LETTER = re.compile(r"[^\W\d_]").search
+
+
+def has_letter(text: str) -> bool:
+    """Whether any character is of a letter category; digits in circles, fractions and Roman numerals are not."""
+    return any(map(str.isalpha, text))
 
 
 def runs_of(text: bytes) -> list[bytes]:
@@ -172,7 +175,7 @@ class Reader:
         self.sums = np.concatenate(parts)
         names, scores = [], []
         for text, own in zip(texts, runs, strict=True):
-            if text is None or not _LETTER(text.decode("utf-8", "replace")):
+            if text is None or not has_letter(text.decode("utf-8", "replace")):
                 names.append("und")
                 scores.append(0.0)
                 continue

@@ -1,8 +1,8 @@
 """License statements in documents, with built-in functions only.
 
 Two answers are given per document.  *Base* phrases are places where given words stand consecutively.
-*Blocks* (lines) are matched to license templates by an exact set-similarity join: a block belongs to a
-template when it holds at least ``threshold`` of the template's distinct words, whatever their order and
+*Blocks* (each line with the lines behind it, ``BLOCK_LINES`` in all, so that a statement wrapped over so many lines
+is met) are matched to license templates by an exact set-similarity join: a block belongs to a template when it holds at least ``threshold`` of the template's distinct words, whatever their order and
 whatever else it says.
 
 Template words are ordered by the number of documents of the whole corpus that hold them, rare ones first.
@@ -12,7 +12,8 @@ that follow in either bound what can still be shared (positional filter).  Survi
 Templates are a parameter of bounded size, so their index is broadcast; texts are never shuffled.
 
 Nulls: null text is an empty text; null ids keep their own result.  Repeated rows give repeated result rows.
-Empty tables give an empty result.  Other columns are ignored.
+Very long texts are read whole, within their row.  Of templates that tie, every one counts; labels are sorted.
+Empty tables give an empty result.  Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,6 +38,7 @@ TEMPLATES = (
     ("this source code form is subject to the terms of the mozilla public license v 2 0", "mpl-2"),
 )
 THRESHOLD = 0.8
+BLOCK_LINES = 3
 MAX_TEMPLATES = 10_000
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -107,12 +109,21 @@ def _literal(words: list[str]) -> Column:
     return F.array(*[F.lit(w) for w in words])
 
 
+def _blocks(low: Column) -> Column:
+    """Every line joined with the lines behind it."""
+    lines = F.split(low, "\n")
+    joined = lines
+    for behind in range(1, BLOCK_LINES):
+        joined = F.zip_with(joined, F.slice(lines, behind + 1, F.size(lines)), lambda a, b: F.concat_ws(" ", a, b))  # the last lines have none behind
+    return joined
+
+
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", phrases=PHRASES, templates=TEMPLATES,
                  threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """``(documents, blocks)``.
 
     documents: ``doc_id, text_key, n_words, places array<struct<start, label>>``; blocks: ``doc_id,
-    text_key, block, template, label, containment`` for every line that meets a template.
+    text_key, block, template, label, containment`` for every block that meets a template, named by its first line.
     ``text_key`` tells apart rows that share an id.
     """
     spark = docs.sparkSession
@@ -123,11 +134,11 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", ph
     worded = parts.select("doc_id", "text_key", "low", inner_words(F.col("parts")).alias("words"))
     worded = worded.select("*", F.array_intersect(_literal(vocabulary), "words").alias("held"))
     places = F.concat(*[_labelled(_places(F.col("words"), phrase), label) for phrase, label in phrases])
-    # a line holds no more of a template than its whole document does
+    # a block holds no more of a template than its whole document does
     able = F.lit(False)
     for _, _, words, need in needs:
         able = able | (F.size(F.array_intersect(_literal(words), F.col("held"))) >= need)
-    lines = F.when(able, F.transform(F.split("low", "\n"), lambda line: F.array_distinct(F.filter(cut_words(line), lambda w: w != ""))))
+    lines = F.when(able, F.transform(_blocks(F.col("low")), lambda block: F.array_distinct(F.filter(cut_words(block), lambda w: w != ""))))
     made = materialize(worded.select("doc_id", "text_key", F.size("words").cast("long").alias("n_words"), "held", places.alias("places"), lines.alias("blocks")), "licenses")
 
     index = template_index(made, templates, threshold)
@@ -161,7 +172,10 @@ worded AS (SELECT r, doc_id, regexp_extract_all(t, '{_SQL_WORD}') AS w FROM rows
 based AS (SELECT r, doc_id, CAST(len(w) AS BIGINT) AS n_words, list_concat({', '.join(_phrase_sql(p, label) for p, label in PHRASES[:2])}) AS p1, {_phrase_sql(*PHRASES[2])} AS p2 FROM worded),
 placed AS (SELECT r, doc_id, n_words, list_concat(p1, p2) AS p FROM based),
 templates(template, label, words) AS (VALUES {_TEMPLATE_ROWS}),
-blocks AS (SELECT r, list_distinct(regexp_extract_all(line, '{_SQL_WORD}')) AS b FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM rows)),
+lined AS (SELECT r, string_split(t, chr(10)) AS ls FROM rows),
+blocks AS (
+  SELECT r, list_distinct(regexp_extract_all(array_to_string(ls[i:i + {BLOCK_LINES - 1}], ' '), '{_SQL_WORD}')) AS b
+  FROM (SELECT r, ls, unnest(range(1, len(ls) + 1)) AS i FROM lined)),
 met AS (
   SELECT r, label, len(list_intersect(words, b)) / len(words) AS c FROM blocks, templates
   WHERE len(list_intersect(words, b)) >= {THRESHOLD} * len(words) - 1e-9),

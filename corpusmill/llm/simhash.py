@@ -11,7 +11,8 @@ Equal fingerprints are one row before anything is joined, so exact copies never
 
 Nulls: null text is an empty text (fingerprint zero, linked like any other); rows with a null id
 take part but are named by no component unless they have no other member.  Repeated rows give
-repeated result rows.  An empty table gives an empty result.  Other columns are ignored.
+repeated result rows.  An empty table gives an empty result.  Other columns are ignored by
+``op5`` and kept by ``first_of_groups``, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.llm.common import annotate, components, documents, text_key
+from corpusmill.llm.common import annotate, components, documents, free_name, text_key
 from corpusmill.llm.registry import query
 from corpusmill.session import materialize
 
@@ -114,14 +115,14 @@ def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
 
 def first_rows(docs: DataFrame, groups: DataFrame, id_col: str, text: str) -> DataFrame:
-    """The first row of each of ``groups(doc_id, text_key, component_id)``."""
+    """The first row of each of ``groups(doc_id, text_key, component_id)``; columns of any name stay as they are."""
+    one, key, first_id, first_key = (free_name(docs, c) for c in ("_id", "_text_key", "_first_id", "_first_key"))
     kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = kept.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("component_id").alias("_component")).distinct()
     # rows that share an id and a group are told apart by their text; equal rows are one
-    first = kept.groupBy("_id").agg(F.min("_key").alias("_key"))
-    keyed = docs.withColumns({"_id": F.col(id_col).cast("long"), "_text_key": text_key(F.col(text))})
-    found = keyed.join(first, keyed["_id"].eqNullSafe(first["_id"]) & (keyed["_text_key"] == first["_key"])).drop(first["_id"]).drop("_key")
-    return found.dropDuplicates(["_id", "_text_key"]).drop("_id", "_text_key")
+    first = kept.groupBy(F.col("doc_id").alias(first_id)).agg(F.min("text_key").alias(first_key))
+    keyed = docs.withColumns({one: F.col(f"`{id_col}`").cast("long"), key: text_key(F.col(f"`{text}`"))})
+    found = keyed.join(first, F.col(one).eqNullSafe(F.col(first_id)) & (F.col(key) == F.col(first_key))).drop(first_id, first_key)
+    return found.dropDuplicates([one, key]).drop(one, key)
 
 
 @query("op5_simhash")

@@ -35,6 +35,13 @@ def test_answers_of_any_length(spark):
     assert [got[i] for i in range(len(texts))] == want
 
 
+def test_columns_of_any_name_stay(spark):
+    docs = spark.createDataFrame([(1, "nothing of it here", "own", "too")], "doc_id bigint, text string, `_hits_0` string, `_HITS_1` string")
+    items = spark.createDataFrame([(5, "what is the tallest hill of the northern island called")], "item_id bigint, text string")
+    got = decontamination.with_hits(docs, items, name="found")
+    assert got.columns == [*docs.columns, "found"] and tuple(got.first()) == (1, "nothing of it here", "own", "too", [])
+
+
 def test_space_is_fitted_on_everything(spark, monkeypatch):
     seen = []
     sketch = decontamination.sketch

@@ -83,6 +83,10 @@ def test_language_learns(spark, odd, none):
     assert {r.lang_pred for r in languages.with_language(odd, None).collect()} == {"und"}
 
 
+def test_letters_only():
+    assert not any(map(languages.has_letter, ["", "½ ² Ⅷ ① 12 _ ٣"])) and all(map(languages.has_letter, ["1a", "ß", "ª", "ʰ", "中"]))
+
+
 def test_grammar():
     outputs = toxicity.Grammar(("zorb",)).outputs
     names = lambda text: [n for n, c in zip(toxicity.OUTPUTS, outputs(text), strict=True) for _ in range(int(c))]

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from conftest import SMALL
 
-from corpusmill.llm import cap_filters, runs, simhash
+from corpusmill.llm import cap_filters, near_copies, runs, simhash
 from corpusmill.llm.common import components
 from corpusmill.session import read_table
 
@@ -78,6 +78,15 @@ def test_first_of_groups(spark, odd, none):
     assert simhash.first_of_groups(none).count() == 0
 
 
+def test_first_of_groups_keeps_columns_of_any_name(spark):
+    names = ["_id", "_text_key", "_Key", "_component", "_first_id", "_first_key", "text_key", "a.b"]
+    rows = [(1, "a b c d e f", *map(str, range(8))), (2, "a b c d e f", *"xxxxxxxx"), (None, "g", *"yyyyyyyy"), (None, "g", *"yyyyyyyy")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, " + ", ".join(f"`{n}` string" for n in names))
+    for first in (simhash.first_of_groups, near_copies.first_of_groups):
+        got = first(docs)
+        assert got.columns == docs.columns and sorted(map(tuple, got.collect()), key=str) == sorted(rows[::2], key=str)
+
+
 def test_components(spark):
     rng = random.Random(2)
     chain = [(i, i + 1) for i in range(200)]
