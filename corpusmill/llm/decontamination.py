@@ -3,18 +3,20 @@
 1. One pass counts the document frequency of hashed words over all documents.
 2. The latent space is a randomised singular value decomposition of the TF-IDF matrix of passages: tasks add up
    ``A'(A G)`` for a random matrix ``G`` and the driver solves a small eigenproblem (Nystroem).  It is fitted on all
-   documents, equal texts once, and on the items, so that no word of an item is without a direction.  Words count
-   once per passage there; words of over ``COMMON`` of all documents get the small weight ``COMMON_WEIGHT``, else
-   the leading directions would tell languages and repeated words apart and nothing more.
-3. Texts are read a block of ``STRIDE`` words at a time.  Of every window of as many blocks as an item can touch
-   and one more at each end, the words that it shares with each item are counted, a word as often as the item has
-   it.  Windows that share ``PARAPHRASE`` of an item are its candidates.  A common subsequence is never longer than
-   this count, so no window is lost that the next step would take, whatever its cosine.
+   documents, equal texts once, and on the items.  Words count once per passage there; words of ``COMMON`` of all
+   documents or more have no direction, else the leading directions would tell languages and repeated words apart and
+   nothing more.
+3. Texts are read a block of ``STRIDE`` words at a time.  Windows of as many blocks as an item can touch are folded
+   into the latent space; those whose cosine with an item is at least ``NOMINATE`` are its candidates.  They are verified
+   with one more block at each end, unless they share fewer than ``PARAPHRASE`` of the item's words, as then no common
+   subsequence can be long enough.
+   Items that words without a direction alone could make a copy of (``COPY`` of their words) have no cosine to go by: for
+   these the words that a window shares with them are counted, a word as often as the item has it, and every window that
+   shares ``PARAPHRASE`` of the item is verified, which loses none.
 4. The longest common subsequence of the item's words and the window's decides: a document is contaminated when
    it holds ``COPY`` of the item, or ``PARAPHRASE`` of it together with the item's answer, the words of its last
    sentence in one piece.  An answer of fewer than ``ANSWER_WORDS`` words has to stand at its place, after matched words of
-   the question; an item of one sentence has its last ``ANSWER_WORDS`` words as answer.  The cosine of the window and the item
-   in the latent space, of all their words, is measured for what is found.
+   the question; an item of one sentence has its last ``ANSWER_WORDS`` words as answer.
 
 Benchmark items are a stated query set; they go to the tasks in blocks of at most ``ITEM_BLOCK`` rows and
 ``ITEM_BYTES`` bytes, with one pass per block.  What is gathered on the driver has a fixed size: ``BUCKETS`` rows.
@@ -28,10 +30,10 @@ from __future__ import annotations
 
 import re
 import string
-import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,62 +51,139 @@ COPY, PARAPHRASE = 0.7, 0.5
 ANSWER_WORDS = 3
 #: Windows times items that are counted at once.
 CELLS = 4 << 20
-COMMON, COMMON_WEIGHT = 0.02, 0.05
+#: Share and number of all documents that a word without a direction is in.
+COMMON, COMMON_LEAST = 0.02, 32
+#: Least cosine of a candidate.
+NOMINATE = 0.35
 ITEM_BLOCK, ITEM_BYTES = 4096, 16 << 20
 SEED = 23
-MEMO = 150_000
+#: Columns of the table of words that an item can hold, and candidates that are looked up in it at once.
+MARKS, PAIRS = 4096, 16384
+#: Bytes of text that are hashed at once.
+PIECE = 1 << 20
 #: Bytes of text whose words are in memory as vectors at once.
 PART = 512 << 10
 #: What is taken off the ends of a word.
 _ENDS = string.punctuation + "\u00a1\u00ab\u00b7\u00bb\u00bf\u2010\u2011\u2012\u2013\u2014\u2018\u2019\u201a\u201c\u201d\u201e\u2026\u2039\u203a\u3001\u3002"
 
 
-#: Set in the hash of a word that a given vocabulary holds.
-KNOWN = 1 << 40
-
-
-class Words(dict):
-    """Hashes of words without case and outer punctuation, by what stands between white space.
-
-    Zero is for what is all punctuation.  Remembers up to ``MEMO`` entries.
+_CORE, _END, _SPACE, _LEAD = range(4)
+#: Bytes that the first byte of a character above ASCII can be, of those that are white space or ends of words.
+_LEADS = (0xC2, 0xE1, 0xE2, 0xE3)
+_FACTOR = 0x9E3779B97F4A7C15
+
+
+def _kinds() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What each code point below U+4000 is in a word, the same for bytes, and a random number per byte."""
+    points = np.array([_SPACE if chr(c).isspace() else _END if chr(c) in _ENDS else _CORE for c in range(0x4000)], np.uint8)
+    table = np.zeros(256, np.uint8)
+    table[:128] = points[:128]
+    table[list(_LEADS)] = _LEAD
+    return points, table, np.random.default_rng(SEED).integers(1, 1 << 63, 256, dtype=np.uint64)
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse, modulo 2 ** 64."""
+    def made(factor: int) -> np.ndarray:
+        row = np.full(n + 1, factor, np.uint64)
+        row[0] = 1
+        return np.cumprod(row, dtype=np.uint64)
+
+    return made(_FACTOR), made(pow(_FACTOR, -1, 1 << 64))
+
+
+def _word_places(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First byte and end of each word of UTF-8 bytes that end in a space, without what is taken off its ends."""
+    points, table, _ = once("decontamination kinds", _kinds)
+    kind = table[data]
+    at = np.flatnonzero(kind == _LEAD)
+    if len(at):
+        kind[at] = _CORE
+        lead, second = data[at].astype(np.int32), data[at + 1].astype(np.int32) & 63
+        wide = lead != 0xC2
+        third = data[np.where(wide, at + 2, at)].astype(np.int32) & 63
+        what = points[np.where(wide, (lead & 15) << 12 | second << 6 | third, 0x80 | second)]
+        some = what != _CORE
+        at, what, wide = at[some], what[some], wide[some]
+        kind[at] = kind[at + 1] = what
+        kind[at[wide] + 2] = what[wide]
+    core = np.zeros(len(data) + 1, np.int8)
+    core[1:] = kind == _CORE
+    edge = np.diff(core)
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    if not len(starts):
+        return starts, ends
+    run = np.cumsum(kind == _SPACE, dtype=np.int32)[starts]  # pieces with no white space between them are one word
+    apart = np.flatnonzero(run[1:] != run[:-1])
+    return starts[np.append(0, apart + 1)], ends[np.append(apart, len(ends) - 1)]
+
+
+def _hashed(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First byte and hash of each word of some bytes; a polynomial hash, from one running sum over all of them."""
+    first, end = _word_places(data)
+    numbers = once("decontamination kinds", _kinds)[2]
+    up, down = once(("decontamination powers", PIECE), lambda: _powers(PIECE)) if len(data) <= PIECE else _powers(len(data))
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(numbers[data] * up[:len(data)], out=total[1:])
+    h = (total[end] - total[first]) * down[first]
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(29)
+    return first, (h >> np.uint64(2)).astype(np.int64)
+
+
+def word_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, one text after the other, and the number of words of each text.
+
+    A word is what stands between white space, in lower case and without outer punctuation.
     """
-
-    def __init__(self, vocabulary: frozenset[int] = frozenset()):
-        super().__init__()
-        self.vocabulary = vocabulary
-
-    def __missing__(self, chunk: str) -> int:
-        plain = chunk.strip(_ENDS).lower()
-        number = zlib.crc32(plain.encode()) | 1 << 32 if plain else 0
-        if number in self.vocabulary:
-            number |= KNOWN
-        self[chunk] = number
-        return number
-
-    def _all(self, chunks) -> np.ndarray:
-        if len(self) > MEMO:
-            self.clear()
-        found = np.fromiter(map(self.__getitem__, chunks), np.int64, len(chunks))
-        return found[found > 0]
-
-    def hashes(self, text: str) -> np.ndarray:
-        return self._all(text.split())
-
-    def distinct(self, text: str) -> np.ndarray:
-        return self._all(set(text.split()))
-
-
-def _words() -> Words:
-    return once("decontamination words", Words)
+    held = pa.array([(t or b"") + b" " for t in texts], pa.large_binary())
+    try:
+        lower = pc.utf8_lower(held.cast(pa.large_string()))
+    except pa.ArrowInvalid:  # not UTF-8
+        lower = pc.utf8_lower(pa.array([t.as_py().decode("utf-8", "replace") for t in held], pa.large_string()))
+    borders = np.frombuffer(lower.buffers()[1], np.int64)[lower.offset:lower.offset + len(lower) + 1]
+    data = np.frombuffer(lower.buffers()[2], np.uint8)[borders[0]:borders[-1]] if len(lower) else np.empty(0, np.uint8)
+    firsts, hashes, low = [], [], 0
+    while low < len(data):
+        high = min(low + PIECE, len(data))
+        if high < len(data):  # behind the last space of the piece, or the next one
+            spaces = np.flatnonzero(data[low:high] == 32)
+            while not len(spaces):
+                spaces = np.flatnonzero(data[high:high + PIECE] == 32) + high - low
+                high += PIECE
+            high = low + int(spaces[-1]) + 1
+        first, found = _hashed(data[low:high])
+        firsts.append(first + low)
+        hashes.append(found)
+        low = high
+    if not hashes:
+        return np.empty(0, np.int64), np.zeros(len(texts), np.int64)
+    owner = np.searchsorted(borders - borders[0], np.concatenate(firsts), "right") - 1
+    return np.concatenate(hashes), np.bincount(owner, minlength=len(texts))
+
+
+class Words:
+    """The words of one text."""
+
+    @staticmethod
+    def hashes(text: str) -> np.ndarray:
+        return word_hashes([text.encode("utf-8", "replace")])[0]
+
+
+def _distinct(owner: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each bucket once per owner, in order."""
+    key = owner * BUCKETS + bucket
+    key.sort()
+    return np.divmod(key[np.flatnonzero(np.append(True, key[1:] != key[:-1]))], BUCKETS)
 
 
 def gaussian(buckets: int = BUCKETS, dimensions: int = DIMENSIONS, seed: int = SEED) -> np.ndarray:
     return once(("gaussian", buckets, dimensions, seed), lambda: np.random.default_rng(seed).standard_normal((buckets, dimensions)).astype(np.float32))
 
 
-def _blocks(hashes: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray]:
-    """First word of each block, counted over all texts, and the number of blocks per text."""
-    sizes = np.array([len(h) for h in hashes], np.int64)
+def _blocks(sizes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """First word of each block, counted over all texts, and the number of blocks per text of ``sizes`` words."""
     counts = -(-sizes // size)
     begins = np.cumsum(sizes) - sizes
     number = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
@@ -119,8 +198,9 @@ def frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         for batch in batches:
             count += batch.num_rows
             for _, texts in steps(batch.column(0), PART):
-                for t in texts:
-                    found[np.unique(_words().distinct((t or b"").decode("utf-8", "replace")) % BUCKETS)] += 1
+                hashes, sizes = word_hashes(texts)
+                if len(hashes):
+                    found += np.bincount(_distinct(np.repeat(np.arange(len(sizes)), sizes), hashes % BUCKETS)[1], minlength=BUCKETS)
         at = np.nonzero(found)[0]
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int64()), pa.array(np.append(found[at], count), pa.int64())], ["bucket", "n"])
 
@@ -134,8 +214,8 @@ def frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 
 def word_weights(frequency: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
     """``(weight, whether common)`` per bucket."""
-    common = frequency >= max(2.0, COMMON * count)
-    return np.where(common, COMMON_WEIGHT, np.log((count + 1) / (frequency + 1)) + 0.02), common
+    common = frequency >= max(COMMON_LEAST, COMMON * count)
+    return np.where(common, 0.0, np.log((count + 1) / (frequency + 1)) + 0.02), common
 
 
 def sketch(docs: DataFrame, weights: np.ndarray) -> np.ndarray:
@@ -143,21 +223,26 @@ def sketch(docs: DataFrame, weights: np.ndarray) -> np.ndarray:
     narrow = weights.astype(np.float32)
 
     def run(batches):
-        total = np.zeros((BUCKETS, DIMENSIONS), np.float64)
+        total = np.zeros((DIMENSIONS, BUCKETS))
         g = gaussian() * narrow[:, None]
         for batch in batches:
             for _, texts in steps(batch.column(0), PART):
-                hashes = [_words().hashes((t or b"").decode("utf-8", "replace")) for t in texts]
-                buckets = np.concatenate(hashes) % BUCKETS
-                if not len(buckets):
+                hashes, sizes = word_hashes(texts)
+                if not len(hashes):
+                    continue
+                first, _ = _blocks(sizes, PASSAGE)
+                passage = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(hashes))))
+                bucket = hashes % BUCKETS
+                use = narrow[bucket] > 0
+                if not use.any():
                     continue
-                first, _ = _blocks(hashes, PASSAGE)
-                passage = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(buckets))))
-                passage, bucket = np.divmod(np.unique(passage * BUCKETS + buckets), BUCKETS)
-                folded = np.add.reduceat(g[bucket], np.nonzero(np.append(True, passage[1:] != passage[:-1]))[0], axis=0)
-                order = np.argsort(bucket, kind="stable")
-                heads = np.nonzero(np.append(True, np.diff(bucket[order]) != 0))[0]
-                total[bucket[order][heads]] += np.add.reduceat(folded[passage[order]], heads, axis=0)
+                passage, bucket = _distinct(passage[use], bucket[use])
+                heads = np.flatnonzero(np.append(True, passage[1:] != passage[:-1]))
+                folded = np.add.reduceat(g[bucket], heads, axis=0).T.copy()
+                row = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(bucket))))
+                for sums, values in zip(total, folded, strict=True):
+                    sums += np.bincount(bucket, values[row], BUCKETS)
+        total = total.T
         at = np.nonzero(total.any(axis=1))[0]
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([r.tobytes() for r in total[at].astype(np.float32)], pa.binary())], ["bucket", "row"])
 
@@ -179,7 +264,7 @@ def sketch(docs: DataFrame, weights: np.ndarray) -> np.ndarray:
 
 
 def latent_space(total: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """What each word adds to a folded passage: ``weight * U / s``, one row per bucket."""
+    """What each word adds to a folded passage: ``weight * U``, one row per bucket; cosines are those of the passages in the space."""
     small = gaussian().astype(np.float64).T @ total
     values, vectors = np.linalg.eigh((small + small.T) / 2)
     good = values > values.max() * 1e-9 if values.max() > 0 else np.zeros(len(values), bool)
@@ -188,7 +273,7 @@ def latent_space(total: np.ndarray, weights: np.ndarray) -> np.ndarray:
     half = total @ (vectors[:, good] / np.sqrt(values[good]))
     u, s, _ = np.linalg.svd(half, full_matrices=False)
     keep = s > s[0] * 1e-6
-    return (weights[:, None] * u[:, keep] / s[keep]).astype(np.float32)
+    return (weights[:, None] * u[:, keep]).astype(np.float32)
 
 
 def fitted(docs: DataFrame, items: DataFrame) -> np.ndarray:
@@ -251,40 +336,138 @@ class Item:
         return False
 
 
+class _Parts:
+    """The words of some texts, cut into blocks, and the hits found in them."""
+
+    def __init__(self, texts: list[bytes | None]):
+        self.words, self.sizes = word_hashes(texts)
+        self.stops = np.cumsum(self.sizes)
+        self.first, counts = _blocks(self.sizes, STRIDE)
+        self.ends = np.repeat(np.cumsum(counts), counts)
+        self.starts = self.ends - np.repeat(counts, counts)
+        self.owner = np.repeat(np.arange(len(texts)), counts)
+        self.seen: dict[tuple[int, int], list] = {}
+
+    def window(self, block: int, width: int) -> tuple[int, list[int]]:
+        """The text of a block, and the words of ``width`` blocks from it on."""
+        doc, begin = int(self.owner[block]), int(self.first[block])
+        return doc, self.words[begin:min(begin + width * STRIDE, int(self.stops[doc]))].tolist()
+
+    def hits(self) -> list[list]:
+        out: list[list] = [[] for _ in self.sizes]
+        for (doc, _), hit in self.seen.items():
+            out[doc].append(hit)
+        return out
+
+
+def _grouped(items: list[Item], known: np.ndarray) -> dict[int, tuple]:
+    """Items by the number of blocks of their windows, with the items of each word and the least that a window shares."""
+    groups = {}
+    for blocks in sorted({i.blocks for i in items}):
+        own = [i for i in items if i.blocks == blocks]
+        rows = sorted((int(np.searchsorted(known, w)), j, places.bit_count()) for j, i in enumerate(own) for w, places in i.where.items())
+        word, item, times = np.array(rows, np.int64).T
+        first = np.searchsorted(word, np.arange(len(known) + 1))
+        groups[blocks] = own, first, item, times.astype(np.float64), np.array([PARAPHRASE * len(i.words) for i in own])
+    return groups
+
+
 class Finder:
-    """The items by the number of blocks that their windows have, with the items of each word."""
+    """The items of a block, with their vectors in a latent space.
+
+    ``search`` takes windows as candidates by their cosine, and for items that common words alone could make a copy of
+    by counts; ``find`` does so by counts for every item, which is exact.
+    """
 
     def __init__(self, items: list[tuple[object, str]], space: np.ndarray):
-        vocabulary = frozenset(h for _, text in items for h in _words().hashes(text).tolist())
-        _words().clear()  # what the fit remembered is of no use any more
-        self.words = once(("decontamination words", vocabulary), lambda: Words(vocabulary))
+        self.words = Words()
         self.space = space
-        self.known = np.array(sorted(h | KNOWN for h in vocabulary), np.int64)
-        self.groups: dict[int, tuple[list[Item], np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.placed = space.any(axis=1)
         found = [i for i in (Item(*row, self.words) for row in items) if i.words]
-        for blocks in sorted({i.blocks for i in found}):
-            own = [i for i in found if i.blocks == blocks]
-            rows = sorted((int(np.searchsorted(self.known, w)), j, places.bit_count()) for j, i in enumerate(own) for w, places in i.where.items())
-            word, item, times = np.array(rows, np.int64).T
-            first = np.searchsorted(word, np.arange(len(self.known) + 1))
-            self.groups[blocks] = own, first, item, times.astype(np.float64), np.array([PARAPHRASE * len(i.words) for i in own])
+        self.known = np.array(sorted({h for i in found for h in i.words}), np.int64)
+        self.groups = _grouped(found, self.known)
+        plain = [np.count_nonzero(~self.placed[np.array(i.words) % BUCKETS]) >= COPY * len(i.words) for i in found]
+        self.by_count = _grouped([i for i, p in zip(found, plain, strict=True) if p], self.known)
+        self.by_cosine: dict[int, tuple] = {}
+        for blocks in sorted({i.blocks for i, p in zip(found, plain, strict=True) if not p}):
+            own = [i for i, p in zip(found, plain, strict=True) if not p and i.blocks == blocks]
+            rows = np.array([space[np.array(i.words) % BUCKETS].sum(0) for i in own], np.float32)
+            marks = np.zeros((len(own), MARKS), bool)  # words that an item can hold, by what is left of their hash
+            for i, one in enumerate(own):
+                marks[i, np.array(one.words) % MARKS] = True
+            vectors = (rows / np.maximum(np.linalg.norm(rows, axis=1), 1e-12)[:, None]).T.copy()
+            self.by_cosine[blocks] = own, vectors, marks, np.array([PARAPHRASE * len(i.words) for i in own])
 
     def _cosine(self, item: Item, own: list[int]) -> float:
         a, b = [self.space[np.array(w) % BUCKETS].sum(0) for w in (item.words, own)]
         return float(a @ b / max(float(np.linalg.norm(a) * np.linalg.norm(b)), 1e-12))
 
-    def find(self, texts: list[bytes | None]):
-        """``[(item id, share of the item, cosine, answer found)]`` of each text, candidates that fail left out."""
-        hashes = [self.words.hashes((t or b"").decode("utf-8", "replace")) for t in texts]
-        out: list[list] = [[] for _ in texts]
-        words = np.concatenate(hashes)
-        known = np.nonzero(words >= KNOWN)[0]
-        if not len(known) or not self.groups:
-            return out
-        first, counts = _blocks(hashes, STRIDE)
-        ends = np.repeat(np.cumsum(counts), counts)
-        starts = ends - np.repeat(counts, counts)
-        owner = np.repeat(np.arange(len(texts)), counts)
+    def find(self, texts: list[bytes | None]) -> list[list]:
+        """``[(item id, share of the item, cosine, answer found)]`` of each text, every window that shares enough words verified."""
+        parts = _Parts(texts)
+        self._count(parts, self.groups)
+        return parts.hits()
+
+    def search(self, texts: list[bytes | None]) -> list[list]:
+        """As ``find``, with candidates by cosine where the item has enough words with a direction."""
+        parts = _Parts(texts)
+        self._count(parts, self.by_count)
+        self._near(parts)
+        return parts.hits()
+
+    def _verify(self, parts: _Parts, one: Item, doc: int, own: list[int]) -> None:
+        share = one.share(own)
+        if share < PARAPHRASE:
+            return
+        best = parts.seen.get((doc, id(one)))
+        if best is not None and share <= best[1]:
+            return
+        answered = one.answered(own)
+        if share >= COPY or answered:
+            parts.seen[doc, id(one)] = [one.id, share, self._cosine(one, own), answered]
+
+    def _near(self, parts: _Parts) -> None:
+        if not self.by_cosine or not len(parts.words):
+            return
+        bucket = parts.words % BUCKETS
+        use = np.flatnonzero(self.placed[bucket])
+        if not len(use):
+            return
+        block = np.repeat(np.arange(len(parts.first)), np.diff(np.append(parts.first, len(bucket))))[use]
+        heads = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+        folded = np.zeros((len(parts.first) + 1, self.space.shape[1]), np.float32)
+        folded[block[heads] + 1] = np.add.reduceat(self.space[bucket[use]], heads, axis=0)
+        total = np.cumsum(folded, axis=0, dtype=np.float64)
+        at = np.arange(len(parts.first))
+        for blocks, (items, vectors, _, _) in self.by_cosine.items():
+            step = max(1, CELLS // max(len(items), len(vectors)))
+            for low in range(0, len(at), step):
+                begin = at[low:low + step]
+                window = (total[np.minimum(begin + blocks, parts.ends[low:low + step])] - total[begin]).astype(np.float32)
+                least = NOMINATE * np.sqrt(np.einsum("ij,ij->i", window, window))
+                i, j = np.nonzero((window @ vectors >= least[:, None]) & (least > 1e-9)[:, None])
+                for cut in range(0, len(i), PAIRS):
+                    self._candidates(parts, blocks, i[cut:cut + PAIRS] + low, j[cut:cut + PAIRS])
+
+    def _candidates(self, parts: _Parts, blocks: int, at: np.ndarray, j: np.ndarray) -> None:
+        """Verify windows around those at blocks ``at`` that can share enough words with items ``j``."""
+        items, _, marks, least = self.by_cosine[blocks]
+        at = np.maximum(at - 1, parts.starts[at])
+        place = parts.first[at][:, None] + np.arange((blocks + 2) * STRIDE)
+        inside = place < parts.stops[parts.owner[at]][:, None]
+        word = parts.words[np.where(inside, place, 0)] % MARKS
+        some = np.flatnonzero((marks[j[:, None], word] & inside).sum(axis=1) >= least[j])
+        for i, j in zip(at[some].tolist(), j[some].tolist(), strict=True):
+            doc, own = parts.window(i, blocks + 2)
+            self._verify(parts, items[j], doc, own)
+
+    def _count(self, parts: _Parts, groups: dict[int, tuple]) -> None:
+        words, first, starts, ends, owner = parts.words, parts.first, parts.starts, parts.ends, parts.owner
+        if not len(words) or not groups:
+            return
+        known = np.nonzero(self.known[np.minimum(np.searchsorted(self.known, words), len(self.known) - 1)] == words)[0]
+        if not len(known):
+            return
         block = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(words))))[known]
         word = np.searchsorted(self.known, words[known])
         # the block behind the one of the word before it in its text: windows that begin there or later have it for the first time
@@ -296,8 +479,7 @@ class Finder:
         fresh = np.nonzero(since <= block)[0]
         block, word, since = block[fresh], word[fresh], since[fresh]
         at = np.arange(len(first))
-        seen: dict[tuple[int, int], list] = {}
-        for blocks, (items, heads, item, times, least) in self.groups.items():
+        for blocks, (items, heads, item, times, least) in groups.items():
             width, many = blocks + 2, len(items)
             use = (at + width <= ends) | (at == starts)
             begin = np.maximum(since, block - width + 1)
@@ -321,21 +503,8 @@ class Finder:
                 for i, j in zip(i[by_window].tolist(), j[by_window].tolist(), strict=True):
                     if i != window:  # a window's candidates come one after the other
                         window = i
-                        doc, begun = int(owner[low + i]), int(low + i - starts[low + i]) * STRIDE
-                        own = hashes[doc][begun:begun + width * STRIDE].tolist()
-                    one = items[j]
-                    share = one.share(own)
-                    if share < PARAPHRASE:
-                        continue
-                    best = seen.get((doc, id(one)))
-                    if best is not None and share <= best[1]:
-                        continue
-                    answered = one.answered(own)
-                    if share >= COPY or answered:
-                        seen[doc, id(one)] = [one.id, share, self._cosine(one, own), answered]
-        for (doc, _), hit in seen.items():
-            out[doc].append(hit)
-        return out
+                        doc, own = parts.window(low + i, width)
+                    self._verify(parts, items[j], doc, own)
 
 
 _HITS = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("share", T.DoubleType()), T.StructField("cosine", T.DoubleType()), T.StructField("answer", T.BooleanType())]))
@@ -378,11 +547,11 @@ def _with_block(df: DataFrame, block, sent, text: str, column: str) -> DataFrame
             found, held, size = [], [], 0
             for t in texts:
                 if held and size + len(t or b"") > PART:
-                    found += finder.find(held)
+                    found += finder.search(held)
                     held, size = [], 0
                 held.append(t)
                 size += len(t or b"")
-            found += finder.find(held)
+            found += finder.search(held)
             return [[[dict(zip(("item_id", "share", "cosine", "answer"), h, strict=True)) for h in hits] for hits in found]]
 
         return work

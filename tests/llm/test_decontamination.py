@@ -103,3 +103,44 @@ def test_candidates_are_all_that_verification_takes():
             assert [{h[0] for h in f} for f in whole.find(texts)] == want
         finally:
             decontamination.CELLS = before
+
+
+def test_words_are_those_of_a_plain_split():
+    texts = ["", " ", "...", "A b!! «Ñé» ÑUO x—y q、 (it's) a", "　z Z z.\x1cz", "x" * 50 + " ¿qué? QUÉ", " ".join(prose(i, 40) for i in range(5)), "—", "end."]
+    piece, decontamination.PIECE = decontamination.PIECE, 64
+    try:
+        small = [decontamination.word_hashes([t.encode() * 3])[0].tolist() for t in texts]
+    finally:
+        decontamination.PIECE = piece
+    names = {}
+    hashes, sizes = decontamination.word_hashes([*[t.encode() for t in texts], None])
+    want = [[w for w in (c.strip(decontamination._ENDS).lower() for c in t.split()) if w] for t in texts]
+    assert sizes.tolist() == [*map(len, want), 0]
+    for word, number in zip([w for ws in want for w in ws], hashes.tolist(), strict=True):
+        assert names.setdefault(word, number) == number
+    assert len(set(names.values())) == len(names)
+    assert [len(s) for s in small] == [len([w for w in (c.strip(decontamination._ENDS).lower() for c in (t * 3).split()) if w]) for t in texts]
+
+
+def test_the_fitted_space_nominates(spark):
+    rng = random.Random(5)
+    items = [(i, " ".join(f"{w}{i % 7}" for w in prose(i, 30).split()) + ".") for i in range(40)]
+    texts = []
+    for i, text in items:
+        words = text.split()
+        around = [f"{w}{i % 7}" for w in prose(500 + i, 160).split()]
+        texts.append(" ".join(around[:80] + exchanged(words, set(rng.sample(range(30), 6)), i) + around[80:]))
+    docs, frame = spark.createDataFrame([(t,) for t in texts], "text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    space = decontamination.fitted(docs, frame.select("text"))
+    finder = decontamination.Finder(items, space)
+    given = [t.encode() for t in texts]
+    exact = {(i, h[0]) for i, hits in enumerate(finder.find(given)) for h in hits}
+    got = {(i, h[0]) for i, hits in enumerate(finder.search(given)) for h in hits}
+    assert len(exact) >= 36 and got <= exact and len(got) >= 0.9 * len(exact)
+    # rows of no meaning find less, so it is the space that nominates
+    nothing = decontamination.np.tile(decontamination.np.array([1.0, -1.0], "f4"), (len(space), 1)) * decontamination.np.random.default_rng(1).choice([-1, 1], (len(space), 1))
+    blind = decontamination.Finder(items, nothing.astype("f4"))
+    blind.placed[:] = True
+    blind_items = {i.id for own, *_ in blind.by_cosine.values() for i in own}
+    assert blind_items == set(range(40))
+    assert len({(i, h[0]) for i, hits in enumerate(blind.search(given)) for h in hits}) < 0.9 * len(exact)
