@@ -346,6 +346,7 @@ class _Parts:
         self.ends = np.repeat(np.cumsum(counts), counts)
         self.starts = self.ends - np.repeat(counts, counts)
         self.owner = np.repeat(np.arange(len(texts)), counts)
+        self.marks = np.append(self.words % MARKS, MARKS).astype(np.int32)  # the last one stands for no word
         self.seen: dict[tuple[int, int], list] = {}
 
     def window(self, block: int, width: int) -> tuple[int, list[int]]:
@@ -382,9 +383,16 @@ class Finder:
     def __init__(self, items: list[tuple[object, str]], space: np.ndarray):
         self.words = Words()
         self.space = space
+        self.rows = np.append(space, np.zeros((1, space.shape[1]), np.float32), axis=0).astype(np.float32)
         self.placed = space.any(axis=1)
         found = [i for i in (Item(*row, self.words) for row in items) if i.words]
         self.known = np.array(sorted({h for i in found for h in i.words}), np.int64)
+        size = 1 << 12
+        while len(np.unique(self.known % size)) < len(self.known) and size < 1 << 22:
+            size *= 2
+        self.slots = np.zeros(size, np.int64)
+        self.slots[self.known % size] = np.arange(len(self.known))
+        self.apart = len(np.unique(self.known % size)) == len(self.known)
         self.groups = _grouped(found, self.known)
         plain = [np.count_nonzero(~self.placed[np.array(i.words) % BUCKETS]) >= COPY * len(i.words) for i in found]
         self.by_count = _grouped([i for i, p in zip(found, plain, strict=True) if p], self.known)
@@ -392,7 +400,7 @@ class Finder:
         for blocks in sorted({i.blocks for i, p in zip(found, plain, strict=True) if not p}):
             own = [i for i, p in zip(found, plain, strict=True) if not p and i.blocks == blocks]
             rows = np.array([space[np.array(i.words) % BUCKETS].sum(0) for i in own], np.float32)
-            marks = np.zeros((len(own), MARKS), bool)  # words that an item can hold, by what is left of their hash
+            marks = np.zeros((len(own), MARKS + 1), bool)  # words that an item can hold, by what is left of their hash
             for i, one in enumerate(own):
                 marks[i, np.array(one.words) % MARKS] = True
             vectors = (rows / np.maximum(np.linalg.norm(rows, axis=1), 1e-12)[:, None]).T.copy()
@@ -415,7 +423,10 @@ class Finder:
         self._near(parts)
         return parts.hits()
 
-    def _verify(self, parts: _Parts, one: Item, doc: int, own: list[int]) -> None:
+    def _verify(self, parts: _Parts, one: Item, doc: int, own: list[int], most: float) -> None:
+        """Keep a window's hit if there is one; ``most`` words at most are shared."""
+        if most < COPY * len(one.words) and not (one.answer[0] in own and one.answer[-1] in own):
+            return
         share = one.share(own)
         if share < PARAPHRASE:
             return
@@ -429,47 +440,56 @@ class Finder:
     def _near(self, parts: _Parts) -> None:
         if not self.by_cosine or not len(parts.words):
             return
-        bucket = parts.words % BUCKETS
-        use = np.flatnonzero(self.placed[bucket])
-        if not len(use):
-            return
-        block = np.repeat(np.arange(len(parts.first)), np.diff(np.append(parts.first, len(bucket))))[use]
-        heads = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
-        folded = np.zeros((len(parts.first) + 1, self.space.shape[1]), np.float32)
-        folded[block[heads] + 1] = np.add.reduceat(self.space[bucket[use]], heads, axis=0)
-        total = np.cumsum(folded, axis=0, dtype=np.float64)
-        at = np.arange(len(parts.first))
+        gap = max(self.by_cosine)  # blocks without words behind each text, so that no window reaches into the next one
+        place = parts.first[:, None] + np.arange(STRIDE)
+        bucket = np.append(parts.words % BUCKETS, BUCKETS)[np.where(place < parts.stops[parts.owner][:, None], place, len(parts.words))]
+        real = np.arange(len(parts.first)) + parts.owner * gap
+        folded = np.zeros((len(parts.first) + len(parts.sizes) * gap, self.space.shape[1]), np.float32)
+        folded[real] = self.rows[bucket].sum(axis=1)
+        window, width = folded, 1
         for blocks, (items, vectors, _, _) in self.by_cosine.items():
-            step = max(1, CELLS // max(len(items), len(vectors)))
-            for low in range(0, len(at), step):
-                begin = at[low:low + step]
-                window = (total[np.minimum(begin + blocks, parts.ends[low:low + step])] - total[begin]).astype(np.float32)
-                least = NOMINATE * np.sqrt(np.einsum("ij,ij->i", window, window))
-                i, j = np.nonzero((window @ vectors >= least[:, None]) & (least > 1e-9)[:, None])
+            for more in range(width, blocks):  # one block more at a time
+                window = window[:-1] + folded[more:]
+            width = blocks
+            norm = np.sqrt(np.einsum("ij,ij->i", window, window))
+            step = max(gap, CELLS // max(len(items), len(vectors)))
+            for low in range(0, len(window), step):
+                high = min(low + step, len(window))
+                # of windows that follow each other the one of the greatest cosine is the candidate
+                wide = slice(max(0, low - 1), high + 1)
+                cosine = (window[wide] @ vectors) / np.maximum(norm[wide], 1e-6)[:, None]
+                cosine = np.pad(cosine, ((int(low == 0), int(high >= len(window))), (0, 0)), constant_values=-1)
+                here = cosine[1:-1]
+                i, j = np.nonzero((here >= NOMINATE) & (here >= cosine[:-2]) & (here >= cosine[2:]))
+                block = np.minimum(np.searchsorted(real, i + low, "right"), len(real)) - 1  # a window that begins in a gap reaches the next text
+                inside = block >= 0
+                inside[inside] = real[block[inside]] == i[inside] + low
+                block = np.where(inside, block, np.minimum(block + 1, len(real) - 1))
                 for cut in range(0, len(i), PAIRS):
-                    self._candidates(parts, blocks, i[cut:cut + PAIRS] + low, j[cut:cut + PAIRS])
+                    self._candidates(parts, blocks, block[cut:cut + PAIRS], j[cut:cut + PAIRS])
 
     def _candidates(self, parts: _Parts, blocks: int, at: np.ndarray, j: np.ndarray) -> None:
         """Verify windows around those at blocks ``at`` that can share enough words with items ``j``."""
         items, _, marks, least = self.by_cosine[blocks]
         at = np.maximum(at - 1, parts.starts[at])
         place = parts.first[at][:, None] + np.arange((blocks + 2) * STRIDE)
-        inside = place < parts.stops[parts.owner[at]][:, None]
-        word = parts.words[np.where(inside, place, 0)] % MARKS
-        some = np.flatnonzero((marks[j[:, None], word] & inside).sum(axis=1) >= least[j])
-        for i, j in zip(at[some].tolist(), j[some].tolist(), strict=True):
+        word = parts.marks[np.where(place < parts.stops[parts.owner[at]][:, None], place, len(parts.words))]
+        shared = np.count_nonzero(marks[j[:, None], word], axis=1)
+        some = np.flatnonzero(shared >= least[j])
+        for i, j, most in zip(at[some].tolist(), j[some].tolist(), shared[some].tolist(), strict=True):
             doc, own = parts.window(i, blocks + 2)
-            self._verify(parts, items[j], doc, own)
+            self._verify(parts, items[j], doc, own, most)
 
     def _count(self, parts: _Parts, groups: dict[int, tuple]) -> None:
         words, first, starts, ends, owner = parts.words, parts.first, parts.starts, parts.ends, parts.owner
         if not len(words) or not groups:
             return
-        known = np.nonzero(self.known[np.minimum(np.searchsorted(self.known, words), len(self.known) - 1)] == words)[0]
+        word = self.slots[words % len(self.slots)] if self.apart else np.minimum(np.searchsorted(self.known, words), len(self.known) - 1)
+        known = np.flatnonzero(self.known[word] == words)
         if not len(known):
             return
         block = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(words))))[known]
-        word = np.searchsorted(self.known, words[known])
+        word = word[known]
         # the block behind the one of the word before it in its text: windows that begin there or later have it for the first time
         key = owner[block] * len(self.known) + word
         order = np.argsort(key, kind="stable")
@@ -500,11 +520,12 @@ class Finder:
                 j, i = np.nonzero((shared >= least[:, None]) & use[low:high])
                 by_window = np.argsort(i, kind="stable")
                 window = -1
-                for i, j in zip(i[by_window].tolist(), j[by_window].tolist(), strict=True):
+                i, j = i[by_window], j[by_window]
+                for i, j, most in zip(i.tolist(), j.tolist(), shared[j, i].tolist(), strict=True):
                     if i != window:  # a window's candidates come one after the other
                         window = i
                         doc, own = parts.window(low + i, width)
-                    self._verify(parts, items[j], doc, own)
+                    self._verify(parts, items[j], doc, own, most)
 
 
 _HITS = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("share", T.DoubleType()), T.StructField("cosine", T.DoubleType()), T.StructField("answer", T.BooleanType())]))
