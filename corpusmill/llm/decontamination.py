@@ -59,6 +59,8 @@ ITEM_BLOCK, ITEM_BYTES = 4096, 16 << 20
 SEED = 23
 #: Columns of the table of words that an item can hold, and candidates that are looked up in it at once.
 MARKS, PAIRS = 4096, 16384
+#: Passages or blocks that are folded at once.
+ROWS = 16384
 #: Bytes of text that are hashed at once.
 PIECE = 1 << 20
 #: Bytes of text whose words are in memory as vectors at once.
@@ -220,7 +222,7 @@ def word_weights(frequency: np.ndarray, count: int) -> tuple[np.ndarray, np.ndar
 
 def sketch(docs: DataFrame, weights: np.ndarray) -> np.ndarray:
     """``A'(A G)`` of the weighted passages of ``docs(text)``."""
-    narrow = weights.astype(np.float32)
+    narrow, rows = weights.astype(np.float32), ROWS
 
     def run(batches):
         total = np.zeros((DIMENSIONS, BUCKETS))
@@ -238,10 +240,14 @@ def sketch(docs: DataFrame, weights: np.ndarray) -> np.ndarray:
                     continue
                 passage, bucket = _distinct(passage[use], bucket[use])
                 heads = np.flatnonzero(np.append(True, passage[1:] != passage[:-1]))
-                folded = np.add.reduceat(g[bucket], heads, axis=0).T.copy()
-                row = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(bucket))))
-                for sums, values in zip(total, folded, strict=True):
-                    sums += np.bincount(bucket, values[row], BUCKETS)
+                for low in range(0, len(heads), rows):
+                    own = heads[low:low + rows]
+                    end = heads[low + rows] if low + rows < len(heads) else len(bucket)
+                    part = bucket[own[0]:end]
+                    folded = np.add.reduceat(g[part], own - own[0], axis=0).T.copy()
+                    row = np.repeat(np.arange(len(own)), np.diff(np.append(own, end)))
+                    for sums, values in zip(total, folded, strict=True):
+                        sums += np.bincount(part, values[row], BUCKETS)
         total = total.T
         at = np.nonzero(total.any(axis=1))[0]
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([r.tobytes() for r in total[at].astype(np.float32)], pa.binary())], ["bucket", "row"])
@@ -445,7 +451,8 @@ class Finder:
         bucket = np.append(parts.words % BUCKETS, BUCKETS)[np.where(place < parts.stops[parts.owner][:, None], place, len(parts.words))]
         real = np.arange(len(parts.first)) + parts.owner * gap
         folded = np.zeros((len(parts.first) + len(parts.sizes) * gap, self.space.shape[1]), np.float32)
-        folded[real] = self.rows[bucket].sum(axis=1)
+        for low in range(0, len(real), ROWS):
+            folded[real[low:low + ROWS]] = self.rows[bucket[low:low + ROWS]].sum(axis=1)
         window, width = folded, 1
         for blocks, (items, vectors, _, _) in self.by_cosine.items():
             for more in range(width, blocks):  # one block more at a time

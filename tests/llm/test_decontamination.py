@@ -144,3 +144,18 @@ def test_the_fitted_space_nominates(spark):
     blind_items = {i.id for own, *_ in blind.by_cosine.values() for i in own}
     assert blind_items == set(range(40))
     assert len({(i, h[0]) for i, hits in enumerate(blind.search(given)) for h in hits}) < 0.9 * len(exact)
+
+
+def test_long_texts_are_folded_in_slices(spark, monkeypatch):
+    items = [(i, prose(900 + i, 30) + ".") for i in range(6)]
+    texts = [" ".join([prose(40, 4000), items[3][1], prose(41, 3000), items[5][1]]), None, "", "short one", items[0][1]]
+    docs, frame = spark.createDataFrame([(t,) for t in texts], "text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    given = [None if t is None else t.encode() for t in texts]
+    space = decontamination.fitted(docs, frame.select("text"))
+    want = [sorted(h[0] for h in hits) for hits in decontamination.Finder(items, space).search(given)]
+    assert want == [[3, 5], [], [], [], [0]]
+    monkeypatch.setattr(decontamination, "ROWS", 7)
+    assert [sorted(h[0] for h in hits) for hits in decontamination.Finder(items, space).search(given)] == want
+    g = decontamination.sketch(docs, decontamination.np.ones(decontamination.BUCKETS))
+    monkeypatch.setattr(decontamination, "ROWS", 16384)
+    assert decontamination.np.allclose(g, decontamination.sketch(docs, decontamination.np.ones(decontamination.BUCKETS)), atol=1e-3)
