@@ -6,13 +6,17 @@ from pyspark.sql import functions as F
 
 from corpusmill.plans.catalog.chunks import windows_sql
 from corpusmill.plans.catalog.registry import TWINS, query
-from corpusmill.session import read_table, scratch_dir
+from corpusmill.session import hadoop_files, read_table, scratch_dir
 from corpusmill.streaming import incremental
 
 
 def _stream(spark, d, table):
-    schema = read_table(spark, d, table).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(d)
+    """A table as a stream, be it one file or a folder of them."""
+    path, source = f"{d}/{table}.parquet", spark.readStream.schema(read_table(spark, d, table).schema)
+    files, make = hadoop_files(spark, path)
+    if files.getFileStatus(make(path)).isDirectory():
+        return source.parquet(path)
+    return source.option("pathGlobFilter", f"{table}.parquet").parquet(d)
 
 
 @query("stream_usage", TWINS["usage_by_model"])

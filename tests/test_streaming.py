@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.operators import generation
 from corpusmill.operators.chunking import fixed_chunks
-from corpusmill.plans.catalog.streams import stream_file_status, stream_usage_reset  # noqa: F401
+from corpusmill.plans.catalog.streams import stream_chunks, stream_file_status, stream_usage_reset  # noqa: F401
 from corpusmill.session import scratch_dir
 from corpusmill.sources import files
 from corpusmill.streaming import incremental
@@ -97,3 +97,12 @@ def test_listing_is_complete(spark, tmp_path):
     rows = {r.path.split(str(tmp_path) + "/")[1]: r for r in files.parse_files(files.scan_files(spark, str(tmp_path))).collect()}
     assert {k: r.text for k, r in rows.items()} == {"a.md": "text", "_notes.md": "hidden text", ".hid.txt": "hid", "empty.md": "", "_in/b.txt": "in", "_in/.deep/ü %20 x.md": "odd"}
     assert sorted(r.path.rsplit("/", 1)[1] for r in files.scan_files(spark, str(tmp_path), recursive=False).collect()) == [".hid.txt", "_notes.md", "a.md", "empty.md"]
+
+
+def test_tables_that_are_folders_of_files(spark):
+    where = scratch_dir(spark, "folders")
+    docs = [(i, f"text {i}" if i % 3 else None) for i in range(20)]
+    spark.createDataFrame(docs, "doc_id long, text string").repartition(3).write.parquet(f"{where}/documents.parquet")
+    assert sorted(r.doc_id for r in stream_chunks(spark, where).collect()) == [i for i, t in docs if t]
+    states = {r.doc_key: (r.success, r.stored_chunks) for r in stream_file_status(spark, where).collect()}
+    assert states == {str(i): (bool(t and i % 7), int(bool(t and i % 7))) for i, t in docs}
