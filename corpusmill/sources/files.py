@@ -32,6 +32,7 @@ LIBRARY_EXTENSIONS = ["pdf", "docx"]
 Extractor = Callable[[bytes], str]
 LIST_BATCH = 50_000
 READ_BYTES = 16 << 20
+ENTRY = "path string, millis long, length long, is_folder boolean"
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
 
@@ -51,29 +52,71 @@ def list_folder(spark: SparkSession, directory: str, recursive: bool = True, ext
     """``(path, modificationTime, length)`` of every file with one of ``extensions``, whatever its name or size.
 
     Spark's own file index leaves out names that begin with ``_`` or ``.``, so this asks the file system itself.
-    The listing is written to shared scratch in batches, so the driver holds ``LIST_BATCH`` rows at most.
+    Folders are listed in the tasks, a level of the tree after the other, and nothing of a listing reaches the driver.
+    Only where Arrow does not know the file system does the driver list, in batches of ``LIST_BATCH`` rows.
     """
     wanted = tuple("." + e.lower().lstrip(".") for e in (supported_extensions() if extensions is None else extensions))
     files, make = hadoop_files(spark, directory)
     place = make(directory)
     if not files.exists(place):
         raise FileNotFoundError(f"Directory not found: {directory}")
-    target, rows, found = scratch_dir(spark, "listing"), [], files.listFiles(place, recursive)
+    root, target = files.makeQualified(place).toString().rstrip("/"), scratch_dir(spark, "listing")
+    if _known_to_arrow(root) and files.getFileStatus(place).isDirectory():
+        _list_levels(spark, root, target, recursive, wanted)
+    else:
+        _list_here(spark, files.listFiles(place, recursive), target, wanted)
+    listed = spark.read.schema(f"{ENTRY}, level int").parquet(target)
+    return listed.where("not is_folder").select("path", F.timestamp_millis("millis").alias("modificationTime"), "length")
+
+
+def _list_here(spark: SparkSession, found, target: str, wanted: tuple[str, ...]) -> None:
+    rows = []
 
     def write() -> None:
-        spark.createDataFrame(rows, "path string, millis long, length long").write.mode("append").parquet(target)
+        spark.createDataFrame(rows, ENTRY).write.mode("append").parquet(f"{target}/level=0")
 
     while found.hasNext():
         status = found.next()
         path = status.getPath().toString()
         if path.rsplit("/", 1)[-1].lower().endswith(wanted):
-            rows.append((path, status.getModificationTime(), status.getLen()))
+            rows.append((path, status.getModificationTime(), status.getLen(), False))
         if len(rows) >= LIST_BATCH:
             write()
             rows = []
     write()
-    listed = spark.read.schema("path string, millis long, length long").parquet(target)
-    return listed.select("path", F.timestamp_millis("millis").alias("modificationTime"), "length")
+
+
+def _list_levels(spark: SparkSession, root: str, target: str, recursive: bool, wanted: tuple[str, ...]) -> None:
+    """Entries of ``root`` as ``level=0``, those of its folders as ``level=1`` and so on; a folder is listed by one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                system, inner = open_path(folder)
+                rows = []
+                for info in system.get_file_info(pa_fs.FileSelector(inner, recursive=False)):
+                    is_folder = info.type == pa_fs.FileType.Directory
+                    if is_folder or info.base_name.lower().endswith(wanted):
+                        rows.append((f"{folder}/{info.base_name}", (info.mtime_ns or 0) // 1_000_000, info.size or 0, is_folder))
+                for i in range(0, len(rows), LIST_BATCH):
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[i:i + LIST_BATCH])], ["path", "millis", "length", "is_folder"])
+
+    cores = spark.sparkContext.defaultParallelism
+    folders, level = spark.createDataFrame([(root,)], "path string"), 0
+    while True:
+        path = f"{target}/level={level}"
+        folders.repartition(cores, "path").mapInArrow(run, ENTRY).write.parquet(path)
+        folders, level = spark.read.schema(ENTRY).parquet(path).where("is_folder").select("path"), level + 1
+        if not recursive or folders.isEmpty():
+            return
+
+
+def _known_to_arrow(path: str) -> bool:
+    try:
+        open_path(path)
+        return True
+    except (OSError, pa.ArrowInvalid, pa.ArrowNotImplementedError):
+        return False
 
 
 def open_path(path: str):

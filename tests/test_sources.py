@@ -208,3 +208,31 @@ def test_json_export(spark):
     exports.export_json(rows, path, by="kind")
     back = spark.read.schema(rows.schema).json(path)
     assert sorted((r.kind, r.value) for r in back.filter("value is not null").collect()) == [("invalid", "b"), ("valid", "a")]
+
+
+def test_listing_asks_nothing_per_file_on_the_driver(spark, tmp_path, monkeypatch):
+    names = ["a.txt", "_b.MD", ".c.txt", "x y/ü %20.txt", "_h/.d/e:f.md", "x y/no.bin", "plain"]
+    for i, name in enumerate(names):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"x" * i)
+    (tmp_path / "empty").mkdir()
+    real = files.hadoop_files
+
+    class NoListing:
+        def __init__(self, system):
+            self.system = system
+
+        def __getattr__(self, name):
+            assert name != "listFiles"
+            return getattr(self.system, name)
+
+    def patched(spark, path):
+        system, make = real(spark, path)
+        return NoListing(system), make
+
+    monkeypatch.setattr(files, "hadoop_files", patched)
+    monkeypatch.setattr(files, "LIST_BATCH", 2)
+    found = {r.path: r.length for r in files.list_folder(spark, str(tmp_path), True, ["txt", "md"]).collect()}
+    assert found == {f"file:{tmp_path}/{n}": i for i, n in enumerate(names[:5])}
+    top = files.list_folder(spark, str(tmp_path), False, ["txt", "md"])
+    assert sorted(r.path.rsplit("/", 1)[-1] for r in top.collect()) == [".c.txt", "_b.MD", "a.txt"]
