@@ -202,6 +202,24 @@ def test_answers_end_to_end(spark):
     assert {r.script for r in scripts} == {"x = 1"}
 
 
+def test_equal_questions_are_searched_once(spark, monkeypatch):
+    chunks = spark.createDataFrame([("d1", 0, "login needs a password", "a.md", None), ("d2", 0, "carts hold ten items", None, "wiki")],
+                                   "doc_key string, chunk_id int, text string, filename string, source string")
+    encoder = HashingEncoder.fit(chunks, dimension=64)
+    asked = [(i, ("login password", "cart items", None)[i % 3], f"page {i}") for i in range(30)]
+    searched, search = [], answers.retrieve
+
+    def counted(queries, *rest):
+        searched.append(queries.count())
+        return search(queries, *rest)
+
+    monkeypatch.setattr(answers, "retrieve", counted)
+    told = answers.generate_scripts(spark.createDataFrame(asked, "query_id int, query string, structure_context string"), encoder.encode(chunks), encoder,
+                                    lambda: lambda system, user: (user.split("Documentation:")[1], 1), k=1).collect()
+    assert searched == [3] and sorted((r.query_id, r.structure_context) for r in told) == [(i, page) for i, _, page in asked]
+    assert all(r.sources == [("a.md", "wiki", "a.md")[r.query_id % 3]] for r in told if r.query_id % 3 < 2)
+
+
 def test_json_export(spark):
     rows = spark.createDataFrame([("valid", "a"), ("invalid", "b"), ("valid", None)], "kind string, value string")
     path = scratch_dir(spark, "json")
