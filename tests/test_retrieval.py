@@ -142,3 +142,22 @@ def test_texts_of_other_chunks_stay_where_they_are(spark, tmp_path):
     assert retrieval.attach_chunks(hits.where("doc < 0"), chunks, ["doc", "part"]).count() == 0
     nulls = spark.createDataFrame([(1, None, 2, 0.5)], "query_id int, doc bigint, part bigint, distance double")
     assert retrieval.attach_chunks(nulls, chunks, ["doc", "part"]).count() == 0
+
+
+def test_corpus_is_made_once_for_many_portions(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(retrieval, "PORTION", 2)
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    rows = [(i, [float(i % 7), float(i * i % 11), 1.0]) for i in range(40)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    hits = retrieval.knn(table.withColumnRenamed("vec_id", "query_id"), table.mapInArrow(count, table.schema), ["vec_id"], 3, max_broadcast=0).collect()
+    assert made.value == 40
+    for i, own in rows:
+        near = sorted((sum((a - b) ** 2 for a, b in zip(own, v)), j) for j, v in rows)[:3]
+        assert sorted((h["distance"], h["vec_id"]) for h in hits if h["query_id"] == i) == near
