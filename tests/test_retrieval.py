@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -161,3 +162,24 @@ def test_corpus_is_made_once_for_many_portions(spark, monkeypatch):
     for i, own in rows:
         near = sorted((sum((a - b) ** 2 for a, b in zip(own, v)), j) for j, v in rows)[:3]
         assert sorted((h["distance"], h["vec_id"]) for h in hits if h["query_id"] == i) == near
+
+
+def test_single_precision_only_nominates_and_few_tiles_are_sorted(monkeypatch):
+    rng = np.random.default_rng(3)
+    queries = rng.normal(size=(32, 16))
+    rows = rng.normal(size=(20000, 16))
+    rows[7::50] = queries[3] + rng.normal(size=rows[7::50].shape) * 1e-9  # closer than single precision can tell
+    rows[11::400] = rows[11]
+    monkeypatch.setattr(retrieval, "_CELLS", 32 * 64)
+    best, sorts = retrieval._Best(queries, 5), []
+    keep = best._keep
+    monkeypatch.setattr(best, "_keep", lambda table: sorts.append(1) or keep(table))
+    ids = rng.permutation(len(rows))
+    best.add(pa.table({"doc": ids}), rows)
+    schema = pa.schema([("query_id", pa.int64()), ("doc", pa.int64()), ("distance", pa.float64())])
+    found = best.result(pa.array(range(32)), schema).to_pylist()
+    for q in range(32):
+        distance = ((rows - queries[q]) ** 2).sum(axis=1)
+        order = np.lexsort((ids, distance))[:5]
+        assert [(r["doc"], r["distance"]) for r in found if r["query_id"] == q] == [(ids[i], distance[i]) for i in order]
+    assert len(sorts) < 40  # of 313 tiles
