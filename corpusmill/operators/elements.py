@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from corpusmill.functions.text import named_character
-from corpusmill.operators.rows import unnest
+from corpusmill.operators.rows import in_slices, unnest
 
 # --- fixed values -----------------------------------------------------------------------------
 VOID_TAGS = [
@@ -179,7 +179,7 @@ def read_page(markup: str) -> dict:
 @F.arrow_udf(PAGE_TYPE)
 def parse_page(markup: pa.Array) -> pa.Array:
     """Page struct of every markup text; NULL for NULL."""
-    return pa.array([None if m is None else read_page(m) for m in markup.to_pylist()], _PAGE_ARROW)
+    return in_slices([markup], _PAGE_ARROW, lambda pages: [None if m is None else read_page(m) for m in pages])
 
 
 def parse_pages(pages: DataFrame, markup: str = "html") -> DataFrame:
@@ -316,10 +316,10 @@ _TEXTS = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.Stru
 @F.arrow_udf(_TEXTS)
 def _cut_texts(page_text: pa.Array, bare_text: pa.Array, spans: pa.Array) -> pa.Array:
     """Both texts of every element of a page; ``spans`` holds the four offsets."""
-    made = []
-    for text, bare, each in zip(page_text.to_pylist(), bare_text.to_pylist(), spans.to_pylist(), strict=True):
-        made.append(None if each is None else [{"text": text[a:b], "text_stripped": bare[c:d]} for a, b, c, d in each])
-    return pa.array(made, to_arrow_type(_TEXTS))
+    def cut(*columns: list) -> list:
+        return [None if each is None else [{"text": text[a:b], "text_stripped": bare[c:d]} for a, b, c, d in each] for text, bare, each in zip(*columns, strict=True)]
+
+    return in_slices([page_text, bare_text, spans], to_arrow_type(_TEXTS), cut)
 
 
 def element_table(parsed: DataFrame) -> DataFrame:
@@ -376,10 +376,9 @@ def _lowered(text: str) -> str:
 def _search(tags_of: list[list[str]]):
     """Hits of each search in a page: its text is lowered and searched once per needle, an element asks for its range."""
 
-    @F.arrow_udf(_HITS)
-    def hits(page_text: pa.Array, bare_text: pa.Array, tags: pa.Array, spans: pa.Array, needles: pa.Array) -> pa.Array:
+    def find(*columns: list) -> list:
         made = []
-        for text, bare, names, each, wanted in zip(*(c.to_pylist() for c in (page_text, bare_text, tags, spans, needles)), strict=True):
+        for text, bare, names, each, wanted in zip(*columns, strict=True):
             if each is None:
                 made.append(None)
                 continue
@@ -401,7 +400,11 @@ def _search(tags_of: list[list[str]]):
                             found.append({"search_no": number, "match_no": match, "elem_idx": i, "text": bare[c:d]})
                             match += 1
             made.append(found)
-        return pa.array(made, to_arrow_type(_HITS))
+        return made
+
+    @F.arrow_udf(_HITS)
+    def hits(page_text: pa.Array, bare_text: pa.Array, tags: pa.Array, spans: pa.Array, needles: pa.Array) -> pa.Array:
+        return in_slices([page_text, bare_text, tags, spans, needles], to_arrow_type(_HITS), find)
 
     return hits
 

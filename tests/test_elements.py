@@ -1,9 +1,12 @@
 import time
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.operators import elements as el
+from corpusmill.operators import rows
 
 PAGE = """<!DOCTYPE html><html><head><title>Shop &amp; more</title><script>var a = "<input>";</script></head><body>
 <form id="login" class="box wide" action="/in"><div><input id="u" name="user" required placeholder="Name">
@@ -96,3 +99,28 @@ def test_several_searches_at_once(spark, parsed):
     odd = el.parse_pages(spark.createDataFrame([(1, "<p>\u0130x \u0130STANBUL</p><p>aaab</p>", "AAB"), (2, None, "x"), (3, "<p>x</p>", None)], "page_id int, html string, word string"))
     assert [(r.page_id, r.text) for r in el.find_by_text(odd, F.col("word")).collect()] == [(1, "aaab")]
     assert el.find_by_text(odd, "stanbul").count() == 1
+
+
+def test_values_of_few_pages_are_in_python_at_once(monkeypatch):
+    read, alive, most = el.read_page, [], []
+
+    def reading(markup):
+        alive.append(markup)
+        return read(markup)
+
+    pages = pa.array([PAGE, None, "", PAGE * 40, PAGE] * 10)
+    made = rows.in_slices([pages], el._PAGE_ARROW, lambda part: most.append(sum(len(p or "") for p in part)) or [None if p is None else reading(p) for p in part], limit=20_000)
+    assert made.equals(pa.array([None if p is None else read(p) for p in pages.to_pylist()], el._PAGE_ARROW))
+    assert len(alive) == 40 and max(most) <= 20_000 + 41 * len(PAGE) and len(most) > 10
+    assert el.parse_page.func(pages).equals(made)
+    assert rows.in_slices([pa.array([], pa.string())], pa.string(), list).equals(pa.array([], pa.string()))
+
+
+def test_a_batch_of_pages_takes_little_more_than_its_result():
+    page = "<p>" + "<b class='x'>y</b>" * 60
+    pages = pa.array([page] * 4000)
+    tracemalloc.start()
+    made = el.parse_page.func(pages)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(made) == 4000 and peak < 90 << 20  # all elements at once took 185 MB
