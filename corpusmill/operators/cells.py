@@ -25,6 +25,7 @@ MAX_CELLS = 4096
 ROWS_PER_TASK = 65536
 QUERIES_PER_TASK = 4096
 CALIBRATION_QUERIES = 256
+PROBES = 1 << 18  # queries times cells that are looked at, and probes that are emitted, at once
 
 
 def _nearest(rows: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -39,8 +40,9 @@ def learn_centres(vectors: DataFrame, vector: str, cells: int, rounds: int = 10)
     drawn = vectors.select(vector, F.xxhash64(vector).alias("_draw")).distinct().orderBy("_draw").limit(SAMPLE)
     rows = _matrix(drawn.select(vector).toArrow()[vector])
     centres = rows[:: max(1, len(rows) // cells)][:cells].copy()
+    step = max(1, PROBES // max(1, len(centres)))
     for _ in range(rounds):
-        near = _nearest(rows, centres)[1]
+        near = np.concatenate([_nearest(rows[i:i + step], centres)[1] for i in range(0, len(rows), step)])
         sums, sizes = np.zeros_like(centres), np.bincount(near, minlength=len(centres))
         np.add.at(sums, near, rows)
         centres = np.where(sizes[:, None] > 0, sums / np.maximum(sizes, 1)[:, None], centres)
@@ -63,11 +65,12 @@ class CellIndex:
         if rows.isEmpty():
             raise ValueError("a cell index needs vectors")
         centres = learn_centres(rows, vector, cells)
-        schema = rows.schema
+        schema, step = rows.schema, max(1, PROBES // len(centres))
 
         def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if batch.num_rows:
+            for whole in batches:
+                for start in range(0, whole.num_rows, step):
+                    batch = whole.slice(start, step)
                     distance, near = _nearest(_matrix(batch.column(vector), centres.shape[1]), centres)
                     away = distance[np.arange(len(near)), near]
                     yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(away), pa.array(near.astype(np.int32))], [*schema.names, "away", "cell"])
@@ -101,9 +104,12 @@ class CellIndex:
         names = [query_id, vector, *(["limit"] if "limit" in queries.columns else [])]
         fields = [queries.schema[query_id], queries.schema[vector], T.StructField("cell", T.IntegerType())]
 
+        step = max(1, PROBES // len(about["cell"]))
+
         def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if batch.num_rows:
+            for whole in batches:
+                for start in range(0, whole.num_rows, step):
+                    batch = whole.slice(start, step)
                     distance, _ = _nearest(_matrix(batch.column(vector), about["centre"].shape[1]), about["centre"])
                     row, cell = np.nonzero(choose(distance, batch.column("limit").to_numpy()[:, None] if "limit" in names else None))
                     at = pa.array(row)

@@ -69,3 +69,24 @@ def test_block_plan_moves_no_corpus_row(spark, index, queries):
     plan = hits._jdf.queryExecution().executedPlan().toString()
     below = plan[plan.index("CartesianProduct"):]  # the corpus and the query blocks
     assert "Exchange" not in below and "Generate" not in plan
+
+
+def test_probes_are_made_in_small_batches(spark, index, queries, monkeypatch):
+    monkeypatch.setattr(cells, "PROBES", 24 * 4)  # four queries at once
+    seen = []
+
+    def choose(distance, _):
+        seen.append(distance.shape)
+        assert len(distance) <= 4
+        return np.ones(distance.shape, bool)
+
+    assert index._probed(queries, "query_id", choose).count() == queries.count() * len(index.about()["cell"])
+
+
+def test_centres_do_not_depend_on_how_many_rows_are_looked_at_once(corpus, monkeypatch):
+    whole = cells.learn_centres(corpus, "embedding", 24)
+    nearest, most = cells._nearest, []
+    monkeypatch.setattr(cells, "PROBES", 24 * 100)
+    monkeypatch.setattr(cells, "_nearest", lambda rows, centres: most.append(len(rows)) or nearest(rows, centres))
+    assert np.allclose(cells.learn_centres(corpus, "embedding", 24), whole)
+    assert max(most) <= 100
