@@ -12,10 +12,11 @@ from corpusmill.functions import fieldtypes as ft
 from corpusmill.functions import generators as gen
 from corpusmill.functions.draws import Draws
 from corpusmill.operators import datasets as ds
+from corpusmill.operators.rows import unnest
 from corpusmill.plans import fixtures
 from corpusmill.plans.catalog.fields import CASE_FIELDS_SQL, RESPONSE_FIELDS_SQL, detect_sql
 from corpusmill.plans.catalog.registry import query
-from corpusmill.session import read_table, scratch_dir
+from corpusmill.session import read_table, scratch_dir, spread
 from corpusmill.sources.exports import export_json
 
 SEED = 7
@@ -318,8 +319,10 @@ def export_records(spark, d):
     UNION ALL SELECT p_partkey, kind, 'crossed', TRUE FROM part, (VALUES ('age'), ('number'), ('price')) AS k(kind)""")
 def gen_bounds_one_sided(spark, d):
     """Values keep to the one bound they are given, also beyond the other's default; crossed bounds give none."""
-    part = read_table(spark, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("size"))
+    part = spread(read_table(spark, d, "part").select("p_partkey", "p_size"), "p_partkey")
     draws = Draws(7, F.col("p_partkey"), F.lit("bound"))
+    part = part.select("p_partkey", F.col("p_size").cast("double").alias("size"), draws.digest(0).alias("_d0"))  # shared by all values
+    draws = draws.holding(F.col("_d0"))
     makers = {"age": gen.valid_age, "number": gen.valid_number, "price": gen.valid_price, "text": gen.valid_text}
     rows = []
     for kind, make in makers.items():
@@ -334,4 +337,4 @@ def gen_bounds_one_sided(spark, d):
         if kind != "text":
             crossed = make(draws, F.create_map(F.lit(low), above, F.lit(high), below))
             rows.append(F.struct(F.lit(kind).alias("kind"), F.lit("crossed").alias("side"), crossed.isNull().alias("within")))
-    return part.select("p_partkey", F.explode(F.array(*rows)).alias("r")).select("p_partkey", "r.*")
+    return unnest(part, ["p_partkey"], F.array(*rows), "_n", "r").select("p_partkey", "r.*")  # a plain explode makes every value twice

@@ -1,6 +1,7 @@
 """Cases in which rows, files or values went missing or wrong before."""
 
 import pytest
+from conftest import SMALL
 from pyspark.sql import functions as F
 
 from corpusmill.functions import generators
@@ -9,6 +10,7 @@ from corpusmill.functions.responses import parse_fields
 from corpusmill.functions.text import with_html_text
 from corpusmill.operators import chunking, context
 from corpusmill.operators.elements import parse_pages
+from corpusmill.plans.catalog import QUERIES
 from corpusmill.plans.answers import retrieve
 from corpusmill.plans.ingest import ingest_documents
 from corpusmill.sources.files import direct_text, parse_files
@@ -140,3 +142,8 @@ def test_many_open_tags_take_linear_time():
     page = read_page("<form><ul>" + "<li>x" * 60_000 + "</form>after")
     assert time.process_time() - started < 10
     assert len(page["elements"]) == 60_002 and page["elements"][-1]["form_idx"] == 0
+
+
+def test_parts_of_one_file_are_drawn_by_all_cores(spark):
+    drawn = QUERIES["gen_bounds_one_sided"](spark, SMALL)
+    assert drawn.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
