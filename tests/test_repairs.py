@@ -4,6 +4,7 @@ import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
 
+from corpusmill import session
 from corpusmill.functions import generators
 from corpusmill.functions.draws import Draws
 from corpusmill.functions.responses import parse_fields
@@ -147,3 +148,11 @@ def test_many_open_tags_take_linear_time():
 def test_parts_of_one_file_are_drawn_by_all_cores(spark):
     drawn = QUERIES["gen_bounds_one_sided"](spark, SMALL)
     assert drawn.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_tasks_of_rows_that_become_many_are_small(spark, monkeypatch):
+    monkeypatch.setattr(session, "FEW_ROWS", 100)
+    rows = spark.range(1000).coalesce(1)
+    sizes = session.finely(rows, "id").groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) == 10 and sum(r["count"] for r in sizes) == 1000 and max(r["count"] for r in sizes) < 200
+    assert session.finely(rows.limit(50), "id").count() == 50 and session.finely(rows.limit(0), "id").count() == 0
