@@ -4,11 +4,14 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from conftest import SMALL
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from corpusmill.llm import bpe, chat, licenses
+from corpusmill.llm import bpe, chat, common, licenses
 from corpusmill.session import read_table
 
 PATH, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -93,3 +96,24 @@ def test_license_blocks(spark, odd, none):
     assert docs.count() == odd.count() and {r.doc_id for r in blocks.collect()} == {10}
     docs, blocks = licenses.license_scan(none)
     assert docs.count() == blocks.count() == 0
+
+
+def test_an_operator_that_keeps_nothing_releases_what_the_one_before_it_kept(spark, monkeypatch):
+    docs = spark.range(1).select(F.lit("a").alias("text"))
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: run)
+
+    def of(module, maker):
+        maker.__module__ = module
+        return common.annotate(docs, "text", [("kept", T.LongType())], maker)
+
+    def keeps():
+        def make():
+            return "table"
+
+        make.__module__ = "first"
+        return lambda texts: [[len(common.once("table", make)) for _ in texts]]
+
+    batch = pa.RecordBatch.from_pydict({"text": ["a"]})
+    assert [b.column(1).to_pylist() for b in of("first", keeps)([batch])] == [[5]] and common._MADE
+    assert [b.column(1).to_pylist() for b in of("first", lambda: lambda texts: [[len(common._MADE)]])([batch])] == [[1]]
+    assert [b.column(1).to_pylist() for b in of("second", lambda: lambda texts: [[len(common._MADE)]])([batch])] == [[0]]
