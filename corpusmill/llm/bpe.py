@@ -7,7 +7,8 @@ its live predecessor and the swallowed neighbour) with one path to the root each
 one array, so a step of all of them is a few array operations.
 
 Ranks come from a public rank file whose path is a parameter; nothing is trained here.  Each worker remembers
-the ids of pieces it has met, up to a bounded number of bytes.
+the ids of pieces it has met, up to a bounded number of bytes; beyond that, and between tasks, those of the texts
+it has read last.
 
 Nulls: a null text is an empty text; an empty text has no tokens.  Bytes that are not UTF-8 are read as the
 replacement character.  Repeated rows and clashing other columns are kept as they are; an empty table gives
@@ -31,7 +32,9 @@ from corpusmill.llm.common import annotate, documents, once
 from corpusmill.llm.registry import query
 
 #: Bytes of pieces and their ids that one worker remembers.
-MEMO_BYTES = 256 << 20
+MEMO_BYTES = 96 << 20
+#: Bytes of text that are encoded at once.
+TEXT_BYTES = 1 << 20
 _NONE = np.int64(1 << 40)
 
 
@@ -171,6 +174,7 @@ class Codec:
         self.letters = np.frombuffer(b"".join(words.get(i, b"") for i in range(max(words) + 1)), np.uint8)
         self.pieces: dict[str, bytes] = {}
         self.runs: dict[str, bytes] = {}
+        self.last: set[str] = set()
         self.held = 0
 
     def _learn(self, runs: list[str], prefix: str) -> list[bytes]:
@@ -182,11 +186,17 @@ class Codec:
             self.held += 160 + len(w) + len(ids)
         return [b"".join(map(known.__getitem__, c)) for c in cut]
 
+    def rest(self) -> None:
+        """Forget all but what the texts read last hold."""
+        self.runs = {r: self.runs[r] for r in self.last}
+        self.pieces = {w: self.pieces[w] for w in map(" ".__add__, self.last) if w in self.pieces}
+        self.held = sum(160 + len(w) + len(ids) for known in (self.runs, self.pieces) for w, ids in known.items())
+        if self.held > MEMO_BYTES // 2:  # a very long text
+            self.pieces, self.runs, self.last, self.held = {}, {}, set(), 0
+
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         if self.held > MEMO_BYTES:
-            self.pieces.clear()
-            self.runs.clear()
-            self.held = 0
+            self.rest()
         plain = [(t or b"").decode("utf-8", "replace") for t in texts]
         heads, tails = [], []
         for t in plain:
@@ -197,7 +207,8 @@ class Codec:
                 first, *rest = t.split(" ")
                 heads.append(first)
                 tails.append(rest)
-        new = list(set().union(*tails).difference(self.runs))
+        self.last = set().union(*tails)
+        new = list(self.last.difference(self.runs))
         for run, ids in zip(new, self._learn(new, " "), strict=True):
             self.runs[run] = ids
             self.held += 160 + len(run) + len(ids)
@@ -219,7 +230,7 @@ def _codec(path: str, pattern: str) -> Codec:
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", name: str = "ids") -> DataFrame:
     """``df`` with the ids of ``text`` as little-endian unsigned 32-bit integers in a binary column."""
-    return annotate(df, text, [(name, T.BinaryType())], lambda: lambda texts: [_codec(path, pattern).encode(texts)])
+    return annotate(df, text, [(name, T.BinaryType())], lambda: lambda texts: [_codec(path, pattern).encode(texts)], TEXT_BYTES)
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", name: str = "decoded") -> DataFrame:
@@ -241,7 +252,7 @@ def encode_digests(df: DataFrame, path: str, pattern: str, text: str = "text", w
 
         return work
 
-    return annotate(df, text, fields, maker).drop(text)
+    return annotate(df, text, fields, maker, TEXT_BYTES).drop(text)
 
 
 @query("op6_byte_bpe")

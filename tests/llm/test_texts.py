@@ -117,3 +117,27 @@ def test_an_operator_that_keeps_nothing_releases_what_the_one_before_it_kept(spa
     assert [b.column(1).to_pylist() for b in of("first", keeps)([batch])] == [[5]] and common._MADE
     assert [b.column(1).to_pylist() for b in of("first", lambda: lambda texts: [[len(common._MADE)]])([batch])] == [[1]]
     assert [b.column(1).to_pylist() for b in of("second", lambda: lambda texts: [[len(common._MADE)]])([batch])] == [[0]]
+
+
+def test_a_worker_at_rest_remembers_little(spark, monkeypatch):
+    docs = spark.range(1).select(F.lit("a").alias("text"))
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: run)
+    words = [" ".join(f"w{i}x{j}" for j in range(200)) for i in range(300)]
+    run = bpe.encode(docs, PATH, PATTERN)
+    before = [b.column(1).to_pylist() for b in run([pa.RecordBatch.from_pydict({"text": words}), pa.RecordBatch.from_pydict({"text": ["w0x0 w0x1 end"]})])]
+    held = next(v for k, v in common._MADE.items() if k[0] == "bpe")
+    assert set(held.runs) == {"w0x1", "end"} and held.held < 1000 and sum(map(len, (held.runs, held.pieces))) <= 4
+    again = [b.column(1).to_pylist() for b in run([pa.RecordBatch.from_pydict({"text": words[:3]})])]
+    assert again[0] == before[0][:3]
+
+
+def test_encoding_with_little_memory_gives_the_same_ids(codec, monkeypatch):
+    texts = [" ".join(f"w{i}x{j % 7} and  so,on" for j in range(50)).encode() for i in range(40)] + [None, b"", b" a"]
+    wanted = codec.encode(texts)
+    monkeypatch.setattr(bpe, "MEMO_BYTES", 2000)
+    small = bpe.Codec(PATH, PATTERN)
+    made, most = [], 0
+    for t in texts:
+        made += small.encode([t])
+        most = max(most, len(small.runs))
+    assert made == wanted and most < 300
