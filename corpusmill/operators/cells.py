@@ -4,11 +4,16 @@ Cells come from Lloyd's rounds over a bounded sample; every vector goes to the c
 cell is the partition column of the stored table.  A search lists and reads the directories of the probed cells
 only.  ``probes=None`` is the exact way: the nearest cells give each query a distance within which its answers
 lie, and every other cell whose ball reaches that far is probed as well.
+
+Two plans give the same hits.  While queries probe one or two cells each they are moved to their cells.  When they
+probe more, a copy of each query per cell would outgrow both tables: then blocks of queries are streamed past the
+stored cells instead, every task works out which cells its queries probe, and a query's hits of all cells that the
+task reads are merged there.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from corpusmill.operators.retrieval import TOP_K, _Best, _hit_fields, _matrix, _rank, check_k, knn
+from corpusmill.operators.retrieval import CORPUS_BLOCK, PORTION, QUERY_BLOCK, TASKS_PER_CORE, TOP_K, _Best, _hit_fields, _matrix, _rank, _shares, _unpacked, check_k, knn, packed
 from corpusmill.session import materialize
 
 SAMPLE = 65536
@@ -26,6 +31,7 @@ ROWS_PER_TASK = 65536
 QUERIES_PER_TASK = 4096
 CALIBRATION_QUERIES = 256
 PROBES = 1 << 18  # queries times cells that are looked at, and probes that are emitted, at once
+MOVED_PROBES = 2  # probes a query, on average, up to which queries are moved to their cells
 
 
 def _nearest(rows: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -37,7 +43,9 @@ def _nearest(rows: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def learn_centres(vectors: DataFrame, vector: str, cells: int, rounds: int = 10) -> np.ndarray:
     """``cells`` centres from at most ``SAMPLE`` vectors drawn by a hash of their values."""
-    drawn = vectors.select(vector, F.xxhash64(vector).alias("_draw")).distinct().orderBy("_draw").limit(SAMPLE)
+    draw = F.xxhash64(vector).alias("_draw")
+    last = vectors.select(draw).distinct().orderBy("_draw").limit(SAMPLE).agg(F.max("_draw")).first()[0]  # no vector is moved that is not drawn
+    drawn = vectors.select(vector, draw).where(F.col("_draw") <= last).distinct().orderBy("_draw").limit(SAMPLE)
     rows = _matrix(drawn.select(vector).toArrow()[vector])
     centres = rows[:: max(1, len(rows) // cells)][:cells].copy()
     step = max(1, PROBES // max(1, len(centres)))
@@ -100,28 +108,57 @@ class CellIndex:
 
     def _probed(self, queries: DataFrame, query_id: str, choose) -> DataFrame:
         """``(query_id, vector, cell)`` for the cells that ``choose(distances, limits)`` marks per query."""
-        about, vector = self.about(), self.vector
+        about, vector, marks = self.about(), self.vector, self._marks(choose)
         names = [query_id, vector, *(["limit"] if "limit" in queries.columns else [])]
         fields = [queries.schema[query_id], queries.schema[vector], T.StructField("cell", T.IntegerType())]
 
-        step = max(1, PROBES // len(about["cell"]))
-
         def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
-                for start in range(0, whole.num_rows, step):
-                    batch = whole.slice(start, step)
-                    distance, _ = _nearest(_matrix(batch.column(vector), about["centre"].shape[1]), about["centre"])
-                    row, cell = np.nonzero(choose(distance, batch.column("limit").to_numpy()[:, None] if "limit" in names else None))
+                for batch, marked in marks(whole):
+                    row, cell = np.nonzero(marked)
                     at = pa.array(row)
                     yield pa.RecordBatch.from_arrays([batch.column(query_id).take(at), batch.column(vector).take(at), pa.array(about["cell"][cell].astype(np.int32))],
                                                      [query_id, vector, "cell"])
 
         return queries.select(*names).mapInArrow(probe, T.StructType(fields))
 
-    def _search(self, probed: DataFrame, query_id: str, k: int) -> DataFrame:
+    def _marks(self, choose) -> Callable[[pa.RecordBatch | pa.Table], Iterator[tuple]]:
+        """Gives the marks of ``choose`` for a batch of queries: runs of its rows, each with a matrix of rows and cells."""
+        centres, vector = self.about()["centre"], self.vector
+        step = max(1, PROBES // len(centres))
+
+        def marks(whole):
+            limited = "limit" in whole.schema.names
+            for start in range(0, whole.num_rows, step):
+                rows = whole.slice(start, step)
+                distance, _ = _nearest(_matrix(rows.column(vector), centres.shape[1]), centres)
+                yield rows, choose(distance, rows.column("limit").to_numpy()[:, None] if limited else None)
+
+        return marks
+
+    def _asked(self, queries: DataFrame, choose) -> dict[int, int]:
+        """Number of queries that probe each cell, for the cells that any does."""
+        marks, cells = self._marks(choose), self.about()["cell"].astype(np.int32)
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            number = np.zeros(len(cells), np.int64)
+            for whole in batches:
+                for _, marked in marks(whole):
+                    number += marked.sum(axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(cells[number > 0]), pa.array(number[number > 0])], ["cell", "n"])
+
+        return dict(queries.mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n")).collect())  # at most MAX_CELLS rows
+
+    def _search(self, queries: DataFrame, query_id: str, k: int, choose) -> DataFrame:
+        """Best ``k`` of every query in the cells that ``choose`` marks for it, or of each share of these cells."""
+        queries = materialize(queries.select(query_id, self.vector, *(["limit"] if "limit" in queries.columns else [])), "asked")
+        asked, n = self._asked(queries, choose), queries.count()
+        if sum(asked.values()) <= MOVED_PROBES * n:
+            return self._search_moved(self._probed(queries, query_id, choose), asked, query_id, k)
+        return self._search_streamed(queries, asked, n, query_id, k, choose)
+
+    def _search_moved(self, probed: DataFrame, asked: dict[int, int], query_id: str, k: int) -> DataFrame:
         """Best ``k`` of every (query, cell); large cells and cells asked by many queries are split over tasks."""
-        probed = materialize(probed, "probed")
-        asked = dict(probed.groupBy("cell").count().collect())  # at most MAX_CELLS rows
         sizes = dict(zip(self.about()["cell"].tolist(), self.about()["rows"].tolist(), strict=True))
         rows = self.load(sorted(asked)).drop("away")
         fields = _hit_fields(probed, rows, query_id, self.keys)
@@ -142,13 +179,53 @@ class CellIndex:
 
         return left.groupBy("cell", "_r", "_q").cogroup(right.groupBy("cell", "_r", "_q")).applyInArrow(search, T.StructType(fields))
 
+    def _search_streamed(self, queries: DataFrame, asked: dict[int, int], n: int, query_id: str, k: int, choose) -> DataFrame:
+        """Best ``k`` of every query of the cells that a task reads; a query is written and moved once, whatever it probes.
+
+        Every task holds one portion of the queries and reads whole cells past it, all of them when there are as many
+        portions as tasks are wanted.  A row is compared with the queries that probe its cell only.
+        """
+        rows, sizes = self.load(sorted(asked)).drop("away"), dict(zip(self.about()["cell"].tolist(), self.about()["rows"].tolist(), strict=True))
+        fields = _hit_fields(queries, rows, query_id, self.keys)
+        blocks = -(-n // QUERY_BLOCK)
+        n_portions = min(blocks, max(TASKS_PER_CORE * self.spark.sparkContext.defaultParallelism, -(-blocks // PORTION)))
+        n_shares = _shares(self.spark, n_portions, -(-sum(sizes[c] for c in asked) // CORPUS_BLOCK))
+        portions = packed(queries.repartition(n_portions), QUERY_BLOCK, "asked").withColumn("asked_no", F.monotonically_increasing_id()).hint("shuffle_replicate_nl")
+        held = packed(rows.select(*self.keys, self.vector, "cell").coalesce(n_shares), CORPUS_BLOCK, "rows")
+        schema, keys, vector, marks = to_arrow_schema(T.StructType(fields)), self.keys, self.vector, self._marks(choose)
+        place = {c: i for i, c in enumerate(self.about()["cell"].tolist())}
+
+        def block(asked: pa.Table) -> tuple[_Best, np.ndarray, pa.Array]:
+            """The queries, bits of those that probe each cell, and their keys."""
+            marked = np.vstack([m for _, m in marks(asked)])
+            return _Best(_matrix(asked[vector]), k), np.packbits(marked, axis=0).T.copy(), asked[query_id].combine_chunks()
+
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best: dict[int, tuple[_Best, np.ndarray, pa.Array]] = {}
+            for batch in batches:
+                for there, number, asked in zip(*(batch.column(c) for c in ("rows", "asked_no", "asked")), strict=True):
+                    if number.as_py() not in best:
+                        best[number.as_py()] = block(_unpacked(asked.as_py()))
+                    own, bits, _ = best[number.as_py()]
+                    table = _unpacked(there.as_py())
+                    cell, vectors, found = table["cell"].to_numpy(), _matrix(table[vector], own.queries.shape[1]), table.select(keys)
+                    cuts = [0, *(np.flatnonzero(cell[1:] != cell[:-1]) + 1).tolist(), len(cell)]
+                    for a, b in zip(cuts, cuts[1:]):
+                        only = np.flatnonzero(np.unpackbits(bits[place[int(cell[a])]], count=len(own.queries)))
+                        if len(only):
+                            own.add(found.slice(a, b - a), vectors[a:b], None if len(only) == len(own.queries) else only)
+            for own, _, ids in best.values():
+                yield from own.result(ids, schema).to_batches()
+
+        return held.crossJoin(portions).mapInArrow(search, T.StructType(fields))  # block by block, never row by row
+
     def search(self, queries: DataFrame, k: int = TOP_K, probes: int | None = None, query_id: str = "query_id") -> DataFrame:
         """Hits as :func:`knn` gives them; from the ``probes`` nearest cells, or exact ones without a number."""
         check_k(k)
         about = self.about()
         if probes is not None:
             nearest = max(1, min(probes, len(about["cell"])))
-            found = self._search(self._probed(queries, query_id, lambda d, _: _first_cells(d, np.full(len(d), nearest))), query_id, k)
+            found = self._search(queries, query_id, k, lambda d, _: _first_cells(d, np.full(len(d), nearest)))
             return _rank(found, query_id, self.keys, k)
         sizes = about["rows"]
 
@@ -157,13 +234,12 @@ class CellIndex:
             order = distance.argsort(axis=1, kind="stable")
             return _first_cells(distance, (sizes[order].cumsum(axis=1) < k).sum(axis=1) + 1)
 
-        first = self._probed(queries, query_id, enough)
-        limits = materialize(self._search(first, query_id, k).groupBy(query_id).agg(F.sort_array(F.collect_list("distance")).alias("d"), F.count(F.lit(1)).alias("n")).select(
+        limits = materialize(self._search(queries, query_id, k, enough).groupBy(query_id).agg(F.sort_array(F.collect_list("distance")).alias("d"), F.count(F.lit(1)).alias("n")).select(
             query_id, F.when(F.col("n") >= k, F.sqrt(F.get("d", F.lit(k - 1)))).otherwise(F.lit(float("inf"))).alias("limit")), "limits")
         radius = about["radius"]
         # the ball of a cell holds no answer if even its nearest point is farther than the k-th best known
         reach = lambda d, limit: d - radius[None, :] <= limit * (1 + 1e-9) + 1e-6
-        found = self._search(self._probed(queries.join(limits, query_id), query_id, reach), query_id, k)
+        found = self._search(queries.join(limits, query_id), query_id, k, reach)
         return _rank(found, query_id, self.keys, k)
 
     def calibrate(self, queries: DataFrame, k: int = TOP_K, target: float = 0.9, query_id: str = "query_id") -> int:

@@ -90,3 +90,40 @@ def test_centres_do_not_depend_on_how_many_rows_are_looked_at_once(corpus, monke
     monkeypatch.setattr(cells, "_nearest", lambda rows, centres: most.append(len(rows)) or nearest(rows, centres))
     assert np.allclose(cells.learn_centres(corpus, "embedding", 24), whole)
     assert max(most) <= 100
+
+
+def test_a_query_is_written_once_whatever_it_probes(spark, index, corpus, queries, monkeypatch):
+    written, write = [], cells.materialize
+
+    def materialize(rows, purpose):
+        made = write(rows, purpose)
+        written.append(made.count())
+        return made
+
+    monkeypatch.setattr(cells, "materialize", materialize)
+    every = index.search(queries, 7, 24)
+    assert shown(every) == shown(retrieval.knn(queries, corpus, ["doc", "part"], 7))
+    assert shown(index.search(queries, 7)) == shown(every)
+    assert max(written) == queries.count()
+
+
+def test_hits_of_all_cells_are_merged_in_the_tasks(index, queries, monkeypatch):
+    monkeypatch.setattr(cells, "QUERY_BLOCK", 1)  # as many portions as tasks are wanted
+    hits = index.search(queries, 5, 24)
+    below = hits._jdf.queryExecution().optimizedPlan().toString()
+    assert "CoGroup" not in below
+    assert index._search(queries, "query_id", 5, lambda d, _: np.ones(d.shape, bool)).count() == 5 * queries.count()
+
+
+@pytest.mark.parametrize("probes", [1, 3, 10, None])
+def test_moved_and_streamed_queries_have_the_same_hits(index, queries, monkeypatch, probes):
+    asked = queries.unionByName(queries.where("query_id < 300").withColumn("query_id", F.col("query_id") + 10_000))
+    monkeypatch.setattr(cells, "MOVED_PROBES", 24)
+    moved = shown(index.search(asked, 7, probes))
+    monkeypatch.setattr(cells, "MOVED_PROBES", 0)
+    monkeypatch.setattr(cells, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(cells, "CORPUS_BLOCK", 90)
+    assert shown(index.search(asked, 7, probes)) == moved
+    monkeypatch.setattr(retrieval, "SHARE", 3)  # several shares of the cells
+    monkeypatch.setattr(retrieval, "TASKS_PER_CORE", 1)
+    assert shown(index.search(asked, 7, probes)) == moved

@@ -189,3 +189,27 @@ def test_the_length_of_a_vector_is_computed_once(spark):
     rows = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), (None,), ([1.0, None],)], "v array<double>").select(vec.unit(F.col("v")).alias("u"))
     assert [r.u for r in rows.collect()] == [[0.6, 0.8], None, None, None]
     assert rows._jdf.queryExecution().optimizedPlan().toString().lower().count("sqrt(") == 1
+
+
+def test_rows_are_compared_with_some_queries_only():
+    rng = np.random.default_rng(3)
+    queries, rows = rng.normal(size=(9, 4)), np.repeat(rng.normal(size=(40, 4)), 3, axis=0)
+    keys, only = pa.table({"key": np.arange(len(rows))}), np.array([1, 4, 7])
+    best = retrieval._Best(queries, 5)
+    best.add(keys.slice(0, 60), rows[:60], only)
+    best.add(keys.slice(60), rows[60:])
+    found = best.result(pa.array(np.arange(9)), pa.schema({"query_id": pa.int64(), "key": pa.int64(), "distance": pa.float64()})).to_pylist()
+    for q in range(9):
+        first = 0 if q in only else 60
+        wanted = sorted((((rows[i] - queries[q]) ** 2).sum(), i) for i in range(first, len(rows)))[:5]
+        assert sorted((r["distance"], r["key"]) for r in found if r["query_id"] == q) == wanted
+
+
+def test_streamed_blocks_merge_hits_over_corpus_partitions(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 5)
+    monkeypatch.setattr(retrieval, "PORTION", 1)
+    monkeypatch.setattr(retrieval, "TASKS_PER_CORE", 1)
+    rows = spark.range(200).select(F.col("id").alias("key"), F.array(F.col("id").cast("double"), F.lit(1.0)).alias("embedding")).repartition(10)
+    asked = rows.where("key < 40").coalesce(1).withColumnRenamed("key", "query_id")
+    fields = retrieval._hit_fields(asked, rows, "query_id", ["key"])
+    assert retrieval._search_blocks(asked, rows, fields, "query_id", ["key"], "embedding", 3).count() == 40 * 3  # eight portions, four cores
