@@ -150,8 +150,7 @@ class CellIndex:
         return dict(queries.mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n")).collect())  # at most MAX_CELLS rows
 
     def _search(self, queries: DataFrame, query_id: str, k: int, choose) -> DataFrame:
-        """Best ``k`` of every query in the cells that ``choose`` marks for it, or of each share of these cells."""
-        queries = materialize(queries.select(query_id, self.vector, *(["limit"] if "limit" in queries.columns else [])), "asked")
+        """Best ``k`` of every query, of stored ones, in the cells that ``choose`` marks for it, or of each share of these cells."""
         asked, n = self._asked(queries, choose), queries.count()
         if sum(asked.values()) <= MOVED_PROBES * n:
             return self._search_moved(self._probed(queries, query_id, choose), asked, query_id, k)
@@ -222,7 +221,7 @@ class CellIndex:
     def search(self, queries: DataFrame, k: int = TOP_K, probes: int | None = None, query_id: str = "query_id") -> DataFrame:
         """Hits as :func:`knn` gives them; from the ``probes`` nearest cells, or exact ones without a number."""
         check_k(k)
-        about = self.about()
+        about, queries = self.about(), materialize(queries.select(query_id, self.vector), "asked")
         if probes is not None:
             nearest = max(1, min(probes, len(about["cell"])))
             found = self._search(queries, query_id, k, lambda d, _: _first_cells(d, np.full(len(d), nearest)))
@@ -239,7 +238,7 @@ class CellIndex:
         radius = about["radius"]
         # the ball of a cell holds no answer if even its nearest point is farther than the k-th best known
         reach = lambda d, limit: d - radius[None, :] <= limit * (1 + 1e-9) + 1e-6
-        found = self._search(queries.join(limits, query_id), query_id, k, reach)
+        found = self._search(materialize(queries.join(limits, query_id), "limited"), query_id, k, reach)
         return _rank(found, query_id, self.keys, k)
 
     def calibrate(self, queries: DataFrame, k: int = TOP_K, target: float = 0.9, query_id: str = "query_id") -> int:

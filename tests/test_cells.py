@@ -115,7 +115,7 @@ def test_hits_of_all_cells_are_merged_in_the_tasks(index, queries, monkeypatch):
     assert index._search(queries, "query_id", 5, lambda d, _: np.ones(d.shape, bool)).count() == 5 * queries.count()
 
 
-@pytest.mark.parametrize("probes", [1, 3, 10, None])
+@pytest.mark.parametrize("probes", [3, None])
 def test_moved_and_streamed_queries_have_the_same_hits(index, queries, monkeypatch, probes):
     asked = queries.unionByName(queries.where("query_id < 300").withColumn("query_id", F.col("query_id") + 10_000))
     monkeypatch.setattr(cells, "MOVED_PROBES", 24)
@@ -127,3 +127,15 @@ def test_moved_and_streamed_queries_have_the_same_hits(index, queries, monkeypat
     monkeypatch.setattr(retrieval, "SHARE", 3)  # several shares of the cells
     monkeypatch.setattr(retrieval, "TASKS_PER_CORE", 1)
     assert shown(index.search(asked, 7, probes)) == moved
+
+
+def test_queries_of_an_exact_search_are_made_once(spark, index, corpus, queries):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    assert shown(index.search(queries.mapInArrow(count, queries.schema), 7)) == shown(retrieval.knn(queries, corpus, ["doc", "part"], 7))
+    assert made.value == queries.count()
